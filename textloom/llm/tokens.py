@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 32_768
-OVERLAP_CHARS = 256
+CHUNK_BYTES = 32_768
+OVERLAP_BYTES = 256
 TOKEN_LIMIT = 4096
 MAX_MODEL_BYTES = 64 << 20
 MARKER = "▁"
-SPACES = " " + MARKER
+SPACES = (b" ", MARKER.encode())
 BATCH_CHARS = 1 << 20
 
 
@@ -44,11 +44,11 @@ def _processor(model: bytes):
 
 
 class _Chunk:
-    """The encoding of text[start:end]; boundaries are offsets in the whole text."""
+    """The encoding of data[start:end]; boundaries are byte offsets in the whole text."""
 
-    def __init__(self, sp, text: str, start: int, end: int):
+    def __init__(self, sp, data: bytes, start: int, end: int):
         self.start, self.end = start, end
-        self.pieces = sp.encode(text[start:end], return_type="proto").pieces
+        self.pieces = sp.encode(data[start:end].decode(), return_type="proto").pieces
         self.n = len(self.pieces)
 
     def begin(self, i: int) -> int:
@@ -67,39 +67,43 @@ class _Chunk:
         return found
 
 
-def proven(text: str, at: int) -> bool:
-    """Whether no piece can cross the place between text[at - 1] and text[at]."""
-    return 0 < at < len(text) and text[at] in SPACES and text[at - 1] not in SPACES
+def proven(data: bytes, at: int) -> bool:
+    """Whether no piece can cross the place before byte `at`: a space marker follows another character."""
+    return 0 < at < len(data) and data.startswith(SPACES, at) and not data.endswith(SPACES, 0, at)
 
 
-def count_tokens(sp, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
+def _char_start(data: bytes, at: int) -> int:
+    """The start of the character that holds byte `at`."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return min(at, len(data))
+
+
+def count_tokens(sp, text: str, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> int:
     """Tokens of text, encoded in overlapping chunks."""
-    n = len(text)
-    left = _Chunk(sp, text, 0, min(chunk, n))
-    done, skip = 0, 0  # tokens before the current chunk's part; tokens of the chunk before its splice
+    data = text.encode()
+    n = len(data)
+    left = _Chunk(sp, data, 0, _char_start(data, chunk))
+    done, skip, splice = 0, 0, 0  # tokens before the chunk's own; of the chunk before its splice; where that is
     while left.end < n:
         width, joined = overlap, None
         while joined is None:
-            start = max(left.end - width, left.start + 1)
-            if start == left.start + 1 and width > overlap:  # the overlap is the whole chunk: take a longer chunk
-                kept_from = left.begin(skip) if skip else left.start
-                left = _Chunk(sp, text, left.start, min(left.end + (left.end - left.start), n))
-                skip = left.boundaries(kept_from, kept_from + 1).get(kept_from, 0) if skip else 0
+            start = _char_start(data, left.end - width)
+            if start <= splice:  # the whole chunk holds no common boundary: take a longer one
+                left = _Chunk(sp, data, left.start, _char_start(data, left.end + (left.end - left.start) + 4))
+                skip = left.boundaries(splice, splice + 1)[splice] if splice else 0
                 if left.end == n:
                     break
                 width = overlap
                 continue
-            right = _Chunk(sp, text, start, min(start + max(chunk, 2 * width), n))
+            right = _Chunk(sp, data, start, _char_start(data, start + chunk + width))
             ours, theirs = left.boundaries(start + 1, left.end), right.boundaries(start + 1, left.end)
-            for at in sorted(ours.keys() & theirs.keys()):
-                if proven(text, at) and ours[at] >= skip:
-                    joined = at
-                    break
+            joined = next((at for at in sorted(ours.keys() & theirs.keys()) if proven(data, at)), None)
             width *= 2
         if joined is None:
             break
         done += ours[joined] - skip
-        left, skip = right, theirs[joined]
+        left, skip, splice = right, theirs[joined], joined
     return done + left.n - skip
 
 
@@ -134,7 +138,7 @@ def _counter(model, chunk: int, overlap: int, limit: int):
     return run
 
 
-def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, limit: int = TOKEN_LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit. model_path: a sentencepiece model on the driver."""
     with open(model_path, "rb") as f:
         model = f.read(MAX_MODEL_BYTES + 1)
