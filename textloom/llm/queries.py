@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import html_text, pii, quality, sharding, tokens, warc
+from textloom.llm import decontamination, html_text, mixing, pii, quality, sharding, simhash, tokens, url_filter, warc
 from textloom.llm.common import load
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -26,6 +27,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(load(spark, sf_dir, "documents"))
 
 
+def op5_decontamination_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op6_mixture_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture as ids: each document once for each epoch that takes it."""
+    docs = load(spark, sf_dir, "documents")
+    return mixing.mixed(docs, epoch_col="epoch").select("doc_id", mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", "epoch")
+
+
 def op7_sharding_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"))
 
@@ -36,5 +47,106 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_anchor_expansion, op2_warc_zstd_roundtrip, op3_html_text_density, op4_quality_rules, op7_sharding_by_bytes, op8_token_counts)}
+#: The rule-made list log of op9: per host, per parent domain and per leading path segment, dated by a digest of the key.
+LIST_START = "2024-01-01"
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list log over the hosts of pages: list_name, kind, key, action, listed_at."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    hosts = pages.select(host.alias("host"), F.element_at(F.array_remove(F.split(F.lower(path), "/"), ""), 1).alias("seg")).filter("host != ''").distinct()
+    keys = hosts.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("host").alias("kind"), F.col("host").alias("key")),
+                F.struct(F.lit("domain").alias("kind"), F.substring_index("host", ".", -2).alias("key")),
+                F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), "seg").alias("key")),
+            )
+        ).alias("k")
+    ).select("k.kind", "k.key").filter("key is not null").distinct()
+    x = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("int")
+    dated = keys.withColumn("x", x).filter("x % 3 = 0")
+    start = F.date_add(F.lit(LIST_START).cast("date"), F.col("x") % 300)
+    events = dated.select("kind", "key", F.explode(F.array(F.struct(F.when(F.col("x") % 2 == 0, "block").otherwise("allow").alias("action"), start.cast("timestamp").alias("at")), F.struct(F.lit("remove").alias("action"), F.date_add(start, 90).cast("timestamp").alias("at")))).alias("e"))
+    return events.select(F.concat(F.lit("by_"), "kind").alias("list_name"), "kind", "key", F.col("e.action").alias("action"), F.col("e.at").alias("listed_at"))
+
+
+def op9_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries active on its (rule-made) fetch day."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit(LIST_START).cast("date"), (F.col("page_id") * 37 % 365).cast("int")).cast("timestamp")
+    found = url_filter.filter_urls(pages.withColumn("fetched_at", fetched), list_entries(pages))
+    return found.select("page_id", "url", "blocked", "list_name", "kind", "key", F.to_date("listed_at").cast("string").alias("listed_on"))
+
+
+def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii_anchor_expansion, op2_warc_zstd_roundtrip, op3_html_text_density, op4_quality_rules, op5_decontamination_spaced_seeds,
+        op6_mixture_budgets, op7_sharding_by_bytes, op8_token_counts, op9_url_temporal_lists, op10_simhash_pigeonring,
+    )
+}
+
+#: op5 to op8, op1, op3 and op10 cannot be expressed in SQL with the same functions; they are tested against brute force.
 ORACLES: dict[str, str] = {}
+ORACLES["op2_warc_zstd_roundtrip"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as n, sha256(html) as h from p),
+f as (select h, min(page_id) as first from d where n >= 100 group by h)
+select d.page_id, d.n as payload_bytes, d.h as payload_digest,
+  case when f.first <> d.page_id then 'revisit' else 'response' end as record_type,
+  case when f.first <> d.page_id then f.first end as refers_to
+from d left join f on f.h = d.h and d.n >= 100
+"""
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+ORACLES["op4_quality_rules"] = rf"""
+with d as (
+  select doc_id, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+  from documents),
+win as (select doc_id, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),
+cov as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from rep) group by doc_id),
+m as (
+  select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(l)::bigint as n_lines,
+    (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+    len(list_filter(w, lambda x: lower(x) in ({_STOP})))::bigint as n_stop, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::bigint as n_alpha
+  from d left join cov c on c.doc_id = d.doc_id),
+b as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and n_words <= 10000000 and word_chars / greatest(n_words, 1) between 2.0 and 20.0 and n_symbols / greatest(n_words, 1) <= 0.25
+  and n_stop >= 2 and n_stop / greatest(n_words, 1) >= 0.02 and n_dup_lines / greatest(n_lines, 1) <= 0.5 and n_alpha / greatest(n_words, 1) >= 0.6 as kept
+from b
+"""
+ORACLES["op9_url_temporal_lists"] = r"""
+with p as (
+  select page_id, url, date '2024-01-01' + (page_id * 37 % 365)::int as day,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\.', '') as host,
+    list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)), '/'), lambda x: x <> '') as segs
+  from pages),
+hosts as (select distinct host, segs[1] as seg from p where host <> ''),
+keys as (
+  select 'host' as kind, host as key from hosts
+  union select 'domain', array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') from hosts
+  union select 'prefix', host || '/' || seg from hosts where seg is not null),
+e as (select kind, key, case when x % 2 = 0 then 'block' else 'allow' end as action, date '2024-01-01' + x % 300 as since
+  from (select kind, key, ('0x' || substr(md5(key), 1, 6))::int as x from keys) where x % 3 = 0),
+c as (
+  select page_id, day, 'host' as kind, host as key from p where host <> ''
+  union all select page_id, day, 'domain', array_to_string(list_slice(labels, i, len(labels)), '.')
+    from (select page_id, day, string_split(host, '.') as labels, unnest(range(1, len(string_split(host, '.')) + 1)) as i from p where host <> '')
+  union all select page_id, day, 'prefix', host || '/' || array_to_string(segs[1:i], '/')
+    from (select page_id, day, host, segs, unnest(range(1, least(len(segs), 8) + 1)) as i from p where host <> '')),
+best as (
+  select c.page_id, e.kind, e.key, e.action, e.since,
+    row_number() over (partition by c.page_id order by length(e.key) desc, case when e.action = 'block' then 1 else 0 end desc, e.kind desc) as rn
+  from c join e on c.kind = e.kind and c.key = e.key and e.since <= c.day and c.day < e.since + 90)
+select p.page_id, p.url, coalesce(b.action = 'block', false) as blocked, 'by_' || b.kind as list_name, b.kind, b.key, b.since::varchar as listed_on
+from p left join best b on b.page_id = p.page_id and b.rn = 1
+"""
