@@ -1,0 +1 @@
+"""Corpus, record and index sources."""
