@@ -14,12 +14,12 @@ def chunks(labels: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("pos")
     t = F.substring_index("label", "-", 1)
     y = F.when(F.instr("label", "-") > 0, F.expr("substring(label, instr(label, '-') + 1)")).otherwise("")
-    df = labels.select(*keys, "pos", t.alias("t"), y.alias("y"))
-    before_t, before_y = F.lag("t").over(w), F.lag("y").over(w)
-    start = (F.col("t") != "O") & ((F.col("t") == "B") | before_t.isNull() | (before_t == "O") | (before_y != F.col("y")))
-    marked = df.withColumn("s", start.cast("int"))
-    numbered = marked.withColumn("c", F.sum("s").over(w)).filter("t <> 'O'")
-    return numbered.groupBy(*keys, "c").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("y", "pos").alias("type")).drop("c")
+    df = labels.select(*keys, "pos", t.alias("_t"), y.alias("_y"))
+    before_t, before_y = F.lag("_t").over(w), F.lag("_y").over(w)
+    start = (F.col("_t") != "O") & ((F.col("_t") == "B") | before_t.isNull() | (before_t == "O") | (before_y != F.col("_y")))
+    marked = df.withColumn("_s", start.cast("int"))
+    numbered = marked.withColumn("_c", F.sum("_s").over(w)).filter("_t <> 'O'")
+    return numbered.groupBy(*keys, "_c").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("_y", "pos").alias("type")).drop("_c")
 
 
 def entity_prf(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -27,9 +27,9 @@ def entity_prf(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "
 
     Gold and predicted chunks are tagged and counted per entity, one shuffle instead of two joins.
     """
-    side = lambda c, n: chunks(df.select(*keys, "pos", F.col(c).alias("label")), keys).withColumn("side", F.lit(n))
-    both = side(gold, 1).unionByName(side(pred, 2)).groupBy(*keys, "type", "first", "last").agg(F.sum("side").alias("s"))
-    n = both.agg(F.sum(F.expr("int(s = 3)")).alias("tp"), F.sum(F.expr("int(s >= 2)")).alias("np"), F.sum(F.expr("int(s <> 2)")).alias("ng"))
+    side = lambda c, n: chunks(df.select(*keys, "pos", F.col(c).alias("label")), keys).withColumn("_side", F.lit(n))
+    both = side(gold, 1).unionByName(side(pred, 2)).groupBy(*keys, "type", "first", "last").agg(F.sum("_side").alias("_found"))
+    n = both.agg(F.sum(F.expr("int(_found = 3)")).alias("tp"), F.sum(F.expr("int(_found >= 2)")).alias("np"), F.sum(F.expr("int(_found <> 2)")).alias("ng"))
     acc = df.agg(F.avg((F.col(gold) == F.col(pred)).cast("int")).alias("accuracy"))
     tp, np_, ng = (F.coalesce(F.col(c), F.lit(0)) for c in ("tp", "np", "ng"))
     p, r = _div(tp, np_), _div(tp, ng)

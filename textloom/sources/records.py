@@ -21,7 +21,7 @@ class MergeError(RuntimeError):
 
 def json_records(spark: SparkSession, folder: str) -> DataFrame:
     """file, pos, record (variant): the items of array files, and other files as one record."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", JSON_GLOB).text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=JSON_GLOB)
     rows = files.select(F.col("_metadata.file_name").alias("file"), F.parse_json("value").alias("v"))
     arrays = rows.filter(F.startswith(F.schema_of_variant("v"), F.lit("ARRAY")))
     single = rows.filter(~F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))).select("file", F.lit(0).alias("pos"), F.col("v").alias("record"))
