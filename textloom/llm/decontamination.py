@@ -10,7 +10,8 @@ the item). Items of fewer than SPAN tokens are too short to be evidence and matc
 
 Everything is built-in expressions. The seeds of the benchmark are broadcast if a count proves
 them to be at most MAX_BROADCAST_SEEDS, otherwise the join shuffles. Verification reads only the
-documents with a hit, through a semi join on narrow hits.
+documents with a hit, through a semi join on their ids: broadcast up to MAX_BROADCAST_IDS counted
+ids, so that the texts need no shuffle, and a shuffle join beyond.
 
 Defined results: null and empty texts and items hit nothing; repeated items count once per
 item_id, repeated documents are each reported; a null doc_id is never reported and its row is
@@ -30,6 +31,7 @@ SPAN = 12
 MIN_OVERLAP = 20
 MIN_MATCH = 0.8
 MAX_BROADCAST_SEEDS = 1_000_000
+MAX_BROADCAST_IDS = 2_000_000
 BLOCK = 256
 
 
@@ -65,7 +67,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # only documents with a hit go on, in blocks of tokens that overlap by the reach of a window,
     # so that a hit carries a bounded piece of its text however long the text is
     reach = MIN_OVERLAP - SPAN
-    with_hit = hits.select(F.col("doc_id").alias("_tl_hit")).distinct()
+    with_hit = checked_broadcast(materialize(hits.select(F.col("doc_id").alias("_tl_hit")).distinct(), "with_hit"), MAX_BROADCAST_IDS)
     texts = _hashed(docs.join(with_hit, docs[id_col] == with_hit["_tl_hit"], "left_semi"), id_col, text_col, "doc_id")
     pieces = texts.filter("size(t) > 0").select(
         "doc_id",
@@ -86,5 +88,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a verified overlap with the benchmark, with their columns."""
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_tl_bad")).distinct()
+    found = materialize(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_tl_bad")).distinct(), "found")
+    found = checked_broadcast(found, MAX_BROADCAST_IDS)
     return docs.join(found, docs[id_col] == found["_tl_bad"], "left_anti")
