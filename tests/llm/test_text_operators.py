@@ -1,0 +1,189 @@
+import hashlib
+import random
+import re
+
+import pytest
+from oracles import same
+
+from textloom.llm import html_text, pii, quality, queries, tokens, warc
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+def base_spans(t):
+    return {
+        "email": [m.span() for m in EMAIL.finditer(t)],
+        "ip": [m.span() for m in IP.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))],
+        "card": [m.span() for m in CARD.finditer(t) if 16 <= len(digits(m.group())) <= 19 and pii.luhn(digits(m.group()))],
+        "phone": [m.span() for m in PHONE.finditer(t) if 8 <= len(digits(m.group())) <= 15],
+    }
+
+
+def test_pii_parsers_against_patterns():
+    rnd = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(rnd.choice(rnd.choice(["a@.-b1", "0123456789 -.", "+()12 .-", "12.", "@a.", "5 -"])) for _ in range(rnd.randint(0, 40)))
+        found = pii.find_spans(t)
+        assert {k: found[k] for k in pii.BASE_KINDS} == base_spans(t), t
+
+
+def test_pii_added_spans():
+    assert pii.find_spans("IBAN: DE89 3704 0044 0532 0130 00 ok")["account"] == [(6, 33)]
+    assert pii.find_spans("SSN 123-45-6789.")["account"] == [(4, 15)]
+    assert pii.find_spans("see https://bob:pw@ex.com/x now")["address"] == [(4, 27)]
+    for clean in ("the account of the king", "see https://example.com/page?x=1", "IBAN DE00 0000 0000 0000 0000 00", "tel: none"):
+        assert not any(pii.find_spans(clean).values()), clean
+    assert pii.redact("mail a@b.co now") == "mail [email] now"
+
+
+def test_pii_query(spark, small, edge_docs, no_docs):
+    got = {r.doc_id: r for r in queries.op1_pii_anchor_expansion(spark, small).collect()}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        b, g = base_spans(r.text), got[r.doc_id]
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [len(b[k]) for k in pii.BASE_KINDS]
+        line = ",".join(f"{k}:{s}:{e}" for k in pii.BASE_KINDS for s, e in b[k])
+        assert g.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and g.spans.startswith(line)
+    rows = {r.doc_id: r for r in pii.pii_spans(edge_docs).collect()}
+    assert rows[2].spans == "" and rows[7].n_email == 1 and None in rows
+    assert pii.pii_spans(no_docs).count() == 0
+
+
+def test_pii_long_text():
+    assert len(pii.find_spans("1" * 300_000 + "@" * 1000 + "+1" * 50_000)["ip"]) == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 300])
+def test_archive_round_trip(n):
+    records = [warc.build_record(i, f"http://x/{i}", (f"<p>page {i} " + "abc " * 200).encode(), hashlib.sha256((f"<p>page {i} " + "abc " * 200).encode()).hexdigest(), None) for i in range(n)]
+    data = warc.encode_archive(records)
+    assert list(warc.decode_archive(data)) == records
+    assert (data[:4] == b"\x50\x2a\x4d\x18") == (n == 300)  # many records: the dictionary leads
+    for r in records[:3]:
+        headers, block = warc.parse_record(r)
+        assert headers["warc-type"] == "response" and len(block) == int(headers["content-length"])
+
+
+def test_archive_damage():
+    payload = b"x" * 200
+    r = warc.build_record(1, "u", payload, hashlib.sha256(payload).hexdigest(), None)
+    data = warc.encode_archive([r, r])
+    with pytest.raises(Exception):
+        list(warc.decode_archive(data[:-3]))
+    with pytest.raises(warc.WarcError):
+        list(warc.decode_archive(data + b"junk"))
+    for bad in (r[:-1], r.replace(b"WARC/1.1", b"WARC/9.9"), r.replace(b"Content-Length: 200", b"Content-Length: 199"), r.replace(b"xxx", b"xxy", 1), r.replace(b"WARC-Date", b"X-Date")):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(bad)
+
+
+def test_warc_pages(spark, small, tmp_path):
+    same(queries.op2_warc_zstd_roundtrip(spark, small), queries.ORACLES["op2_warc_zstd_roundtrip"], small)
+    big = "y" * 150
+    pages = spark.createDataFrame([(1, "u", big, "a"), (3, "u", big, "a"), (2, None, big, "a"), (4, "u", None, "a"), (5, "u", "", "a"), (6, "u", "s", "a"), (7, "u", "s", "a"), (None, "u", big, "a"), (1, "u", big, "a")], "page_id long, url string, html string, digest string")
+    manifest = warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=300)
+    assert manifest.count() > 2
+    rows = sorted(warc.read_archives(spark, str(tmp_path / "w"), manifest).collect(), key=lambda r: (r.page_id is None, r.page_id))
+    assert [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in rows] == [
+        (1, "response", None, 150), (1, "response", None, 150), (2, "revisit", 1, 150), (3, "revisit", 1, 150), (4, "response", None, 0), (5, "response", None, 0), (6, "response", None, 1), (7, "response", None, 1), (None, "revisit", 1, 150),
+    ]
+    assert bytes(rows[0].payload) == big.encode()
+    assert warc.roundtrip(pages.limit(0)).count() == 0
+
+
+P = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore."
+HTML = [
+    (f"<body><div class='header'>Site <a href=x>Home</a></div><div id=main-menu><ul><li><a>one</a><li><a>two</a></ul></div><div class='content'><h1>Title</h1><p>{P}</p><p>short.</p><p>{P} <a href=q>link</a> &amp; more&nbsp;text</p><div class='ad-box'>buy</div></div><div class=sidebar>side {P}</div><div id=comments><p>{P}</p></div><div class='cookie-notice'>{P}</div><form>search</form><div class=footer>foot</div>", f"Title\n\n{P}\n\nshort.\n\n{P} link & more text"),
+    (f"<article class='post'><header><h1>T</h1></header><p>{P}<p>x<aside>related</aside><section class='comments'><p>{P * 4}</p></section></article>", f"T\n\n{P}\n\nx"),
+    (f"<div><div><p>One {P}</p><p>Two {P}</p></div><div><p>Three {P}</p></div></div><ul class=nav><li><a href=1>aaa bbb</a></li></ul>", f"One {P}\n\nTwo {P}\n\nThree {P}"),
+    ("plain text only", "plain text only"),
+    ("<p>unclosed <b>bold <i>it", "unclosed bold it"),
+    ("<nav><p>never closed menu", ""),
+    ("<!-- only", ""),
+    ("<script>x", ""),
+    ("<p>a&lt;b &#233; &copy;</p>", "a<b é ©"),
+    ("<article><p>one<br>two</p><pre>a\n  b</pre></article>", "one two\n\na b"),
+    (None, ""),
+    ("", ""),
+]
+
+
+def test_html_cases(spark):
+    for source, want in HTML:
+        assert html_text.extract(source) == want, source
+    df = spark.createDataFrame([(i, None, h, "x") for i, (h, _) in enumerate(HTML)], "page_id long, url string, html string, text string")
+    assert {r.page_id: (r.text, r.n_chars) for r in html_text.main_text(df).collect()} == {i: (w, len(w)) for i, (_, w) in enumerate(HTML)}
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_html_pages(spark, small):
+    import html
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    for r in queries.op3_html_text_density(spark, small).collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
+        parts = re.split(r"</?(?:p|h1)[^>]*>", inner)
+        text = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts]
+        assert r.text == "\n\n".join(x for x in text if x)
+
+
+def test_html_is_linear():
+    for c in ("<div>" * 20_000 + "x", '<a "' * 10_000, "<p>" * 20_000, "<script " * 10_000, "<li>" * 10_000):
+        html_text.extract(c)
+
+
+def brute_quality(t):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
+    seen, covered = {}, set()
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            covered |= {i + k for i in at for k in range(3)}
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, small, edge_docs, no_docs):
+    same(queries.op4_quality_rules(spark, small), queries.ORACLES["op4_quality_rules"], small)
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(["a ", "b ", "c\n", "\n", "x#y ", "é\t", "  "]) for _ in range(rnd.randint(0, 90))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(edge_docs.select("doc_id", "text").filter("doc_id is not null"))
+    for r in df.join(quality.quality_verdicts(df).distinct(), "doc_id").filter("doc_id > 9").collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(r.text)
+    assert quality.quality_verdicts(edge_docs).count() == edge_docs.count()
+    assert quality.quality_filter(edge_docs).columns == edge_docs.columns
+    assert quality.quality_verdicts(no_docs).count() == 0 and quality.quality_filter(no_docs).count() == 0
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = {r.doc_id for r in quality.quality_verdicts(docs).filter("kept").collect()}
+    assert {r.doc_id for r in quality.quality_filter(docs).collect()} == kept
+    labels = spark.read.parquet(f"{small}/labels.parquet").filter("quality = 1")
+    failed = quality.quality_verdicts(docs).filter("not kept and not base_failed")
+    assert failed.join(labels, "doc_id").count() == 0  # clean documents stay
+    assert "Python" not in quality.quality_verdicts(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens(spark, small, edge_docs, no_docs):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(3)
+    for _ in range(1500):
+        t = "".join(rnd.choice(["a", "b ", "the ", "  ", "é", "日", "\n", "🦄", "▁", "x" * rnd.randint(1, 80), " word", " 12"]) for _ in range(rnd.randint(0, 200)))
+        assert tokens.count_tokens(sp, t, 64, 8) == len(sp.encode(t))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = {r.doc_id: len(sp.encode(r.text)) for r in docs.collect()}
+    for chunk in (512, tokens.CHUNK_BYTES):
+        got = tokens.token_counts(docs, path, chunk=chunk, overlap=32).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == want and all(r.over_limit == (r.n_tokens > 4096) for r in got)
+    rows = {r.doc_id: r for r in tokens.token_counts(edge_docs, path).collect()}
+    assert (rows[2].n_tokens, rows[2].n_bytes, rows[3].n_tokens) == (0, 0, 0) and rows[5].n_tokens == len(sp.encode("word " * 30_000))
+    assert tokens.token_counts(no_docs, path).count() == 0

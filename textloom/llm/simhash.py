@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, salt_of, spread_back, words
+from textloom.llm.common import checked_broadcast, materialize, salt_of, spread_back, words
 from textloom.llm.components import components
 
 SHINGLE = 3
 MAX_BITS = 2
 SEGMENTS = 8
 MAX_BUCKET = 32
+MAX_BROADCAST_IDS = 2_000_000
 SALTS = 64
 BITS = 64
 
@@ -135,10 +136,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each group of near-duplicates: the one with the smallest id."""
-    found = near_duplicates(docs, id_col, text_col)
-    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    keep = materialize(ids.filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_tl_id"), "n"), "keep")
-    single = docs.join(keep.filter("n = 1"), docs[id_col].eqNullSafe(keep["_tl_id"]), "left_semi")
-    repeated = docs.join(keep.filter("n > 1"), docs[id_col].eqNullSafe(keep["_tl_id"]), "left_semi").dropDuplicates([id_col])
-    return single.unionByName(repeated)
+    """The documents, one of each group of near-duplicates: the one with the smallest id.
+
+    Of rows that repeat a kept id one stays; rows without an id always stay. The ids to drop are
+    broadcast up to MAX_BROADCAST_IDS counted ones, so that the texts need no shuffle; beyond that
+    the join shuffles.
+    """
+    found = near_duplicates(docs, id_col, text_col).filter("doc_id is not null")
+    ids = found.groupBy(F.col("doc_id").alias("_tl_id")).agg((F.min("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("n"))
+    out = materialize(ids.filter("gone or n > 1").select("_tl_id", "gone"), "drop")
+    drop = checked_broadcast(out.select("_tl_id"), MAX_BROADCAST_IDS)
+    kept = docs.join(drop, docs[id_col] == drop["_tl_id"], "left_anti")
+    repeated = out.filter("not gone").select("_tl_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = checked_broadcast(repeated, MAX_BROADCAST_IDS)
+    return kept.unionByName(docs.join(repeated, docs[id_col] == repeated["_tl_id"], "left_semi").dropDuplicates([id_col]))
