@@ -55,7 +55,9 @@ def _n_repeat_words(df: DataFrame, w: str, n: str, out: str) -> DataFrame:
     """Words inside a 3-word window that occurs at least twice in the text.
 
     Windows are compared by a 64-bit hash of their words; only texts with an equal pair go on to
-    sort (hash, position). Each step is a column of its own so that no lambda recomputes it.
+    sort (hash, position). Each step is a column of its own so that no lambda recomputes it, and
+    the last depends on the partition id: the optimizer then pushes no later filter below these
+    steps, which would nest them inside each other's lambdas.
     """
     h, win, srt, pos = fresh(df, "wh", "win", "srt", "pos")
     df = df.withColumn(h, F.expr(f"transform(`{w}`, x -> xxhash64(x))"))
@@ -72,6 +74,7 @@ def _n_repeat_words(df: DataFrame, w: str, n: str, out: str) -> DataFrame:
         F.expr(f"sort_array(transform(filter(transform(`{srt}`, (x, i) -> named_struct('p', x.p, 'd', coalesce(x.h = get(`{srt}`, i + 1).h, false) or coalesce(x.h = get(`{srt}`, i - 1).h, false))), x -> x.d), x -> x.p))"),
     )
     total = f"aggregate(transform(`{pos}`, (p, i) -> least({REPEAT_WINDOW}, coalesce(get(`{pos}`, i + 1) - p, {REPEAT_WINDOW}))), 0L, (a, x) -> a + x)"
+    total = f"if(spark_partition_id() < 0, 0L, {total})"
     return df.withColumn(out, F.expr(total)).drop(h, win, srt, pos)
 
 
@@ -140,13 +143,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their columns.
-
-    The verdict depends on the partition id, so that the optimizer does not push the filter below
-    the projections and evaluate the measures a second time, nested inside each other's lambdas.
-    """
+    """The documents that pass, with their columns."""
     columns = docs.columns
     df, c = quality_measures(docs, text_col)
     (kept,) = fresh(df, "kept")
-    df = df.withColumn(kept, ~base_failed(c) & compile_rules(rules, c) & (F.spark_partition_id() >= 0))
+    df = df.withColumn(kept, ~base_failed(c) & compile_rules(rules, c))
     return df.filter(F.col(kept)).select(*[f"`{x}`" for x in columns])
