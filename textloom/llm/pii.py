@@ -29,7 +29,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "address", "account")
 
 #: Words that announce an identifier.
-CUES = ("ssn", "social security", "iban", "account no", "account number", "acct", "passport", "konto", "compte", "cuenta", "customer id", "member id", "tax id")
+CUES = ("ssn", "social security", "account no", "account number", "acct", "passport", "konto", "compte", "cuenta", "customer id", "member id", "tax id")
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "tel:")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,7 +40,8 @@ PHONE_REST = re.compile(r"[ ().0-9-]+")
 URI_REST = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
 LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+;=-]+(?::[^@/?#\s]*)?@[A-Za-z0-9.-]+")
 AFTER_CUE = re.compile(r"[ \t]*(?:(?:no|nr|num|number|code)\b\.?)?[ \t]*[:=#]?[ \t]*", re.IGNORECASE)
-IDENTIFIER = re.compile(r"[A-Za-z0-9]+(?:[ -][A-Za-z0-9]+)*")
+
+WORD = re.compile(r"[A-Za-z0-9]+")
 IBAN_AT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 DIGITS = re.compile(r"[^0-9]")
 
@@ -75,7 +76,7 @@ def _automaton():
         for w in entries:
             for form in {w, w.upper(), w.capitalize(), w.title()}:
                 a.add_word(form, (kind, len(w)))
-    # an IBAN is anchored by its digits: two letters before the first
+    # an IBAN is anchored by its first digit, right after two letters, and needs no cue
     a.make_automaton()
     return a
 
@@ -115,7 +116,7 @@ def _identifier(text: str, after: int) -> tuple[int, int] | None:
     """The identifier after a cue: words of letters and digits, each with a digit, at least 6 digits in all."""
     at = AFTER_CUE.match(text, after).end()
     end, digits = at, 0
-    while m := re.compile(r"[A-Za-z0-9]+").match(text, end + 1 if end > at else end):
+    while m := WORD.match(text, end + 1 if end > at else end):
         n = len(DIGITS.sub("", m.group()))
         if not n or len(m.group()) > 34:
             break
