@@ -13,7 +13,6 @@ table gives an empty table. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +22,6 @@ N_SHARDS = 24
 ROW_OVERHEAD = 8
 
 
-def _running(batches):
-    """Row number, start offset and partition id inside one sorted partition, streamed."""
-    import pyarrow.compute as pc
-    from pyspark import TaskContext
-
-    part, row, offset = TaskContext.get().partitionId(), 0, 0
-    for b in batches:
-        n = b.num_rows
-        size = b.column(b.schema.get_field_index("size"))
-        ends = pc.add(pc.cumulative_sum(size), offset)
-        starts = pc.subtract(ends, size)
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[:3], pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), starts],
-            ["doc_id", "size", "text_crc32", "part", "part_row", "part_start"],
-        )
-        if n:
-            row, offset = row + n, ends[-1].as_py()
-
-
 def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     spark = docs.sparkSession
@@ -56,10 +36,18 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_
     order = ["doc_id", "text_crc32", "size", "tie"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.withColumn("tie", tie).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = "doc_id long, size long, text_crc32 long, part int, part_row long, part_start long"
-    placed = materialize(ranged.select("doc_id", "size", "text_crc32").mapInArrow(_running, schema), "ranged")
+    stored = materialize(ranged.select("doc_id", "size", "text_crc32", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ranged")
+    inside = Window.partitionBy("part").orderBy("at")
+    placed = stored.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "part",
+        (F.row_number().over(inside) - 1).alias("part_row"),
+        (F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("part_start"),
+    )
 
-    totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    totals = stored.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # one row per partition: bounded by the number of shuffle partitions
