@@ -39,7 +39,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node that has an edge; component is its smallest reachable node."""
+    """(node, component) of every node that reaches a smaller one; component is the smallest. Nodes left out are their own."""
     now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(MAX_ROUNDS):

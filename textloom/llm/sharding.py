@@ -1,7 +1,7 @@
 """Sharding: global byte-size prefix sums from per-partition totals, cut at equal targets.
 
 Rows are range-partitioned by id and sorted inside their partition, and the narrow digest (no
-text) is written once. Per-partition totals (one row per partition) give every partition its
+text) is written once with its partition. Per-partition totals (one row per partition) give every partition its
 global start; a running sum inside the partition gives every row its own. A row belongs to the
 shard in which its first byte falls, so shards are contiguous in id order and differ by at most
 one row's size.
