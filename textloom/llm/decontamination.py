@@ -3,7 +3,8 @@
 Texts become lower-case alphanumeric tokens. A fixed mask of SPAN positions keeps WEIGHT of them
 and ignores the rest, so a seed survives substitutions at the ignored places; several masks
 together cover what one misses. Seeds of every token position of the benchmark are joined with
-those of every position of the documents. Each hit fixes an alignment of a document to an item;
+those of every position of the documents; a bitmap of the token pairs that start the benchmark's
+seeds passes over positions that cannot join before they are hashed. Each hit fixes an alignment of a document to an item;
 the overlap around the hit is verified token by token: some window of MIN_OVERLAP aligned tokens
 over the seed must agree in at least MIN_MATCH of them (items shorter than the window: in all of
 the item). Items of fewer than SPAN tokens are too short to be evidence and match nothing.
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from textloom.llm.common import checked_broadcast, materialize
 
 #: Fixed masks: 1 keeps the token at that place of the span, 0 ignores it.
-MASKS = ("110110011011", "111001101011", "101101110110")
+#: All keep the first two tokens, which is what the gate looks at.
+MASKS = ("110110011011", "111001101011", "110101101101")
 SPAN = 12
 MIN_OVERLAP = 20
 MIN_MATCH = 0.8
 MAX_BROADCAST_SEEDS = 1_000_000
 MAX_BROADCAST_IDS = 2_000_000
 BLOCK = 256
+GATE_BITS = 20
 
 
 def tokens(text: Column) -> Column:
@@ -45,15 +48,34 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
     return split.select(out, F.expr("transform(w, x -> xxhash64(x))").alias("t"))
 
 
-def _seeds(hashed: DataFrame, id_name: str, at: str) -> DataFrame:
-    """(id, at, seed) for each mask and each position with a whole span."""
-    parts = []
+#: The place in the gate of the two tokens from position i on.
+PAIR = f"((t[i] ^ shiftrightunsigned(t[i + 1], 9)) & {(1 << GATE_BITS) - 1})"
+
+
+def pair_gate(hashed: DataFrame) -> list[int]:
+    """A bitmap of the token pairs at which the benchmark's seeds start: 2^GATE_BITS bits, whatever its size."""
+    at = hashed.filter(f"size(t) >= {SPAN}").select(F.explode(F.expr(f"transform(slice(t, 1, size(t) - {SPAN - 1}), (x, i) -> {PAIR})")).alias("p"))
+    rows = at.groupBy(F.expr("cast(shiftright(p, 6) as int)").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).collect()
+    found = {r["k"]: r["v"] for r in rows}
+    return [found.get(k, 0) for k in range(1 << (GATE_BITS - 6))]
+
+
+def _seeds(hashed: DataFrame, id_name: str, at: str, gate: list[int] | None = None) -> DataFrame:
+    """(id, at, seed) for each mask and each position with a whole span.
+
+    With a gate, positions whose first two tokens start no seed of the benchmark are passed over
+    before their seeds are hashed; equal seeds have equal pairs, so none that could join is lost.
+    """
+    seeds = []
     for k, mask in enumerate(MASKS):
         kept = ", ".join(f"t[i + {j}]" for j, bit in enumerate(mask) if bit == "1")
-        parts.append(f"xxhash64({k}, {kept})")
-    arrays = f"transform(slice(t, 1, size(t) - {SPAN - 1}), (x, i) -> array({', '.join(parts)}))"
-    rows = hashed.filter(f"size(t) >= {SPAN}").select(id_name, F.posexplode(F.expr(arrays)).alias(at, "s"))
-    return rows.select(id_name, at, F.explode("s").alias("seed"))
+        seeds.append(f"xxhash64({k}, {kept})")
+    rows = hashed.filter(f"size(t) >= {SPAN}")
+    if gate is not None:
+        rows = rows.withColumn("bits", F.lit(gate).cast("array<bigint>") if gate else F.array())
+    test = f"filter(sequence(0, size(t) - {SPAN}), i -> getbit(bits[cast(shiftright({PAIR}, 6) as int)], cast({PAIR} & 63 as int)) = 1)" if gate is not None else f"sequence(0, size(t) - {SPAN})"
+    arrays = f"flatten(transform({test}, i -> transform(array({', '.join(seeds)}), x -> named_struct('at', i, 'seed', x))))"
+    return rows.select(id_name, F.explode(F.expr(arrays)).alias("s")).select(id_name, F.col("s.at").alias(at), F.col("s.seed").alias("seed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -61,7 +83,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     d = _hashed(docs, id_col, text_col, "doc_id")
     b = materialize(_hashed(benchmark.dropDuplicates([item_col, item_text]), item_col, item_text, "item_id").filter("item_id is not null").withColumn("item_key", F.xxhash64("item_id", "t")), "benchmark")
     seeds = materialize(_seeds(b, "item_key", "item_at").dropDuplicates(["item_key", "item_at", "seed"]), "seeds")
-    hits = _seeds(d.filter("doc_id is not null"), "doc_id", "doc_at").join(checked_broadcast(seeds, MAX_BROADCAST_SEEDS), "seed")
+    hits = _seeds(d.filter("doc_id is not null"), "doc_id", "doc_at", pair_gate(b)).join(checked_broadcast(seeds, MAX_BROADCAST_SEEDS), "seed")
     hits = materialize(hits.select("doc_id", "item_key", "doc_at", "item_at").distinct(), "hits")
 
     # only documents with a hit go on, in blocks of tokens that overlap by the reach of a window,
