@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, salt_of, scratch_path, spread_back
+from textloom.llm.common import checked_broadcast, materialize, salt_of, scratch_path, spread_back
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 32 << 10
 DICT_SAMPLE_RECORDS = 200
+MAX_BROADCAST_FILES = 1_000_000
 SALTS = 64
 LEVEL = 3
 
@@ -262,7 +263,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, payload
         return spark.createDataFrame([], RECORD_SCHEMA)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    found = files.join(F.broadcast(manifest.select("file", "n_records")), "file").select("content", "n_records")
+    found = files.join(checked_broadcast(manifest.select("file", "n_records"), MAX_BROADCAST_FILES), "file").select("content", "n_records")
     return found.mapInArrow(_reader(payloads), RECORD_SCHEMA)
 
 
