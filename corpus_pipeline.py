@@ -9,7 +9,7 @@ from textloom.llm.decontamination import decontaminate
 from textloom.llm.mixing import mixed
 from textloom.llm.quality import quality_filter
 from textloom.llm.sharding import assign_shards
-from textloom.llm.simhash import keep_one
+from textloom.llm.similar import keep_one_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return keep_one(docs)
+    """One document of each group linked by a 5-word Jaccard similarity of 0.8 or more."""
+    return keep_one_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

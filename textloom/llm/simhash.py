@@ -60,19 +60,23 @@ def _majorities(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def shingle_hashes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id and h, the hashes of the word shingles, repeats included."""
     ascii_lower = F.translate(F.col(f"`{text_col}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), words(ascii_lower).alias("w"))
     parts = ", ".join(f"w[i + {k}]" if k else "w[i]" for k in range(shingle))
-    hashes = split.select(
+    return split.select(
         "doc_id",
         F.expr(
             f"case when size(w) = 0 then array() when size(w) < {shingle} then array(xxhash64(array_join(w, ' '))) "
             f"else transform(slice(w, 1, size(w) - {shingle - 1}), (x, i) -> xxhash64(concat_ws(' ', {parts}))) end"
         ).alias("h"),
     )
-    return hashes.mapInArrow(_majorities, "doc_id long, fp long")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long)."""
+    return shingle_hashes(docs, id_col, text_col, shingle).mapInArrow(_majorities, "doc_id long, fp long")
 
 
 def _mask(first: int, count: int, segments: int) -> int:
@@ -136,13 +140,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each group of near-duplicates: the one with the smallest id.
+    """The documents, one of each group of near-duplicates: the one with the smallest id."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id is the component_id of their group; groups has doc_id and component_id.
 
     Of rows that repeat a kept id one stays; rows without an id always stay. The ids to drop are
     broadcast up to MAX_BROADCAST_IDS counted ones, so that the texts need no shuffle; beyond that
     the join shuffles.
     """
-    found = near_duplicates(docs, id_col, text_col).filter("doc_id is not null")
+    found = groups.filter("doc_id is not null")
     ids = found.groupBy(F.col("doc_id").alias("_tl_id")).agg((F.min("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("n"))
     out = materialize(ids.filter("gone or n > 1").select("_tl_id", "gone"), "drop")
     drop = checked_broadcast(out.select("_tl_id"), MAX_BROADCAST_IDS)
