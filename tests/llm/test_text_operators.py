@@ -122,6 +122,14 @@ def test_html_cases(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_html_attributes_are_whole_names():
+    kept = ('style="overflow:hidden"', "style='visibility: hidden'", 'title="hidden gems"', 'data-id="related-7"', 'data-role="navigation"', "data-x=a/hidden", "title='x class=ad'", 'style = "overflow: hidden" class="post"', 'aria-hidden="false"')
+    for attributes in kept:
+        assert html_text.extract(f"<body><div {attributes}><p>{P}</p></div></body>") == P, attributes
+    for attributes in ("hidden", "HIDDEN=''", "title='a'hidden", 'data-a="1" role=navigation', "class=ad", "id = 'related-7'", "x=y class='big sidebar'", "aria-hidden=true", "a/hidden"):
+        assert html_text.extract(f"<body><div {attributes}><p>{P} {P}</p></div><p>{P}</p></body>") == P, attributes
+
+
 def test_html_pages(spark, small):
     import html
 

@@ -62,7 +62,8 @@ CONTAINERS = frozenset("html body main article".split())
 MAX_DEPTH = 512
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)([^>]*)>?|<[!?/][^>]*>?", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute as a whole, name and value, so that names are not found inside other names or values.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -90,7 +91,7 @@ def _cut(tag: str, attributes: str, stack: list[Node]) -> bool:
         elif name == "hidden" or name == "aria-hidden":
             if name == "hidden" or value == "true":
                 return True
-        else:
+        elif name == "class" or name == "id":
             for word in value.split():
                 parts = [p.lower() for p in NAME_WORDS.findall(word)]
                 if parts and (parts[0] in CUT_NAMES or parts[-1] in CUT_NAMES) and not (inside and parts[0] in ("header", "masthead")) and parts[0] not in ("no", "with", "has"):
