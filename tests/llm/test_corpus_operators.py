@@ -175,6 +175,14 @@ def test_url_filter(spark, small, monkeypatch, bound):
     assert url_filter.filter_urls(c, e.limit(0)).filter("blocked").count() == 0
 
 
+def test_url_filter_long_prefixes(spark):
+    key = "ex.com/" + "/".join("abcdefghi")
+    e = spark.createDataFrame([("l", "prefix", key, "block")], "list_name string, kind string, key string, action string").withColumn("listed_at", F.to_timestamp(F.lit("2024-01-01")))
+    urls = [(1, f"http://{key}"), (2, f"http://{key}/j?q"), (3, "http://ex.com/" + "/".join("abcdefgh"))]
+    c = spark.createDataFrame(urls, "page_id long, url string").withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-02")))
+    assert {r.page_id: r.blocked for r in url_filter.filter_urls(c, e).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_native_plans(spark, small):
     for f in (queries.op4_quality_rules, queries.op5_decontamination_spaced_seeds, queries.op9_url_temporal_lists):
         plan = f(spark, small)._jdf.queryExecution().executedPlan().toString()

@@ -8,8 +8,7 @@ interval holds its fetch time. Kinds: `host` (that host), `domain` (it and every
 and block before allow at equal length.
 
 URLs become candidate keys by built-in expressions: the host, its parent domains, and the leading
-path segments, bounded by MAX_LABELS and MAX_SEGMENTS which hold every legal host and the keys a
-list can have (longer list keys are rejected by an error). Captures meet the intervals on the key.
+path segments, as many as the longest prefix key of the list has. Captures meet the intervals on the key.
 The list is broadcast if a count proves it small; otherwise captures keep a salt in the key and
 the list's rows are repeated per salt, so a host with a third of all captures is dealt over SALTS
 tasks.
@@ -27,8 +26,6 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import bounded, salt_of
 
-MAX_LABELS = 127
-MAX_SEGMENTS = 8
 MAX_BROADCAST_ENTRIES = 500_000
 SALTS = 16
 
@@ -53,13 +50,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.select("list_name", "kind", F.lower("key").alias("key"), F.when(F.col("r") == 2, "block").otherwise("allow").alias("action"), F.col("listed_at").alias("valid_from"), "valid_to")
 
 
-def candidate_keys(host: Column, path: Column) -> Column:
-    """array<struct<kind, key>> of the list keys that could name the URL."""
+def candidate_keys(host: Column, path: Column, segments_at_most: int) -> Column:
+    """array<struct<kind, key>> of the list keys that could name the URL; prefixes have at most so many segments."""
     labels = F.split(host, "\\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n - i + 1), ".").alias("key")))
     segments = F.array_remove(F.split(F.lower(path), "/"), "")
-    m = F.least(F.size(segments), F.lit(MAX_SEGMENTS))
+    m = F.least(F.size(segments), F.lit(segments_at_most))
     prefixes = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")).alias("key"))))
     none = F.expr("cast(array() as array<struct<kind:string,key:string>>)")
     return F.when(host != "", F.concat(F.array(F.struct(F.lit("host").alias("kind"), host.alias("key"))), domains, F.coalesce(prefixes, none))).otherwise(none)
@@ -74,7 +71,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
     small = bounded(entries, MAX_BROADCAST_ENTRIES)
     salts = 1 if small else SALTS
-    cand = keyed.select("page_id", "url", "fetched_at", "row", salt_of(F.col("row"), salts).alias("salt"), F.explode_outer(candidate_keys(F.col("host"), F.coalesce(path_of(F.col("url")), F.lit("")))).alias("c"))
+    longest = entries.filter("kind = 'prefix'").agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    cand = keyed.select("page_id", "url", "fetched_at", "row", salt_of(F.col("row"), salts).alias("salt"), F.explode_outer(candidate_keys(F.col("host"), F.coalesce(path_of(F.col("url")), F.lit("")), longest)).alias("c"))
     cand = cand.select("page_id", "url", "fetched_at", "row", "salt", F.col("c.kind").alias("ckind"), F.col("c.key").alias("ckey"))
     if small:
         dealt = F.broadcast(spans.withColumn("vsalt", F.lit(0)))
