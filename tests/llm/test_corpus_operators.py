@@ -50,16 +50,38 @@ def test_simhash(spark, small, edge_docs, no_docs):
 
 
 @pytest.mark.parametrize("max_bucket", [1, 3, 1000])
-def test_links_by_either_way(spark, max_bucket):
+@pytest.mark.parametrize("segments", [None, 16, 32])
+def test_links_by_either_way(spark, max_bucket, segments):
     rnd = random.Random(max_bucket)
     bases = [rnd.getrandbits(64) for _ in range(6)]
     fps = {rnd.choice(bases) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))) for _ in range(150)}
-    prints = dict(enumerate(sorted(fps)))
-    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, k) for k, v in prints.items()], "fp long, rep long")
-    found = {r.node: r.component for r in components.components(simhash.links(df, max_bucket=max_bucket)).collect()}
+    prints = {v - (1 << 64) if v >> 63 else v: v for v in fps}
+    df = spark.createDataFrame([(k,) for k in prints], "fp long")
+    found = {r.node: r.component for r in components.components(simhash.links(df, segments=segments, max_bucket=max_bucket)).collect()}
     assert {d: found.get(d, d) for d in prints} == brute_components(prints)
 
 
+def test_pigeonring_alone_finds_all_links(spark):
+    """The chains find every pair within two bits; the neighbourhoods of hot keys are for cost only."""
+    rnd = random.Random(3)
+    fps = [rnd.getrandbits(64) for _ in range(40)]
+    fps += [f ^ sum(1 << b for b in rnd.sample(range(64), k)) for f in fps for k in (1, 2, 3)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in fps]
+    want = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    for segments in (8, 16, 32):
+        got = simhash.ring_links(simhash.ring_keys(df, segments), segments).distinct().collect()
+        assert {(r.u, r.v) for r in got} == want
+    assert [simhash.segments_for(n) for n in (0, 10**8, 10**9, 10**12)] == [8, 8, 16, 32]
+    assert {(r.u, r.v) for r in simhash.links(df).collect()} == want  # no key is hot: all links come from the ring
+
+
+def test_rows_that_repeat_an_id(spark):
+    df = spark.createDataFrame([(3, "a b c d"), (5, "a b c d"), (5, "x y z w q"), (5, "x y z w q"), (4, "a b c d")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(3, 3), (4, 3), (5, 3), (5, 5), (5, 5)]
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == [(3, "a b c d"), (5, "x y z w q")]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (200, 100)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}

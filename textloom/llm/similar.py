@@ -1,99 +1,229 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
-
-A document is the set of its SHINGLE-word shingles as 64-bit hashes (words as in simhash; fewer
-words: the whole sequence). Two documents link if their sets have a Jaccard similarity of
-NUM / DEN or more. No pair that does is passed over, to a hash collision.
-
-Candidates. In any order of all shingles, two sets of n and m shingles that link share one of the
-first n - ceil(n * NUM / DEN) + 1 of the one and of the first so many of the other (Chaudhuri,
-Ganti and Kaushik, 2006). The order is by hash with the shingles of hot keys last, so that a common
-line is no key. Of a pair with c shared keys the overlap is at most c plus the rest of the
-document whose keys end first (Xiao et al., 2008); pairs that cannot reach the similarity by that
-or by their sizes are passed over, and of all others the sets are compared.
-
-Hot keys. A key with more than MAX_BUCKET sets first links its sets by stars to a few centres, all
-compared exactly. Then pairs are listed of those sets only that are not in the key's largest
-component, so a large group of near copies is not listed pair by pair and no link between
-components is lost.
-
-Defined results: equal sets are one node, so documents without words are copies of each other; rows
-that repeat a doc_id are linked; rows without an id are left out; an empty table gives an empty
-table; only the id and text columns are read.
+"""Near-duplicates by SimHash at a similarity of 0.8: wide fingerprints, pigeonring candidates, exact check.
+
+A document is the set of its SHINGLE-word shingles (words as in simhash; fewer words: the whole
+sequence). Two sets of Jaccard similarity J differ in a share acos(2 J / (1 + J)) / pi of their
+SimHash bits: 15 % at 0.8, which is 10 of 64 bits, too many for keys of one 64-bit ring. So the
+fingerprint is wider: a ring of `segments` segments of `width` bits each.
+
+Candidates. Of a pair within the bound (MAX_SHARE of the bits), chains of consecutive segments that
+keep to proportional budgets exist: i segments differ in at most i * MAX_SHARE * width bits. A chain
+starts where a whole segment is equal (the join key), and its next 64 bits are checked segment by
+segment against the budgets. What passes meets the full Hamming check, and what passes that the
+exact Jaccard similarity of the sets. The first budget allows a few bits but the key none, so the
+ring is given so many segments that a pair of exactly 0.8 has no equal one, or no chain from it, with a chance
+of at most MISS; it falls quickly for more similar pairs and within groups. Keys grow
+with the logarithm of the number of fingerprints and the segments with them, so the work for a
+document grows as its 0.24th power.
+
+Hot keys. A key with about HOT nodes or more first links its nodes by stars to a few centres. Then
+pairs are listed of those nodes only that are not in the key's largest component, so a large group
+of near copies is not listed pair by pair; pairs of one component are not listed anywhere. Of all
+other keys all pairs are looked at, by runs of the sorted keys.
+
+Defined results: equal sets are one node, so documents without words are copies of each other; a
+row is a node by its text, also where rows repeat a doc_id; component_id is the smallest doc_id that
+is not null; an empty table gives an empty table; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import checked_broadcast, materialize, salt_of, spread_back
 from textloom.llm.components import components
-from textloom.llm.simhash import keep_first, shingle_hashes
+from textloom.llm.simhash import BITS, bit_counts, first_of, keep_first, labelled, lower_words
 
 SHINGLE = 5
 NUM, DEN = 4, 5
-MAX_BUCKET = 32
-#: Most shingles put last in the order, and the places of the bitmap that tells them.
-MAX_LAST = 100_000
-LAST_BITS = 20
+#: The share of bits in which sets of the least similarity differ, and the Hamming bound above it.
+FLIP = math.acos(2 * NUM / (NUM + DEN)) / math.pi
+MAX_SHARE = 0.2
+MISS = 0.01
+#: The share of equal segments of a true pair from which a chain keeps to its budgets.
+CHAIN_KEPT = 0.96
+#: Keys of about so many nodes are hot; they are counted on one of SAMPLED nodes.
+HOT = 32
+SAMPLED = 4
 MAX_BROADCAST = 300_000
 SALTS = 16
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (the hash of the set) and s (the set in order)."""
-    hashed = shingle_hashes(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, SHINGLE)
-    return hashed.select("doc_id", F.sort_array(F.array_distinct(F.col("h").cast("array<bigint>"))).alias("s")).select("doc_id", F.xxhash64("s").alias("node"), "s")
+@dataclass(frozen=True)
+class Ring:
+    """A fingerprint's geometry: `segments` segments of `width` bits in whole 64-bit lanes."""
+
+    width: int
+    segments: int
+
+    @property
+    def lanes(self) -> int:
+        return -(-self.width * self.segments // BITS)
+
+    def budgets(self) -> list[tuple[int, int]]:
+        """(bits after the key, most of them that may differ) at each segment of a chain within the next lane."""
+        ends = [*range(self.width, BITS, self.width), BITS]
+        return [(e, int(MAX_SHARE * (self.width + e))) for e in ends]
+
+
+def ring_for(n: int) -> Ring:
+    """The ring for n fingerprints: up to four strangers a key, and segments enough for MISS."""
+    width = min(32, max(10, math.ceil(math.log2(max(n, 2))) - 2))
+    found = CHAIN_KEPT * (1 - FLIP) ** width
+    return Ring(width, math.ceil(math.log(MISS) / math.log1p(-found)))
+
+
+def _word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return lower_words(docs, id_col, text_col).select("doc_id", "text_key", F.expr("transform(w, x -> xxhash64(x))").alias("h"))
+
+
+def _mixed(x):
+    """Hashes whose every bit depends on all bits of x."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_set(hashes):
+    """The sorted set of hashes of the shingles of a text with these word hashes."""
+    import numpy as np
+
+    n = len(hashes)
+    if not n:
+        return hashes
+    k = min(n, SHINGLE)
+    total = np.zeros(n - k + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            total = _mixed(total + hashes[i : n - k + 1 + i] * np.uint64(2 * k + 1))
+    return np.unique(total)
+
+
+def _rows(column):
+    """The int64 lists of an Arrow column as unsigned NumPy arrays."""
+    import numpy as np
+
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = np.asarray(column.offsets.to_numpy()) - column.offsets[0].as_py()
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _node(shingles) -> int:
+    import xxhash
 
+    h = xxhash.xxh64_intdigest(shingles.tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
-def _keys(sets: DataFrame, last: list[int] | None) -> DataFrame:
-    """doc_id, node, n, ends (where the keys end in the order) and keys (the first shingles in the order)."""
-    rows, late = sets, "0"
-    if last is not None:
-        # a shingle's place in the order depends on its hash alone, so the bitmap may have strangers in it
-        late = f"int(getbit(bits[cast(shiftright(x & {(1 << LAST_BITS) - 1}, 6) as int)], cast(x & 63 as int)))"
-        rows = sets.withColumn("bits", F.lit(last).cast("array<bigint>"))
-        rows = rows.withColumn("s", F.expr(f"concat(filter(s, x -> {late} = 0), filter(s, x -> {late} = 1))"))
-    count = f"if(size(s) = 0, 0, size(s) - (size(s) * {NUM} + {DEN - 1}) div {DEN} + 1)"
-    rows = rows.withColumn("keys", F.expr(f"slice(s, 1, cast({count} as int))")).withColumn("x", F.element_at(F.col("keys"), F.when(F.size("keys") > 0, F.size("keys"))))
-    # the hash without its low bits, with the late ones above: ties are treated as such
-    ends = F.expr(f"shiftright(x, 2) + {1 << 61} + shiftleft(cast({late} as bigint), 62)")
-    return rows.select("doc_id", "node", F.size("s").alias("n"), ends.alias("ends"), "keys")
 
+def _as_lists(rows):
+    import numpy as np
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """key, node, n and ends of the keys that two nodes or more have."""
-    each = rows.select(F.explode("keys").alias("key"), "node", "n", "ends")
-    ranges = each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    several = materialize(ranges.filter("lo != hi").select("key"), "several")
-    return each.join(checked_broadcast(several, MAX_BROADCAST), "key", "left_semi").distinct()
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _bitmap(hot: DataFrame) -> list[int]:
-    found: dict[int, int] = {}
-    for r in hot.orderBy(F.desc("m"), "key").limit(MAX_LAST).select("key").collect():
-        place = r["key"] & ((1 << LAST_BITS) - 1)
-        found[place >> 6] = found.get(place >> 6, 0) | 1 << (place & 63)
-    return [v - (1 << 64) if v >> 63 else v for v in (found.get(k, 0) for k in range(1 << (LAST_BITS - 6)))]
+def fingerprint(shingles, lanes: int):
+    """The SimHash of a set of shingle hashes in that many 64-bit lanes."""
+    import numpy as np
 
+    if not len(shingles):
+        return np.zeros(lanes, dtype=np.uint64)
+    lane = _mixed(np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    ones = np.zeros(lanes * BITS, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 1020):
+            ones += bit_counts(_mixed(_mixed(shingles[at : at + 1020, None] * lane[None, :])))
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
 
-def _sizes(keyed: DataFrame) -> DataFrame:
-    return keyed.groupBy("key").agg(F.count("*").alias("m"))
 
+def _printer(lanes: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(h) for h in _rows(b.column(2))]
+            columns = [b.column(0), b.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, _as_lists([fingerprint(s, lanes) for s in sets])], ["doc_id", "text_key", "node", "n", "fp"])
 
-def _fits(n: str, m: str) -> Column:
-    return (F.col(n) * DEN >= F.col(m) * NUM) & (F.col(m) * DEN >= F.col(n) * NUM)
+    return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets (node, s) reach the similarity."""
+def _setter(batches):
+    for b in batches:
+        sets = [shingle_set(h) for h in _rows(b.column(2))]
+        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), _as_lists(sets)], ["node", "s"])
+
+
+def chains(nodes: DataFrame, ring: Ring) -> DataFrame:
+    """k (a segment and its bits), chain (the 64 bits after it on the ring) and node, for each segment."""
+
+    def lane(at: str) -> str:
+        word = f"cast({at} div {BITS} as int)"
+        return f"(shiftrightunsigned(fp[{word}], cast({at} % {BITS} as int)) | if({at} % {BITS} = 0, 0L, shiftleft(fp[({word} + 1) % {ring.lanes}], cast({BITS} - {at} % {BITS} as int))))"
+
+    total = ring.lanes * BITS
+    key = f"shiftleft(cast(i as bigint), 40) | ({lane(f'(i * {ring.width})')} & {(1 << ring.width) - 1}L)"
+    after = lane(f"((i * {ring.width} + {ring.width}) % {total})")
+    each = F.expr(f"transform(sequence(0, {ring.segments - 1}), i -> named_struct('k', {key}, 'chain', {after}))")
+    others = [c for c in nodes.columns if c != "fp"]
+    return nodes.select(*others, F.explode(each).alias("x")).select("x.k", "x.chain", *others)
+
+
+def _chain_kept(ring: Ring, a: str, b: str) -> Column:
+    differ, ok = F.col(a).bitwiseXOR(F.col(b)), F.lit(True)
+    for bits, most in ring.budgets():
+        mask = (1 << bits) - 1 if bits < BITS else -1
+        ok = ok & (F.bit_count(differ.bitwiseAND(F.lit(mask))) <= most)
+    return ok
+
+
+def _scanner(ring: Ring):
+    """Pairs of each key of rows sorted by k, whose chains keep to the budgets and whose components differ."""
+
+    def run(batches):
+        import numpy as np
+
+        budgets = [(np.uint64((1 << bits) - 1), most) for bits, most in ring.budgets()]
+        held = None
+        for b in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            rows = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            k, chain, node, c = rows
+            chain, c = chain.view(np.uint64), np.where(c == 0, node, c)
+            found = []
+            for lag in range(1, len(k)):
+                equal = k[lag:] == k[:-lag]
+                if not equal.any():
+                    break
+                at = np.nonzero(equal & (c[lag:] != c[:-lag]))[0]
+                differ = chain[at + lag] ^ chain[at]
+                for mask, most in budgets:
+                    ok = np.bitwise_count(differ & mask) <= most
+                    at, differ = at[ok], differ[ok]
+                if len(at):
+                    found.append((np.minimum(node[at], node[at + lag]), np.maximum(node[at], node[at + lag])))
+            if found:
+                u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+                u, v = np.unique(np.stack([u, v]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            first = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last key may go on in the next batch
+            held = [x[first:] for x in rows]
+
+    return run
+
+
+def _with_both(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
+    """pairs (u, v) with the named columns of values (node, ...) for either side, however often a node occurs."""
     rows = pairs.withColumns({"us": salt_of(F.col("v"), SALTS), "vs": salt_of(F.col("u"), SALTS)})
-    for side in ("u", "v"):
-        salts = pairs.groupBy(side).agg(F.collect_set(salt_of(F.col("v" if side == "u" else "u"), SALTS)).alias("salts"))
-        values = salts.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"{side}_set")), side)
-        rows = spread_back(rows, side, f"{side}s", values, "inner")
-    both = F.size(F.array_intersect("u_set", "v_set"))
-    return rows.filter(both * (NUM + DEN) >= (F.size("u_set") + F.size("v_set")) * NUM).select("u", "v")
+    for side, other in (("u", "v"), ("v", "u")):
+        salts = pairs.groupBy(side).agg(F.collect_set(salt_of(F.col(other), SALTS)).alias("salts"))
+        own = salts.join(values.select(F.col("node").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in names]), side)
+        rows = spread_back(rows, side, f"{side}s", own, "inner")
+    return rows
 
 
 def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -102,90 +232,78 @@ def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(checked_broadcast(found, MAX_BROADCAST), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
-def links(docs: DataFrame, ids: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (u, v) between nodes, enough for the components; ids has doc_id and node, rows the keys of each document."""
-
-    def of_nodes(nodes: DataFrame) -> DataFrame:
-        """The documents that stand for the nodes: one id of each."""
-        one = ids.join(checked_broadcast(nodes, MAX_BROADCAST), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_tl_one"))
-        one = materialize(one.select("_tl_one").distinct(), "one")
-        return docs.join(checked_broadcast(one, MAX_BROADCAST), F.col(f"`{id_col}`").cast("long") == one["_tl_one"], "left_semi")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return materialize(_sets(of_nodes(nodes), id_col, text_col).select("node", "s").dropDuplicates(["node"]), "sets")
-
-    keyed = materialize(_shared(rows), "keyed")
-    hot = materialize(_sizes(keyed).filter(F.col("m") > MAX_BUCKET), "hot")
-    if not hot.isEmpty():
-        # hot shingles go last; only documents with one among their keys get others
-        bits = _bitmap(hot)
-        late = f"getbit(bits[cast(shiftright(x & {(1 << LAST_BITS) - 1}, 6) as int)], cast(x & 63 as int)) = 1"
-        flagged = rows.withColumn("bits", F.lit(bits).cast("array<bigint>")).withColumn("again", F.expr(f"exists(keys, x -> {late})")).drop("bits")
-        flagged = materialize(flagged, "flagged")
-        again = of_nodes(flagged.filter("again").select("node").distinct())
-        rows = flagged.filter("not again").drop("again").unionByName(_keys(_sets(again, id_col, text_col), bits))
-        keyed = materialize(_shared(materialize(rows, "keys")), "keyed")
-        hot = materialize(_sizes(keyed).filter(F.col("m") > MAX_BUCKET), "hot")
-
-    star, found = [], None
+def links(docs: DataFrame, nodes: DataFrame, ring: Ring, id_col: str, text_col: str) -> DataFrame:
+    """Links (u, v) between the nodes (node, n, fp, one: the id of one document), enough for their components."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) within the Hamming bound whose sets reach the similarity."""
+        pairs = materialize(pairs, "candidates")
+        both = _with_both(pairs, nodes, "fp", "n")
+        sizes = (F.col("u_n") * DEN >= F.col("v_n") * NUM) & (F.col("v_n") * DEN >= F.col("u_n") * NUM)
+        bits = F.expr("aggregate(zip_with(u_fp, v_fp, (a, b) -> cast(bit_count(a ^ b) as int)), 0, (x, y) -> x + y)")
+        near = materialize(both.filter(sizes & (bits <= int(MAX_SHARE * ring.lanes * BITS))).select("u", "v"), "near")
+        # the sets of one document of each node
+        paired = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        one = nodes.join(checked_broadcast(paired, MAX_BROADCAST), "node", "left_semi").select("one")
+        one = checked_broadcast(materialize(one.select(F.col("one").alias("_tl_one")).distinct(), "one"), MAX_BROADCAST)
+        texts = docs.join(one, F.col(f"`{id_col}`").cast("long").eqNullSafe(one["_tl_one"]), "left_semi")
+        sets = materialize(_word_hashes(texts, id_col, text_col).mapInArrow(_setter, "node long, s array<bigint>").dropDuplicates(["node"]), "sets")
+        shared = F.size(F.array_intersect("u_s", "v_s"))
+        return materialize(_with_both(near, sets, "s").filter(shared * (NUM + DEN) >= (F.size("u_s") + F.size("v_s")) * NUM).select("u", "v"), "links")
+
+    keyed = chains(nodes.filter("n > 0").select("node", "fp"), ring)
+    # hot keys are told by one of SAMPLED nodes, which decides the way a key's pairs are found and nothing else
+    sampled = keyed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).groupBy("k").agg(F.count("*").alias("m"))
+    hot = materialize(sampled.filter(F.col("m") * SAMPLED >= HOT).select("k"), "hot")
+    kept = lambda a, b: _chain_kept(ring, a, b)
+    star, found, cold = [], None, keyed
     if not hot.isEmpty():
-        members = materialize(keyed.join(checked_broadcast(hot.select("key"), MAX_BROADCAST), "key", "left_semi"), "members")
-        sets = sets_of(members.select("node").distinct())
+        members = materialize(keyed.join(checked_broadcast(hot, MAX_BROADCAST), "k", "left_semi"), "members")
+        cold = keyed.join(checked_broadcast(hot, MAX_BROADCAST), "k", "left_anti")
         # centres: first the same for all keys as far as may be, then each key's own
-        for order in (F.xxhash64("node"), F.xxhash64("node", "key")):
+        for order in (F.xxhash64("node"), F.xxhash64("node", "k")):
             now = _with_component(members, found)
-            open_ = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct(F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc")), order).alias("v"))
-            near = now.join(checked_broadcast(open_.filter("lo != hi").select("key", "v.*"), MAX_BROADCAST), "key")
-            pairs = materialize(near.filter((F.col("c") != F.col("vc")) & _fits("n", "vn")).select(F.col("node").alias("u"), "v").distinct(), "star_pairs")
-            star.append(materialize(_compared(pairs, sets), "star"))
-            edges = star[0] if len(star) == 1 else star[0].unionByName(star[1])
-            found = components(edges)
-
-    # pairs of all keys with the number of keys they share; a hot key lists those outside its largest component
-    keyed = materialize(_with_component(keyed, found), "labelled")
-    sizes = _sizes(keyed)
-    cold = keyed.join(sizes.filter(F.col("m") <= MAX_BUCKET).select("key"), "key", "left_semi")
-    other = [F.col(c).alias(f"{c}2") for c in ("node", "n", "ends", "c")]
-    listed = cold.join(cold.select("key", *other), "key").filter("node < node2")
+            centre = F.min_by(F.struct(F.col("node").alias("v"), F.col("chain").alias("chain2"), F.col("c").alias("c2")), order)
+            open_ = now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), centre.alias("v")).filter("lo != hi")
+            near = now.join(checked_broadcast(materialize(open_.select("k", "v.*"), "centres"), MAX_BROADCAST), "k").filter((F.col("c") != F.col("c2")) & kept("chain", "chain2"))
+            star.append(verified(near.select(F.col("node").alias("u"), "v").distinct()))
+            found = components(star[0] if len(star) == 1 else star[0].unionByName(star[1]))
+
+    # zero stands for a component of its own, which takes no room in the shuffle
+    scan = _with_component(cold, found).select("k", "chain", "node", F.when(F.col("c") == F.col("node"), 0).otherwise(F.col("c")).alias("c"))
+    pairs = scan.repartition("k").sortWithinPartitions("k").mapInArrow(_scanner(ring), "u long, v long")
     if not hot.isEmpty():
-        busy = keyed.join(checked_broadcast(hot.select("key"), MAX_BROADCAST), "key", "left_semi")
-        parts = busy.groupBy("key", "c").agg(F.count("*").alias("k"))
-        largest = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("big"))
-        labelled = busy.join(checked_broadcast(largest, MAX_BROADCAST), "key")
-        few = checked_broadcast(materialize(labelled.filter("c != big").select("key", *other), "few"), MAX_BROADCAST)
+        busy = materialize(_with_component(members, found), "busy")
+        parts = busy.groupBy("k", "c").agg(F.count("*").alias("m"))
+        largest = parts.groupBy("k").agg(F.max_by("c", F.struct("m", "c")).alias("big"))
+        big = busy.join(checked_broadcast(materialize(largest, "largest"), MAX_BROADCAST), "k")
+        few = checked_broadcast(materialize(big.filter("c != big").select("k", *[F.col(x).alias(f"{x}2") for x in ("chain", "node", "c")]), "few"), MAX_BROADCAST)
         # two of the few meet twice, one of the few and one of the largest component once
-        met = labelled.join(few, "key").filter("c = big or node < node2").drop("big")
-        swap = F.col("node") > F.col("node2")
-        listed = listed.unionByName(met.select("key", *[F.when(swap, F.col(a)).otherwise(F.col(b)).alias(o) for c in ("node", "n", "ends", "c") for a, b, o in ((f"{c}2", c, c), (c, f"{c}2", f"{c}2"))]))
-    listed = listed.filter((F.col("c") != F.col("c2")) & _fits("n", "n2"))
-    counted = listed.groupBy("node", "node2", "n", "n2", "ends", "ends2").agg(F.count("*").alias("shared"))
-    rest, rest2 = [F.expr(f"({n} * {NUM} + {DEN - 1}) div {DEN} - 1") for n in ("n", "n2")]
-    most = F.col("shared") + F.when(F.col("ends") < F.col("ends2"), rest).when(F.col("ends") > F.col("ends2"), rest2).otherwise(F.greatest(rest, rest2))
-    pairs = materialize(counted.filter(most * (NUM + DEN) >= (F.col("n") + F.col("n2")) * NUM).select(F.col("node").alias("u"), F.col("node2").alias("v")), "pairs")
-    nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "paired")
-    out = _compared(pairs, sets_of(nodes))
+        met = big.join(few, "k").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("big")) | (F.col("node") < F.col("node2"))) & kept("chain", "chain2"))
+        pairs = pairs.unionByName(met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")))
+    out = verified(pairs.distinct())
     for s in star:
         out = out.unionByName(s)
     return out
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, node, component_id and gone of every row."""
+    ring = ring_for(docs.count())
+    prints = _word_hashes(docs, id_col, text_col).mapInArrow(_printer(ring.lanes), "doc_id long, text_key long, node long, n int, fp array<bigint>")
+    prints = materialize(prints, "fingerprints").withColumn("salt", salt_of(F.col("doc_id"), SALTS))
+    by_salt = prints.groupBy("node", "salt").agg(first_of().alias("first"), F.min("doc_id").alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    nodes = by_salt.groupBy("node").agg(F.min("first").alias("first"), F.min("one").alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.collect_set("salt").alias("salts"))
+    nodes = materialize(nodes, "nodes")
+    found = components(links(docs, nodes.select("node", "n", "fp", "one"), ring, id_col, text_col))
+    return labelled(prints.drop("n", "fp"), nodes.select("node", "first", "salts"), found, "node").drop("salt")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id (the smallest doc_id of its group) of every document with an id."""
-    rows = materialize(_keys(_sets(docs, id_col, text_col), None), "keys")
-    ids = rows.select("doc_id", "node").withColumn("salt", salt_of(F.col("doc_id"), SALTS))
-    found = links(docs, ids, rows, id_col, text_col)
-    # a doc_id under several sets is one document
-    several = ids.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v != w").select("doc_id", "v")
-    found = found.unionByName(ids.join(several, "doc_id").filter("node != v").select(F.col("node").alias("u"), "v"))
-    found = components(found)
-    by_salt = ids.groupBy("node", "salt").agg(F.min("doc_id").alias("d"))
-    nodes = by_salt.groupBy("node").agg(F.min("d").alias("d"), F.collect_set("salt").alias("salts"))
-    nodes = materialize(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "d", "salts"), "nodes")
-    least = nodes.groupBy("c").agg(F.min("d").alias("component_id"))
-    joined = spread_back(ids, "node", "salt", nodes.join(least, "c").select("node", "component_id", "salts"), "inner")
-    return joined.select("doc_id", "component_id")
+    """doc_id and component_id (the smallest doc_id of its group) of every row."""
+    return grouped(docs, id_col, text_col).select("doc_id", "component_id")
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each group of near-duplicates: the one with the smallest id."""
-    return keep_first(docs, similar(docs, id_col, text_col), id_col)
+    return keep_first(docs, grouped(docs, id_col, text_col), id_col, text_col)
