@@ -131,17 +131,57 @@ def test_html_attributes_are_whole_names():
 
 
 def test_html_pages(spark, small):
-    import html
-
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in queries.op3_html_text_density(spark, small).collect():
-        inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
-        parts = re.split(r"</?(?:p|h1)[^>]*>", inner)
-        text = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts]
-        assert r.text == "\n\n".join(x for x in text if x)
+        assert r.text == article_of(pages[r.page_id])
+
+
+def article_of(source):
+    import html
+
+    inner = re.search(r"<article>(.*?)(</article>|$)", source, re.S)[1]
+    parts = re.split(r"</?(?:p|h1)[^>]*>", inner)
+    text = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts]
+    return "\n\n".join(x for x in text if x)
+
+
+def share(sources, change, want):
+    return sum(html_text.extract(change(s)) == w for s, w in zip(sources, want, strict=True)) / len(sources)
+
+
+def test_html_density_decides(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [article_of(p) for p in pages]
+    plain = lambda p: p
+    assert share(pages, lambda p: p.replace("<article>", "<div>").replace("</article>", "</div>"), want) == 1
+    # without names the densities find nearly all, without densities the names find none
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "_marked", lambda tag, attributes: None)
+        assert share(pages, plain, want) > 0.95
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "content_nodes", lambda body: ([body], set()))
+        assert share(pages, plain, want) < 0.05
+
+
+def test_html_wrappers_with_such_names_keep_their_article(spark, small):
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").select("html").collect()]
+    want = [article_of(p) for p in pages]
+    for opening in ("<div class='layout-sidebar'>", "<div class='content ad-free'>", "<div class='widget-area'>", "<form>"):
+        closing = "</form>" if "form" in opening else "</div>"
+        assert share(pages, lambda p: p.replace("<article>", f"{opening}<article>").replace("</article>", f"</article>{closing}"), want) == 1, opening  # noqa: B023
+        assert share(pages, lambda p: p.replace("<article>", opening).replace("</article>", closing), want) == 1, opening  # noqa: B023
+        assert share(pages, lambda p: p.replace("<body>", f"<body>{opening}"), want) == 1, opening  # noqa: B023
+    assert html_text.extract(f"<body><p class=ad>buy<p>{P}<ul><li class=share>x<li>{P}</ul>") == f"{P}\n\n{P}"
 
 
 def test_html_is_linear():
+    import time
+
+    assert html_text.extract("<p>" + "word " * 400_000) == ("word " * 400_000).strip()
+    began = time.time()
+    for c in ("<p>" + "a&amp;" * 100_000, "<div class=ad>x</div>" * 20_000, "<p>a</p>" * 20_000, "<h1>a</h1>" * 20_000):
+        html_text.extract(c)
+    assert time.time() - began < 20
     for c in ("<div>" * 20_000 + "x", '<a "' * 10_000, "<p>" * 20_000, "<script " * 10_000, "<li>" * 10_000):
         html_text.extract(c)
 

@@ -1,13 +1,20 @@
 """Main text of HTML pages by composite text density.
 
-For every node of the DOM the composite density weighs characters per tag by the share of link
-characters and link tags (Sun, Song and Liao, 2011). A node's density sum adds its children's
-densities. The subtree with the largest sum is the core; the smallest density on the path from
-there to body is the threshold, and every other subtree reached through nodes at or above the
-threshold contributes its own largest-sum part. Elements that are never article text (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) are cut
-before densities are computed, and a core inside an article or main element is widened to it, so
-a short headline or last paragraph stays.
+For every block of the DOM the composite density weighs characters per tag by the share of link
+characters and link tags (Sun, Song and Liao, 2011); inline elements belong to their block. A
+node's density sum adds its children's densities. The subtree with the largest sum is the core. The
+smallest density on the path from there to the body is the threshold: every other subtree reached
+through nodes at or above it contributes its own largest-sum part. A core inside an article or main
+element is widened to it, and headings right before a chosen subtree belong to it.
+
+What is never text (scripts, styles, the head, embedded media, form controls) and the nav and footer
+elements are cut by the parser. Names decide nothing by themselves: elements whose tag, role, class
+or id speaks of a menu, header, sidebar, notice, advert, form or reader comments have their densities
+multiplied by NAME_WEIGHT and do not count for what holds them, so they lose to any unnamed text, and
+are left out of a chosen subtree around them if they stay below the threshold. A named element that
+holds blocks with more than WRAPPER_SHARE of the page's text, such as a layout wrapper or a page within one
+form, is taken as unnamed (not so reader comments). A
+page all of whose text is in named elements still yields the densest.
 
 Defined results: null or empty html gives an empty text; unclosed, nested wrongly and truncated
 markup is repaired as browsers do for the common cases; rows keep their ids, repeated or null;
@@ -43,21 +50,29 @@ CLOSED_BY_SIBLING = {
 }
 SCOPE = frozenset("html body article section main table td th caption button object".split())
 
-#: Elements that are never article text.
+#: Elements cut by the parser: no text of the page, form controls, and the two that are never an article.
 CUT_TAGS = frozenset(
-    "script style noscript template nav aside footer form button select option textarea input label fieldset svg math canvas iframe object "
-    "embed audio video map dialog menu head title noembed noframes xmp search datalist".split()
+    "script style noscript template head title svg math canvas iframe object embed audio video map noembed noframes xmp "
+    "button select option textarea input label datalist nav footer".split()
 )
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words in class and id that mark such elements.
-CUT_NAMES = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail footer header masthead topbar toolbar banner ad ads adv advert adverts "
+#: Elements, roles, and words in class and id that speak of something other than an article.
+NAMED_TAGS = frozenset("aside form fieldset dialog menu search".split())
+NAMED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+NAMES = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail footer topbar toolbar banner ad ads adv advert adverts "
     "advertisement advertising sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist "
-    "respond reply replies disqus discussion pagination pager widget widgets copyright skip".split()
+    "newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager widget widgets copyright skip".split()
 )
+#: A header is one of the page unless it holds a heading or is inside an article.
+HEADER_NAMES = frozenset("header masthead".split())
+COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 #: Elements that hold an article; their names are not held against them.
 CONTAINERS = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 hgroup".split())
+NAME_WEIGHT = 0.01
+WRAPPER_SHARE = 0.75
+#: A side block of a chosen core has at least this share of the median density of the core's own blocks.
+LEAF_SHARE = 0.5
 #: Elements nested deeper become siblings, as in browsers; bounds the work per element.
 MAX_DEPTH = 512
 
@@ -68,35 +83,36 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "top")
+    __slots__ = ("chars", "children", "density", "inner", "link_chars", "link_tags", "mark", "parent", "sum", "tag", "tags", "top", "weight")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, mark: str | None = None):
+        self.tag, self.parent, self.mark, self.children = tag, parent, mark, []
 
 
-def _cut(tag: str, attributes: str, stack: list[Node]) -> bool:
-    """Whether the element is one of those that are never article text."""
-    if tag in CUT_TAGS:
-        return True
-    inside = any(n.tag in ("article", "main") for n in stack)
-    if tag == "header" and not inside:
-        return True
+def _marked(tag: str, attributes: str) -> str | None:
+    """What an element's tag, role, class or id speaks of: "name", "header", "comments", or nothing; "hidden" is cut."""
+    found = "name" if tag in NAMED_TAGS else "header" if tag == "header" else None
     if not attributes or tag in CONTAINERS:
-        return False
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return "hidden"
         if name == "role":
-            if value.strip().lower() in CUT_ROLES:
-                return True
-        elif name == "hidden" or name == "aria-hidden":
-            if name == "hidden" or value == "true":
-                return True
+            found = "name" if value.strip().lower() in NAMED_ROLES else found
         elif name == "class" or name == "id":
             for word in value.split():
                 parts = [p.lower() for p in NAME_WORDS.findall(word)]
-                if parts and (parts[0] in CUT_NAMES or parts[-1] in CUT_NAMES) and not (inside and parts[0] in ("header", "masthead")) and parts[0] not in ("no", "with", "has"):
-                    return True
-    return False
+                if not parts or parts[0] in ("no", "with", "has"):
+                    continue
+                ends = {parts[0], parts[-1]}
+                if ends & COMMENT_NAMES:
+                    found = "comments"
+                elif ends & NAMES:
+                    found = found or "name"
+                elif ends & HEADER_NAMES:
+                    found = found or "header"
+    return found
 
 
 def parse(source: str) -> Node:
@@ -173,13 +189,13 @@ def parse(source: str) -> Node:
             pop_to(*CLOSED_BY_SIBLING[tag])
         if tag in VOID:
             stack[-1].children.append(Node(tag, stack[-1]))
-        elif _cut(tag, attributes, stack):
+        elif tag in CUT_TAGS or (mark := _marked(tag, attributes)) == "hidden":
             if not (closed and tag in ("svg", "math")):
                 skipping.append(tag)
         else:
             if len(stack) > MAX_DEPTH:
                 stack.pop()
-            node = Node(tag, stack[-1])
+            node = Node(tag, stack[-1], mark)
             stack[-1].children.append(node)
             stack.append(node)
     if at < len(source) and not skipping:
@@ -187,59 +203,99 @@ def parse(source: str) -> Node:
     return body
 
 
-def c_links(n: Node) -> int:
+def _links(n: Node) -> int:
     return n.chars if n.tag == "a" else n.link_chars
 
 
-def measure(body: Node) -> None:
-    """Counts, composite densities and density sums of every node, without recursion."""
-    order, todo = [], [body]
-    while todo:
-        n = todo.pop()
-        order.append(n)
-        todo += [c for c in n.children if isinstance(c, Node)]
+def _count(order: list[Node], named: bool) -> None:
+    """Characters, tags, and those of links, bottom up; with named, marked elements count for themselves alone."""
     for n in reversed(order):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
         for c in n.children:
             if isinstance(c, str):
                 n.chars += len("".join(c.split()))
-            else:
+            elif not (named and c.mark):
                 n.chars += c.chars
                 n.tags += c.tags + 1
-                n.link_chars += c_links(c)
+                n.link_chars += _links(c)
                 n.link_tags += c.link_tags + (c.tag == "a")
+
+
+def _trust(order: list[Node], body: Node) -> None:
+    """Take the marks off headers of articles and off what holds most of the page's text."""
+    _count(order, False)
+    single = {n for n in order if n.mark and not any(isinstance(c, Node) and c.tag in BLOCK for c in n.children)}
+    most = WRAPPER_SHARE * (body.chars - body.link_chars - sum(n.chars - _links(n) for n in single))
+    heading, inside = {n for n in order if n.tag in HEADINGS}, set()
+    for n in reversed(order):
+        if n.parent is not None and n in heading:
+            heading.add(n.parent)
+    for n in order:
+        if n.tag in ("article", "main") or n.parent in inside:
+            inside.add(n)
+        if (n.mark == "header" and (n in heading or n in inside)) or (n.mark in ("name", "header") and n not in single and n.chars - _links(n) > most):
+            n.mark = None
+
+
+def measure(body: Node) -> None:
+    """Counts, composite densities and density sums of every node, without recursion."""
+    order, todo = [], [body]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [c for c in n.children if isinstance(c, Node)]
+    _trust(order, body)
+    _count(order, True)
+    for n in order:
+        n.weight = (1.0 if n.parent is None or n is body else n.parent.weight) * (NAME_WEIGHT if n.mark else 1.0)
     ratio = body.link_chars / max(1, body.chars)
     for n in reversed(order):
         if not n.chars:
             n.density = 0.0
         else:
             # zero counts of links and tags are taken as 1
-            c, t, lc, lt = n.chars, max(1, n.tags), max(1, c_links(n)), max(1, n.link_tags)
-            base = math.log(c / max(1, c - c_links(n)) * lc + ratio * c + math.e)
-            n.density = max(0.0, c / t * math.log(c / lc * t / lt) / math.log(base))
-        inner = [c for c in n.children if isinstance(c, Node)]
-        n.sum = sum(c.density for c in inner) if inner else n.density
+            c, t, lc, lt = n.chars, max(1, n.tags), max(1, _links(n)), max(1, n.link_tags)
+            base = math.log(c / max(1, c - _links(n)) * lc + ratio * c + math.e)
+            n.density = n.weight * max(0.0, c / t * math.log(c / lc * t / lt) / math.log(base))
+        # the blocks right below, also those inside inline elements
+        n.inner = []
+        for c in n.children:
+            if isinstance(c, Node):
+                n.inner += [c] if c.tag in BLOCK else c.inner
+        n.sum = sum(c.density for c in n.inner) if n.inner else n.density
         n.top = n
-        for c in inner:
+        for c in n.inner:
             if c.top.sum > n.top.sum:
                 n.top = c.top
 
 
-def content_nodes(body: Node) -> list[Node]:
-    """The subtrees that hold the article, in no order; none contains another."""
+def content_nodes(body: Node) -> tuple[list[Node], set[Node]]:
+    """The subtrees that hold the article, in no order, none within another, and the named elements in them that do not."""
     measure(body)
-    if not body.chars:
-        return []
     core = body.top
-    threshold, n = core.density, core
-    while n is not None and n.tag != "html":
-        threshold, n = min(threshold, n.density), n.parent
-    chosen, todo = [], [body]
+    path, n = [], core
+    while n is not None and n is not body:
+        path.append(n)
+        n = n.parent
+    threshold = min((n.density for n in path if n.tag in BLOCK), default=body.density)
+    leaves, todo = [], [core]
     while todo:
         n = todo.pop()
-        if n.density >= threshold - 1e-9 and n.chars:
-            chosen.append(n.top)
-            todo += [c for c in n.children if isinstance(c, Node)]
+        todo += n.inner
+        if not n.inner and n.density:
+            leaves.append(n.density)
+    leaf = LEAF_SHARE * sorted(leaves)[len(leaves) // 2] if leaves else 0.0
+    chosen, todo = [core], [] if core is body else [body]
+    while todo:
+        n = todo.pop()
+        for c in n.inner:
+            if c in path:
+                todo.append(c)
+            elif c.density and c.density >= threshold - 1e-9:
+                chosen.append(c.top)
+                todo.append(c)
+            elif not c.inner and n is not body and c.density and c.density >= leaf:
+                chosen.append(c)  # a paragraph beside the core, inside what holds both
     widened = set()
     for n in chosen:
         holder = n
@@ -253,7 +309,7 @@ def content_nodes(body: Node) -> list[Node]:
         if n.parent is not None and n.tag not in ("article", "main", "body"):
             at = n.parent.children.index(n)
             for c in reversed(n.parent.children[:at]):
-                if isinstance(c, Node) and c.tag in ("h1", "h2", "hgroup", "header"):
+                if isinstance(c, Node) and c.tag in HEADINGS:
                     widened.add(c)
                 elif not isinstance(c, str) or c.strip():
                     break
@@ -264,11 +320,19 @@ def content_nodes(body: Node) -> list[Node]:
             p = p.parent
         if p is None:
             out.append(n)
-    return out
+    left, todo = set(), [c for n in out for c in n.children]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, Node):
+            if n.mark and n.density < threshold and n not in path:
+                left.add(n)
+            else:
+                todo += n.children
+    return out, left
 
 
-def blocks(body: Node, chosen: list[Node]) -> list[str]:
-    """Texts of the blocks under the chosen nodes, in page order."""
+def blocks(body: Node, chosen: list[Node], left: set[Node]) -> list[str]:
+    """Texts of the blocks under the chosen nodes, in page order, without what is left out."""
     out, held, keep = [], [], set(chosen)
 
     def flush():
@@ -287,7 +351,7 @@ def blocks(body: Node, chosen: list[Node]) -> list[str]:
         block = n.tag in BLOCK or n in keep
         if block:
             flush()
-        if leaving:
+        if leaving or n in left:
             continue
         if n.tag == "br" and inside:
             held.append(" ")
@@ -303,7 +367,7 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     body = parse(source)
-    return "\n\n".join(blocks(body, content_nodes(body)))
+    return "\n\n".join(blocks(body, *content_nodes(body)))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
