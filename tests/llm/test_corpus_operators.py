@@ -205,6 +205,26 @@ def test_url_filter_long_prefixes(spark):
     assert {r.page_id: r.blocked for r in url_filter.filter_urls(c, e).collect()} == {1: True, 2: True, 3: False}
 
 
+def test_url_filter_normal_forms(spark):
+    t = lambda d: f"2024-01-{d:02d} 00:00:00"
+    entries = [
+        ("l", "host", "www.foo.com", "block", t(1)),  # as captures lose www., so do keys
+        ("l", "host", "Bar.com", "block", t(1)), ("l", "host", "bar.com", "remove", t(3)),  # one key in two spellings
+        ("l", "domain", "ex.com.", "block", t(1)),
+        ("l", "prefix", "https://WWW.Case.org//Private/x/?q", "block", t(1)),
+        ("l", "prefix", "dom.net/", "block", t(1)),
+        ("l", None, "none.com", "block", t(1)), (None, "host", "unnamed.com", "block", t(1)), ("l", "host", "  ", "block", t(1)),
+    ]
+    e = spark.createDataFrame(entries, "list_name string, kind string, key string, action string, listed_at string").withColumn("listed_at", F.col("listed_at").cast("timestamp"))
+    urls = {
+        1: ("http://foo.com/", True), 2: ("http://WWW.FOO.COM", True), 3: ("http://bar.com/", False), 4: ("https://a.ex.com./x", True), 5: ("http://case.org/Private/x/y", True),
+        6: ("http://case.org/private/x", False), 7: ("http://case.org/Private", False), 8: ("http://dom.net/any", True), 12: ("http://a.dom.net/any", False), 13: ("http://dom.net", True), 9: ("http://none.com", False), 10: ("http://unnamed.com", True), 11: ("http:///x", False),
+    }
+    c = spark.createDataFrame([(k, u) for k, (u, _) in urls.items()], "page_id long, url string").withColumn("fetched_at", F.lit(t(5)).cast("timestamp"))
+    got = {r.page_id: r.blocked for r in url_filter.filter_urls(c, e).collect()}
+    assert got == {k: b for k, (_, b) in urls.items()}
+
+
 def test_native_plans(spark, small):
     for f in (queries.op4_quality_rules, queries.op5_decontamination_spaced_seeds, queries.op9_url_temporal_lists):
         plan = f(spark, small)._jdf.queryExecution().executedPlan().toString()

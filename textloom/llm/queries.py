@@ -47,28 +47,37 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-#: The rule-made list log of op9: per host, per parent domain and per leading path segment, dated by a digest of the key.
+#: The rule-made list log of op9: per host, per parent domain and per leading path segments, dated by a digest of the
+#: key: listed, removed after 90 days, listed again with the other action after 150, and at the same instant removed
+#: and listed where the digest says so. Keys are written in other forms than the captures have.
 LIST_START = "2024-01-01"
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
     """A dated list log over the hosts of pages: list_name, kind, key, action, listed_at."""
-    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
-    hosts = pages.select(host.alias("host"), F.element_at(F.array_remove(F.split(F.lower(path), "/"), ""), 1).alias("seg")).filter("host != ''").distinct()
+    host, path = url_filter.host_of(F.col("url")), url_filter.segments_of(url_filter.path_of(F.col("url")))
+    hosts = pages.select(host.alias("host"), F.array_join(F.slice(path, 1, 2), "/").alias("seg")).filter("host != ''").distinct()
     keys = hosts.select(
         F.explode(
             F.array(
                 F.struct(F.lit("host").alias("kind"), F.col("host").alias("key")),
                 F.struct(F.lit("domain").alias("kind"), F.substring_index("host", ".", -2).alias("key")),
-                F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), "seg").alias("key")),
+                F.struct(F.lit("prefix").alias("kind"), F.when(F.col("seg") != "", F.concat("host", F.lit("/"), "seg")).alias("key")),
             )
         ).alias("k")
     ).select("k.kind", "k.key").filter("key is not null").distinct()
-    x = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("int")
-    dated = keys.withColumn("x", x).filter("x % 3 = 0")
+    dated = keys.withColumn("x", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("int")).filter("x % 3 = 0")
     start = F.date_add(F.lit(LIST_START).cast("date"), F.col("x") % 300)
-    events = dated.select("kind", "key", F.explode(F.array(F.struct(F.when(F.col("x") % 2 == 0, "block").otherwise("allow").alias("action"), start.cast("timestamp").alias("at")), F.struct(F.lit("remove").alias("action"), F.date_add(start, 90).cast("timestamp").alias("at")))).alias("e"))
-    return events.select(F.concat(F.lit("by_"), "kind").alias("list_name"), "kind", "key", F.col("e.action").alias("action"), F.col("e.at").alias("listed_at"))
+
+    def event(action, days: int):
+        return F.struct(action.alias("action"), F.date_add(start, days).cast("timestamp").alias("at"))
+
+    first, second = (F.when(F.col("x") % 2 == k, "block").otherwise("allow") for k in (0, 1))
+    same = F.when(F.col("x") % 5 == 0, F.lit("remove")).otherwise(second)  # an action beside a removal wins
+    log = F.array(event(first, 0), event(F.lit("remove"), 90), event(second, 150), event(same, 150))
+    events = dated.select("kind", "x", "key", F.explode(log).alias("e"))
+    written = F.when(F.col("kind") == "prefix", F.concat(F.lit("https://www."), "key", F.lit("/"))).when(F.col("x") % 4 == 0, F.concat(F.lit("WWW."), F.upper("key"), F.lit("."))).otherwise(F.col("key"))
+    return events.select(F.concat(F.lit("by_"), "kind").alias("list_name"), "kind", written.alias("key"), F.col("e.action").alias("action"), F.col("e.at").alias("listed_at"))
 
 
 def op9_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,26 +136,28 @@ from b
 ORACLES["op9_url_temporal_lists"] = r"""
 with p as (
   select page_id, url, date '2024-01-01' + (page_id * 37 % 365)::int as day,
-    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\.', '') as host,
-    list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)), '/'), lambda x: x <> '') as segs
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '\.+$', ''), '^www\.', '') as host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') as segs
   from pages),
-hosts as (select distinct host, segs[1] as seg from p where host <> ''),
+hosts as (select distinct host, array_to_string(segs[1:2], '/') as seg from p where host <> ''),
 keys as (
   select 'host' as kind, host as key from hosts
   union select 'domain', array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') from hosts
-  union select 'prefix', host || '/' || seg from hosts where seg is not null),
-e as (select kind, key, case when x % 2 = 0 then 'block' else 'allow' end as action, date '2024-01-01' + x % 300 as since
-  from (select kind, key, ('0x' || substr(md5(key), 1, 6))::int as x from keys) where x % 3 = 0),
+  union select 'prefix', host || '/' || seg from hosts where seg <> ''),
+dated as (select kind, key, x, date '2024-01-01' + x % 300 as start from (select kind, key, ('0x' || substr(md5(key), 1, 6))::int as x from keys) where x % 3 = 0),
+e as (
+  select kind, key, case when x % 2 = 0 then 'block' else 'allow' end as action, start as since, start + 90 as until from dated
+  union all select kind, key, case when x % 2 = 1 then 'block' else 'allow' end, start + 150, null from dated),
 c as (
   select page_id, day, 'host' as kind, host as key from p where host <> ''
   union all select page_id, day, 'domain', array_to_string(list_slice(labels, i, len(labels)), '.')
     from (select page_id, day, string_split(host, '.') as labels, unnest(range(1, len(string_split(host, '.')) + 1)) as i from p where host <> '')
   union all select page_id, day, 'prefix', host || '/' || array_to_string(segs[1:i], '/')
-    from (select page_id, day, host, segs, unnest(range(1, least(len(segs), 8) + 1)) as i from p where host <> '')),
+    from (select page_id, day, host, segs, unnest(range(1, len(segs) + 1)) as i from p where host <> '')),
 best as (
   select c.page_id, e.kind, e.key, e.action, e.since,
     row_number() over (partition by c.page_id order by length(e.key) desc, case when e.action = 'block' then 1 else 0 end desc, e.kind desc) as rn
-  from c join e on c.kind = e.kind and c.key = e.key and e.since <= c.day and c.day < e.since + 90)
+  from c join e on c.kind = e.kind and c.key = e.key and e.since <= c.day and (e.until is null or c.day < e.until))
 select p.page_id, p.url, coalesce(b.action = 'block', false) as blocked, 'by_' || b.kind as list_name, b.kind, b.key, b.since::varchar as listed_on
 from p left join best b on b.page_id = p.page_id and b.rn = 1
 """
