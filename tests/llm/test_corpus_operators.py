@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -93,34 +94,83 @@ def toks(t):
     return [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
 
 
+def overlaps(docs, items):
+    """{(row, item_id): (n_match, n_window, first_token)} over every alignment and window, without seeds."""
+    out = {}
+    for r, (_, text) in enumerate(docs):
+        d = toks(text)
+        for item_id, item in items:
+            b = toks(item)
+            if item_id is None or not b or (len(b) < 6 and d != b):
+                continue
+            need = min(20, len(b))
+            least = need if len(b) < 12 else -(-need * 4 // 5)
+            for shift in range(-len(b) + 1, len(d)):
+                m = [int(d[j + shift] == b[j]) for j in range(max(0, -shift), min(len(b), len(d) - shift))]
+                sums = [sum(m[s : s + need]) for s in range(len(m) - need + 1)]
+                good = [s for s, v in enumerate(sums) if v >= least]
+                if good:
+                    best, window, first = out.get((r, item_id), (0, 99, 10**9))
+                    out[(r, item_id)] = (max(best, max(sums)), min(window, need), min(first, max(0, shift) + good[0]))
+    return out
+
+
+def test_masks_are_lossless():
+    """Every pattern of a fifth of 12 to 20 tokens substituted leaves a seed of some mask whole."""
+    kept = [[i for i, bit in enumerate(m) if bit == "1"] for m in decontamination.MASKS]
+    for n in range(decontamination.LEAST_LOOSE, decontamination.MIN_OVERLAP + 1):
+        for gone in map(set, itertools.combinations(range(n), n // 5)):
+            assert any(all(s + i not in gone for i in k) for k in kept for s in range(n - k[-1])), (n, gone)
+
+
 @pytest.mark.parametrize("bound", [0, 1_000_000])
 def test_decontamination(spark, small, monkeypatch, bound):
     monkeypatch.setattr(decontamination, "MAX_BROADCAST_SEEDS", bound)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_TOKENS", bound)
+    same(queries.op5_decontamination_spaced_seeds(spark, small), queries.ORACLES["op5_decontamination_spaced_seeds"], small)
     docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
-    grams = {tuple(w[i : i + 13]) for r in bench.collect() for w in [toks(r.text)] for i in range(len(w) - 12)}
-    exact = {r.doc_id for r in docs.collect() for w in [toks(r.text)] if any(tuple(w[i : i + 13]) in grams for i in range(len(w) - 12))}
     found = {r.doc_id for r in decontamination.contaminated(docs, bench).collect()}
-    assert exact <= found and len(found - exact) <= 1
     clean = decontamination.decontaminate(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - found
 
 
-def test_decontamination_substitutions(spark, edge_docs, no_docs):
+def test_decontamination_against_all_windows(spark):
+    """Items of all lengths, planted with and without substitutions, also at block ends and text ends."""
     rnd = random.Random(4)
-    word = lambda: "w%d" % rnd.randint(0, 99_999)
-    item = [word() for _ in range(60)]
-    noise = lambda n: [word() for _ in range(n)]
-    every10 = [word() if i % 10 == 9 else x for i, x in enumerate(item)]
-    every2 = [word() if i % 2 else x for i, x in enumerate(item)]
-    rows = [(1, noise(700) + item + noise(50)), (2, noise(5) + every10), (3, noise(30) + every2), (4, noise(100)), (5, item[:22]), (6, item[:10]), (7, item * 3)]
-    docs = spark.createDataFrame([(i, " ".join(w).upper() + "!") for i, w in rows], "doc_id long, text string")
-    bench = spark.createDataFrame([(9, " ".join(item)), (9, " ".join(item)), (10, None), (11, "too short"), (None, "x")], "item_id long, text string")
-    got = {r.doc_id: r for r in decontamination.contaminated(docs, bench).collect()}
-    assert set(got) == {1, 2, 5, 7} and got[1].n_match == 20 and all(r.item_id == 9 for r in got.values())
+    word = lambda: "w%d" % rnd.randint(0, 40)  # noqa: E731  few words: chance agreements are common
+    items = [(n, " ".join(word() for _ in range(n))) for n in (1, 2, 5, 6, 9, 11, 12, 13, 15, 17, 19, 20, 25, 60)]
+    docs = []
+    for n, text in items:
+        w = text.split()
+        for gone in (0, 1, n // 5, n // 5 + 1, n // 3):
+            copy = list(w)
+            for i in rnd.sample(range(n), min(n, gone)):
+                copy[i] = "other%d" % i
+            before = [word() for _ in range(rnd.choice([0, 3, 250, 256, 300]))]
+            docs.append((len(docs), " ".join([*before, *copy, *[word() for _ in range(rnd.choice([0, 2, 30]))]]).upper() + "!"))
+    docs += [(900, items[0][1]), (901, items[1][1] + "."), (902, items[2][1]), (None, items[-1][1]), (None, None), (903, items[-1][1]), (903, "clean words"), (904, "")]
+    items += [(60, items[-1][1]), (70, None), (None, items[-2][1]), (71, " ")]
+    want = overlaps(docs, items)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(rows, bench).collect()
+    key = lambda x: str(x)
+    assert sorted([(r.doc_id, r.item_id, r.n_match, r.n_window, r.first_token) for r in got], key=key) == sorted([(docs[r][0], i, *v) for (r, i), v in want.items()], key=key)
+    dirty = {r for r, _ in want}
+    kept = decontamination.decontaminate(rows, bench).collect()
+    assert sorted([tuple(r) for r in kept], key=key) == sorted([d for r, d in enumerate(docs) if r not in dirty], key=key)
+    assert (903, "clean words") in map(tuple, kept) and (None, None) in map(tuple, kept)
+
+
+def test_decontamination_edges(spark, edge_docs, no_docs):
+    bench = spark.createDataFrame([(9, "some benchmark item of more than twelve words that nothing in the documents has ever said")], "item_id long, text string")
     assert decontamination.contaminated(edge_docs, bench).count() == 0
     assert decontamination.decontaminate(edge_docs, bench).count() == edge_docs.count()
-    assert decontamination.contaminated(no_docs, bench).count() == 0
-    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontamination.contaminated(no_docs, bench).count() == 0 and decontamination.decontaminate(no_docs, bench).count() == 0
+    assert decontamination.contaminated(edge_docs, bench.limit(0)).count() == 0
+    copy = spark.createDataFrame([(9, "The cat sat on the mat and the dog ran to the house of the king")], "item_id long, text string")
+    kept = decontamination.decontaminate(edge_docs, copy)  # all three copies go, also the one without an id
+    assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 3
 
 
 def test_waterfill_and_tree():

@@ -1,22 +1,28 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts become lower-case alphanumeric tokens. A fixed mask of SPAN positions keeps WEIGHT of them
-and ignores the rest, so a seed survives substitutions at the ignored places; several masks
-together cover what one misses. Seeds of every token position of the benchmark are joined with
-those of every position of the documents; a bitmap of the token pairs that start the benchmark's
-seeds passes over positions that cannot join before they are hashed. Each hit fixes an alignment of a document to an item;
-the overlap around the hit is verified token by token: some window of MIN_OVERLAP aligned tokens
-over the seed must agree in at least MIN_MATCH of them (items shorter than the window: in all of
-the item). Items of fewer than SPAN tokens are too short to be evidence and match nothing.
-
-Everything is built-in expressions. The seeds of the benchmark are broadcast if a count proves
-them to be at most MAX_BROADCAST_SEEDS, otherwise the join shuffles. Verification reads only the
-documents with a hit, through a semi join on their ids: broadcast up to MAX_BROADCAST_IDS counted
-ids, so that the texts need no shuffle, and a shuffle join beyond.
-
-Defined results: null and empty texts and items hit nothing; repeated items count once per
-item_id, repeated documents are each reported; a null doc_id is never reported and its row is
-kept; an empty documents or benchmark table gives no hits; extra columns are carried or ignored.
+Texts become lower-case alphanumeric tokens. A fixed mask keeps some token positions of a span and
+ignores the rest, so a seed survives substitutions at the ignored places. Seeds of every position
+of the benchmark are joined with those of the documents; each hit fixes an alignment of a document
+to an item, and the overlap around it is verified token by token.
+
+What counts: MIN_OVERLAP aligned tokens of which MIN_MATCH or more agree; of an item with fewer tokens
+all of it, with as large a share; of an item with fewer than LEAST_LOOSE tokens every token; and an item
+of fewer than LEAST_PASSAGE tokens must be the whole text. The masks are lossless: whichever tokens of
+such an overlap are substituted, one of the masks has a seed left in it (the tests try all patterns),
+so every overlap that counts is found, to a hash collision. Items shorter than LEAST_LOOSE have seeds
+of all their tokens.
+
+A bitmap of the token pairs that start the benchmark's seeds passes over positions that cannot
+join before they are hashed. Everything is built-in expressions. Documents are worked on by the hash
+of their text, so copies share their hits, and rows without an id or with a repeated one are told
+apart. The benchmark's seeds and tokens are broadcast if a count proves them to be small, otherwise
+the joins shuffle. Verification reads only the documents with a hit, through a semi join on the text
+hashes: broadcast up to MAX_BROADCAST_IDS counted ones, and a shuffle join beyond.
+
+Defined results: null and empty texts and items hit nothing; an item_id that repeats counts once, by
+its best text; items without an id are not reported, nor do they contaminate; repeated documents, and
+those without an id, are each reported and dropped; an empty documents or benchmark table gives
+no hits; extra columns are carried or ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +30,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checked_broadcast, materialize
+from textloom.llm.common import checked_broadcast, fresh, materialize
 
-#: Fixed masks: 1 keeps the token at that place of the span, 0 ignores it.
-#: All keep the first two tokens, which is what the gate looks at.
-MASKS = ("110110011011", "111001101011", "110101101101")
-SPAN = 12
+#: Fixed masks: 1 keeps the token at that place, 0 ignores it. All keep the first two tokens, which is what the
+#: gate looks at. Together they keep a seed in every overlap of 12 to 20 tokens with a fifth of them substituted.
+MASKS = ("1111011", "1110100011", "11000011011", "1110111")
 MIN_OVERLAP = 20
 MIN_MATCH = 0.8
+LEAST_LOOSE = 12
+LEAST_PASSAGE = 6
+SHORTEST_SPAN = min(map(len, MASKS))
 MAX_BROADCAST_SEEDS = 1_000_000
+#: Tokens of the benchmark that are broadcast at most, at eight bytes each.
+MAX_BROADCAST_TOKENS = 20_000_000
 MAX_BROADCAST_IDS = 2_000_000
 BLOCK = 256
 GATE_BITS = 20
@@ -42,74 +52,106 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
-def _hashed(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
-    """out (the id) and t, the 64-bit hashes of the tokens."""
-    split = df.select(F.col(f"`{id_col}`").alias(out), tokens(F.col(f"`{text_col}`")).alias("w"))
+def _hashed(df: DataFrame, key: Column, text_col: str, out: str) -> DataFrame:
+    """out (the key) and t, the 64-bit hashes of the tokens."""
+    split = df.select(key.alias(out), tokens(F.col(f"`{text_col}`")).alias("w"))
     return split.select(out, F.expr("transform(w, x -> xxhash64(x))").alias("t"))
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 #: The place in the gate of the two tokens from position i on.
 PAIR = f"((t[i] ^ shiftrightunsigned(t[i + 1], 9)) & {(1 << GATE_BITS) - 1})"
 
 
-def pair_gate(hashed: DataFrame) -> list[int]:
-    """A bitmap of the token pairs at which the benchmark's seeds start: 2^GATE_BITS bits, whatever its size."""
-    at = hashed.filter(f"size(t) >= {SPAN}").select(F.explode(F.expr(f"transform(slice(t, 1, size(t) - {SPAN - 1}), (x, i) -> {PAIR})")).alias("p"))
+def _shapes(lengths: list[int]) -> list[tuple[str, str]]:
+    """(what must hold at position i, the seed there): the masks, and all tokens of short items of these lengths."""
+    shapes = []
+    for k, mask in enumerate(MASKS):
+        kept = ", ".join(f"t[i + {j}]" for j, bit in enumerate(mask) if bit == "1")
+        shapes.append((f"i + {len(mask)} <= size(t)", f"xxhash64({k}, {kept})"))
+    for n in lengths:
+        kept = ", ".join(f"t[i + {j}]" for j in range(n))
+        whole = f"i + {n} <= size(t)" if n >= LEAST_PASSAGE else f"i = 0 and size(t) = {n}"
+        shapes.append((whole, f"xxhash64({100 + n}, {kept})"))
+    return shapes
+
+
+def pair_gate(hashed: DataFrame) -> str:
+    """A bitmap of the token pairs at which the benchmark's seeds start, as longs in text: 2^GATE_BITS bits, whatever its size."""
+    at = hashed.filter("size(t) > 1").select(F.explode(F.expr(f"transform(slice(t, 1, size(t) - 1), (x, i) -> {PAIR})")).alias("p"))
     rows = at.groupBy(F.expr("cast(shiftright(p, 6) as int)").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).collect()
     found = {r["k"]: r["v"] for r in rows}
-    return [found.get(k, 0) for k in range(1 << (GATE_BITS - 6))]
+    return ",".join(str(found.get(k, 0)) for k in range(1 << (GATE_BITS - 6)))
 
 
-def _seeds(hashed: DataFrame, id_name: str, at: str, gate: list[int] | None = None) -> DataFrame:
-    """(id, at, seed) for each mask and each position with a whole span.
+def _seeds(hashed: DataFrame, id_name: str, at: str, lengths: list[int], gate: str | None = None) -> DataFrame:
+    """(id, at, seed) for each shape and each position that has it.
 
     With a gate, positions whose first two tokens start no seed of the benchmark are passed over
     before their seeds are hashed; equal seeds have equal pairs, so none that could join is lost.
     """
-    seeds = []
-    for k, mask in enumerate(MASKS):
-        kept = ", ".join(f"t[i + {j}]" for j, bit in enumerate(mask) if bit == "1")
-        seeds.append(f"xxhash64({k}, {kept})")
-    rows = hashed.filter(f"size(t) >= {SPAN}")
+    rows, test = hashed.filter("size(t) > 0"), "sequence(0, size(t) - 1)"
     if gate is not None:
-        rows = rows.withColumn("bits", F.lit(gate).cast("array<bigint>") if gate else F.array())
-    test = f"filter(sequence(0, size(t) - {SPAN}), i -> getbit(bits[cast(shiftright({PAIR}, 6) as int)], cast({PAIR} & 63 as int)) = 1)" if gate is not None else f"sequence(0, size(t) - {SPAN})"
-    arrays = f"flatten(transform({test}, i -> transform(array({', '.join(seeds)}), x -> named_struct('at', i, 'seed', x))))"
+        # one literal that the optimizer turns into an array, once
+        rows = rows.withColumn("bits", F.split(F.lit(gate), ",").cast("array<bigint>"))
+        test = f"filter({test}, i -> size(t) = 1 or (i + 1 < size(t) and getbit(bits[cast(shiftright({PAIR}, 6) as int)], cast({PAIR} & 63 as int)) = 1))"
+    each = ", ".join(f"if({holds}, {seed}, null)" for holds, seed in _shapes(lengths))
+    arrays = f"flatten(transform({test}, i -> transform(filter(array({each}), x -> x is not null), x -> named_struct('at', i, 'seed', x))))"
     return rows.select(id_name, F.explode(F.expr(arrays)).alias("s")).select(id_name, F.col("s.at").alias(at), F.col("s.seed").alias("seed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per (doc_id, item_id) with a verified overlap: the best number of agreeing tokens and where it starts."""
-    d = _hashed(docs, id_col, text_col, "doc_id")
-    b = materialize(_hashed(benchmark.dropDuplicates([item_col, item_text]), item_col, item_text, "item_id").filter("item_id is not null").withColumn("item_key", F.xxhash64("item_id", "t")), "benchmark")
-    seeds = materialize(_seeds(b, "item_key", "item_at").dropDuplicates(["item_key", "item_at", "seed"]), "seeds")
-    hits = _seeds(d.filter("doc_id is not null"), "doc_id", "doc_at", pair_gate(b)).join(checked_broadcast(seeds, MAX_BROADCAST_SEEDS), "seed")
-    hits = materialize(hits.select("doc_id", "item_key", "doc_at", "item_at").distinct(), "hits")
-
-    # only documents with a hit go on, in blocks of tokens that overlap by the reach of a window,
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """doc_key (the text's hash), item_id, n_match, n_window and first_token of every overlap that counts."""
+    items = _hashed(benchmark.filter(F.col(f"`{item_col}`").isNotNull()), F.col(f"`{item_col}`"), item_text, "item_id").filter("size(t) > 0")
+    items = materialize(items.dropDuplicates(["item_id", "t"]).withColumn("item_key", F.xxhash64("t")), "items")
+    texts = materialize(items.dropDuplicates(["item_key"]).select("item_key", "t"), "benchmark")
+    lengths = sorted(r[0] for r in texts.filter(F.size("t") < LEAST_LOOSE).select(F.size("t")).distinct().collect())  # fewer than LEAST_LOOSE
+    seeds = materialize(_seeds(texts, "item_key", "item_at", lengths).distinct(), "seeds")
+    d = _hashed(docs, text_hash(text_col), text_col, "doc_key")
+    hits = _seeds(d, "doc_key", "doc_at", lengths, pair_gate(texts)).join(checked_broadcast(seeds, MAX_BROADCAST_SEEDS), "seed")
+    hits = materialize(hits.select("doc_key", "item_key", "doc_at", "item_at").distinct(), "hits")
+
+    # only texts with a hit go on, in blocks of tokens that overlap by the reach of a window,
     # so that a hit carries a bounded piece of its text however long the text is
-    reach = MIN_OVERLAP - SPAN
-    with_hit = checked_broadcast(materialize(hits.select(F.col("doc_id").alias("_tl_hit")).distinct(), "with_hit"), MAX_BROADCAST_IDS)
-    texts = _hashed(docs.join(with_hit, docs[id_col] == with_hit["_tl_hit"], "left_semi"), id_col, text_col, "doc_id")
-    pieces = texts.filter("size(t) > 0").select(
-        "doc_id",
-        F.posexplode(F.expr(f"transform(sequence(0, (size(t) - 1) div {BLOCK}), k -> slice(t, greatest(1, k * {BLOCK} + 1 - {reach}), {BLOCK + SPAN + reach} + least(k * {BLOCK}, {reach})))")).alias("block", "bt"),
+    reach = MIN_OVERLAP - SHORTEST_SPAN
+    (key,) = fresh(docs, "hit")
+    with_hit = checked_broadcast(materialize(hits.select(F.col("doc_key").alias(key)).distinct(), "with_hit"), MAX_BROADCAST_IDS)
+    again = _hashed(docs.join(with_hit, text_hash(text_col) == with_hit[key], "left_semi"), text_hash(text_col), text_col, "doc_key")
+    pieces = again.filter("size(t) > 0").select(
+        "doc_key",
+        F.posexplode(F.expr(f"transform(sequence(0, (size(t) - 1) div {BLOCK}), k -> slice(t, greatest(1, k * {BLOCK} + 1 - {reach}), {BLOCK + MIN_OVERLAP} + least(k * {BLOCK}, {reach})))")).alias("block", "bt"),
     )
-    near = hits.withColumn("block", F.expr(f"cast(doc_at div {BLOCK} as int)")).join(pieces, ["doc_id", "block"])
+    pieces = pieces.groupBy("doc_key", "block").agg(F.first("bt").alias("bt"))  # copies are one text
+    near = hits.withColumn("block", F.expr(f"cast(doc_at div {BLOCK} as int)")).join(pieces, ["doc_key", "block"])
     near = near.withColumn("d_left", F.least("doc_at", F.lit(reach))).withColumn("local", F.expr(f"doc_at - greatest(0, block * {BLOCK} - {reach})"))
-    cut = near.select("doc_id", "item_key", "doc_at", "item_at", "d_left", F.expr(f"slice(bt, local + 1 - d_left, {SPAN + reach} + d_left)").alias("dt"))
-    items = checked_broadcast(b.select("item_key", "item_id", F.col("t").alias("it")), MAX_BROADCAST_SEEDS)
-    both = cut.join(items, "item_key")
+    cut = near.select("doc_key", "item_key", "doc_at", "item_at", "d_left", F.expr(f"slice(bt, local + 1 - d_left, {MIN_OVERLAP} + d_left)").alias("dt"))
+    n_tokens = texts.agg(F.sum(F.size("t"))).first()[0] or 0
+    both = cut.join(F.broadcast(texts) if n_tokens <= MAX_BROADCAST_TOKENS else texts, "item_key").withColumnRenamed("t", "it")
     both = both.withColumn("left", F.least("d_left", "item_at")).withColumn("need", F.least(F.lit(MIN_OVERLAP), F.size("it")))
-    both = both.withColumn("span", F.least(F.size("dt") - F.col("d_left") + F.col("left"), F.size("it") - F.col("item_at") + F.col("left"), F.lit(SPAN + reach) + F.col("left")))
+    both = both.withColumn("span", F.least(F.size("dt") - F.col("d_left") + F.col("left"), F.size("it") - F.col("item_at") + F.col("left"), F.lit(MIN_OVERLAP) + F.col("left")))
     both = both.withColumn("m", F.expr("transform(sequence(1, span), j -> int(dt[d_left - left + j - 1] = it[item_at - left + j - 1]))"))
-    best = both.withColumn("best", F.expr("if(span < need, 0, array_max(transform(sequence(1, span - need + 1), s -> aggregate(slice(m, s, need), 0, (a, x) -> a + x))))"))
-    verified = best.filter(F.col("best") >= F.ceil(F.col("need") * MIN_MATCH))
-    return verified.groupBy("doc_id", "item_id").agg(F.max("best").alias("n_match"), F.min("need").alias("n_window"), F.min("doc_at").alias("first_token"))
+    both = both.withColumn("agree", F.expr("if(span < need, array(), transform(sequence(1, span - need + 1), s -> aggregate(slice(m, s, need), 0, (a, x) -> a + x)))"))
+    least = F.when(F.size("it") < LEAST_LOOSE, F.col("need")).otherwise(F.ceil(F.col("need") * MIN_MATCH))
+    both = both.withColumn("least", least.cast("int")).withColumn("start", F.expr("array_position(transform(agree, x -> x >= least), true)"))
+    best = both.filter("start > 0").select("doc_key", "item_key", F.array_max("agree").alias("best"), "need", (F.col("doc_at") - F.col("left") + F.col("start") - 1).alias("first"))
+    best = best.groupBy("doc_key", "item_key").agg(F.max("best").alias("best"), F.min("need").alias("need"), F.min("first").alias("first"))
+    named = best.join(checked_broadcast(items.select("item_key", "item_id"), MAX_BROADCAST_SEEDS), "item_key")
+    return named.groupBy("doc_key", "item_id").agg(F.max("best").alias("n_match"), F.min("need").alias("n_window"), F.min("first").cast("int").alias("first_token"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per row of docs and item_id with an overlap that counts: doc_id, item_id, the most tokens of a window that agree, its length, and where the first such window starts."""
+    found = materialize(_found(docs, benchmark, text_col, item_col, item_text), "found")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("doc_key"))
+    return rows.join(checked_broadcast(found, MAX_BROADCAST_IDS), "doc_key").select("doc_id", "item_id", "n_match", "n_window", "first_token")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a verified overlap with the benchmark, with their columns."""
-    found = materialize(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_tl_bad")).distinct(), "found")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs without an overlap with the benchmark, with their columns."""
+    (bad,) = fresh(docs, "bad")
+    found = materialize(_found(docs, benchmark, text_col, item_col, item_text).select(F.col("doc_key").alias(bad)).distinct(), "found")
     found = checked_broadcast(found, MAX_BROADCAST_IDS)
-    return docs.join(found, docs[id_col] == found["_tl_bad"], "left_anti")
+    return docs.join(found, text_hash(text_col) == found[bad], "left_anti")

@@ -100,7 +100,7 @@ QUERIES = {
     )
 }
 
-#: op5 to op8, op1, op3 and op10 cannot be expressed in SQL with the same functions; they are tested against brute force.
+#: op6 to op8, op1, op3 and op10 cannot be expressed in SQL with the same functions; they are tested against brute force.
 ORACLES: dict[str, str] = {}
 ORACLES["op2_warc_zstd_roundtrip"] = """
 with p as (select page_id, coalesce(html, '') as html from pages),
@@ -133,6 +133,26 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   and n_stop >= 2 and n_stop / greatest(n_words, 1) >= 0.02 and n_dup_lines / greatest(n_lines, 1) <= 0.5 and n_alpha / greatest(n_words, 1) >= 0.6 as kept
 from b
 """
+#: All alignments with three equal tokens in a row, which every overlap that counts has; no masks and no hashes.
+ORACLES["op5_decontamination_spaced_seeds"] = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
+dg as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+bg as (select item_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select item_id, w, unnest(range(1, len(w) - 1)) as i from b)),
+dia as (select distinct dg.doc_id, bg.item_id, dg.i - bg.i as shift from dg join bg using (g)),
+pos as (
+  select dia.doc_id, dia.item_id, dia.shift, least(20, len(b.w)) as need, len(b.w) as n, len(d.w) as nd, unnest(range(greatest(1, 1 - shift), least(len(b.w), len(d.w) - shift) + 1)) as j, b.w as bw, d.w as dw
+  from dia join d using (doc_id) join b using (item_id)),
+agree as (select doc_id, item_id, shift, need, n, nd, j, (bw[j] = dw[j + shift])::int as m from pos),
+win as (
+  select *, sum(m) over (partition by doc_id, item_id, shift order by j rows between current row and 19 following) as s20, count(*) over (partition by doc_id, item_id, shift order by j rows between current row and 19 following) as c20,
+    sum(m) over (partition by doc_id, item_id, shift) as s_all, count(*) over (partition by doc_id, item_id, shift) as c_all
+  from agree),
+ok as (
+  select doc_id, item_id, need, j + shift - 1 as start, case when need = 20 then s20 else s_all end as s from win
+  where case when need = 20 then c20 = 20 and s20 >= 16 else j = 1 and c_all = n and s_all >= case when n < 12 then n else ceil(0.8 * n) end and (n >= 6 or nd = n) end)
+select doc_id, item_id, max(s)::int as n_match, min(need)::int as n_window, min(start)::int as first_token from ok group by doc_id, item_id
+"""
 ORACLES["op9_url_temporal_lists"] = r"""
 with p as (
   select page_id, url, date '2024-01-01' + (page_id * 37 % 365)::int as day,
