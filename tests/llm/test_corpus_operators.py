@@ -173,38 +173,93 @@ def test_decontamination_edges(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 3
 
 
-def test_waterfill_and_tree():
-    assert mixing.waterfill(90, {"a": 1, "b": 1, "c": 1}, {"a": 10, "b": 100, "c": 100}) == {"a": 10, "b": 40, "c": 40}
-    leaves = {("d", "en", "x"): 10, ("d", "en", "y"): 1000, ("d", "de", "z"): 1000, ("e", "en", "x"): 1000}
-    got = mixing.solve(leaves, mixing.Mixture({}, share=0.2, max_epochs=1))
-    # x's shortage goes to its sibling y, not to de or e
-    assert sum(got.values()) == pytest.approx(602, abs=4) and got[("d", "en", "x")] == 10 and got[("d", "en", "y")] == 140
-    assert got[("d", "de", "z")] == 150 and got[("e", "en", "x")] == 301
-    over = mixing.solve(leaves, mixing.Mixture({}, share=9, max_epochs=2))
-    assert over == {p: 2 * n for p, n in leaves.items()}
+def waterfill(budget, weights, caps):
+    """Shares of budget by weight, none above its cap; shortages go to the others by weight."""
+    out, left = dict.fromkeys(caps, 0), min(budget, sum(c for k, c in caps.items() if weights[k] > 0))
+    free = {k for k, c in caps.items() if c > 0 and weights[k] > 0}
+    while free and left > 1e-9:
+        total = sum(weights[k] for k in free)
+        full = {k for k in free if left * weights[k] / total >= caps[k]}
+        out |= {k: caps[k] for k in full} if full else {k: left * weights[k] / total for k in free}
+        if not full:
+            break
+        left -= sum(caps[k] for k in full)
+        free -= full
+    return out
 
 
-def test_mixed_against_brute_force(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    m = mixing.Mixture({("web",): 1.0, ("forum",): 6.0, ("curated",): 3.0}, share=1.1, max_epochs=3)
-    keyed = docs.select("doc_id", mixing.domain_of(F.col("source")).alias("d"), "lang", "source", "text", *[F.xxhash64(F.lit(m.seed), F.lit(e).cast("long"), "doc_id").alias(f"h{e}") for e in range(4)]).collect()
-    n_tok = lambda t: len([x for x in re.split(r"[\x20\x09-\x0D]+", t) if x])
+def solved(leaves, m):
+    """Tokens to take from each leaf, by recursion over the tree."""
+    cap = lambda p: m.max_epochs * sum(n for q, n in leaves.items() if q[: len(p)] == p)
+    budgets = {(): min(m.share * sum(leaves.values()), cap(()))}
+    for depth in range(3):
+        for node in [p for p in budgets if len(p) == depth]:
+            kids = sorted({q[: depth + 1] for q in leaves if q[:depth] == node}, key=repr)
+            known = [m.weights[k] for k in kids if k in m.weights]
+            mean = sum(known) / len(known) if known else 1.0
+            budgets |= waterfill(budgets[node], {k: m.weights.get(k, mean) for k in kids}, {k: cap(k) for k in kids})
+    return {p: int(b + 1e-6) for p, b in budgets.items() if len(p) == 3}
+
+
+def take_of(spark, leaves, m):
+    df = spark.createDataFrame([(*p, n) for p, n in leaves.items()], "_d string, _l string, _s string, n long")
+    return {tuple(r)[:3]: r["take"] for r in mixing.solve(df, m).collect()}
+
+
+def test_waterfill_and_tree(spark):
+    leaves = {("d", "en", "x"): 10, ("d", "en", "y"): 1000, ("d", "de", "z"): 1000, ("e", "en", "x"): 1000}
+    got = take_of(spark, leaves, mixing.Mixture({}, share=0.2, max_epochs=1))
+    # x's shortage goes to its sibling y, not to de or e
+    assert got == {("d", "en", "x"): 10, ("d", "en", "y"): 140, ("d", "de", "z"): 150, ("e", "en", "x"): 301}
+    assert take_of(spark, leaves, mixing.Mixture({}, share=9, max_epochs=2)) == {p: 2 * n for p, n in leaves.items()}
+    assert take_of(spark, leaves, mixing.Mixture({("e",): 0.0}, share=0.5))[("e", "en", "x")] == 0
+    assert take_of(spark, {}, mixing.Mixture({})) == {}
+    rnd = random.Random(8)
+    for _ in range(6):
+        names = [None, "a", "b", "c"]
+        leaves = {(rnd.choice(names), rnd.choice(names), f"s{i}"): rnd.choice([1, 7, 1000, 10**6]) for i in range(40)}
+        weights = {p[:k]: rnd.choice([0.0, 0.5, 1.0, 4.0]) for p in leaves for k in (1, 2, 3) if rnd.random() < 0.4 and None not in p}
+        m = mixing.Mixture(weights, share=rnd.choice([0.05, 0.5, 0.9, 2.5]), max_epochs=rnd.choice([1, 3]))
+        want, got = solved(leaves, m), take_of(spark, leaves, m)
+        assert all(abs(got[p] - want[p]) <= 1 for p in leaves), m
+
+
+def brute_mixed(rows, hashes, m):
+    """(row, epoch) of every document that the mixture takes; rows: (id, domain, lang, source, text), hashes[row][epoch]."""
+    n_tok = [len([x for x in re.split(r"[\x20\x09-\x0D]+", r[4] or "") if x]) for r in rows]
     by_leaf = {}
-    for r in keyed:
-        if n_tok(r.text):
-            by_leaf.setdefault((r.d, r.lang, r.source), []).append(r)
-    take = mixing.solve({p: sum(n_tok(r.text) for r in rs) for p, rs in by_leaf.items()}, m)
-    want = []
+    for i, r in enumerate(rows):
+        if n_tok[i]:
+            by_leaf.setdefault(tuple(r[1:4]), []).append(i)
+    take = solved({p: sum(n_tok[i] for i in rs) for p, rs in by_leaf.items()}, m)
+    out = []
     for p, rs in by_leaf.items():
-        full, rest = divmod(take[p], sum(n_tok(r.text) for r in rs))
-        want += [(r.doc_id, e) for r in rs for e in range(full)]
+        full, rest = divmod(take[p], sum(n_tok[i] for i in rs))
+        out += [(i, e) for i in rs for e in range(full)]
         before = 0
-        for r in sorted(rs, key=lambda r: (r[f"h{full}"], r.doc_id)):
+        for i in sorted(rs, key=lambda i: hashes[i][full]):
             if before < rest:
-                want.append((r.doc_id, full))
-            before += n_tok(r.text)
+                out.append((i, full))
+            before += n_tok[i]
+    return sorted(out)
+
+
+def epoch_hashes(docs, m):
+    return [F.xxhash64(F.lit(m.seed), F.lit(e).cast("long"), "doc_id").alias(f"h{e}") for e in range(m.max_epochs + 1)]
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_mixed_against_brute_force(spark, small, monkeypatch, bits, bound):
+    monkeypatch.setattr(mixing, "LEVEL_BITS", bits)  # with one bit the last parts hold many documents
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", bound)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    m = mixing.Mixture({("web",): 1.0, ("forum",): 6.0, ("curated",): 3.0}, share=1.1, max_epochs=3)
+    keyed = docs.select("doc_id", mixing.domain_of(F.col("source")).alias("d"), "lang", "source", "text", *epoch_hashes(docs, m)).collect()
+    rows = [tuple(r)[:5] for r in keyed]
+    want = brute_mixed(rows, [tuple(r)[5:] for r in keyed], m)
     got = mixing.mixed(docs, m, epoch_col="epoch")
-    assert sorted((r.doc_id, r.epoch) for r in got.collect()) == sorted(want)
+    assert sorted((r.doc_id, r.epoch) for r in got.collect()) == sorted((rows[i][0], e) for i, e in want)
     assert got.drop("epoch").columns == docs.columns
 
 

@@ -1,41 +1,44 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
 The corpus is a tree domain - language - source whose leaves hold token counts. A token budget is
-propagated from the root by the children's weights; a leaf can give at most MAX_EPOCHS times its
+propagated from the root by the children's weights; a leaf can give at most max_epochs times its
 tokens. What a child cannot give goes to its siblings, by weight, and only what the whole subtree
 cannot give goes to the siblings of its parent. Each leaf then takes whole epochs and, of one
 more epoch in an order of its own, the prefix of documents up to its budget of tokens; the last
 document is taken if its first token is within the budget.
 
-An epoch's order is that of a seeded 64-bit hash of the id. The prefix needs no global sort: the
-hash range of a leaf is cut into BUCKETS equal parts, bucket sums (pre-aggregated before the
-shuffle) locate the bucket with the cut, and only that bucket of each leaf is ordered. A leaf with
-a third of all rows is one more row of a small table.
+One pass over the texts writes a narrow table of ids and token counts, on which everything is
+decided; a second one yields the documents. The tree is solved level by level with window functions
+over siblings, however many leaves there are.
 
-The leaves are collected to the driver, where the tree is solved; more than MAX_LEAVES leaves is
-an error, so that table is bounded.
+An epoch's order is that of a seeded 64-bit hash of the id. The prefix needs no global sort: the
+hash range of a leaf is cut into 2^LEVEL_BITS equal parts, whose sums (pre-aggregated before the
+shuffle) locate the part with the cut; that one is cut up again, and of the last part, one of
+2^(LEVEL_BITS * CUT_LEVELS), the documents are ordered. So no task orders more than that of a leaf, or sees
+more than 2^LEVEL_BITS sums of it, and a leaf may have a third of all rows.
 
 Defined results: null domain, language or source is a leaf of its own; null text has no tokens;
-documents without tokens are never taken; rows that tie in the order are ordered by their text,
-and rows that tie in that too are interchangeable; weights missing from the table are equal among
-siblings; an empty table gives an empty table; extra columns are carried.
+documents without tokens are never taken; rows without an id are ordered by the hash of their text;
+rows that tie in the order are ordered by their text's hash, and rows equal in id and text are taken
+together; weights missing from the table are the mean of their siblings', or equal; an empty
+table gives an empty table; extra columns are carried.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, materialize, words
+from textloom.llm.common import bounded, checked_broadcast, fresh, materialize, words
 
 MAX_EPOCHS = 4
-BUCKETS = 4096
-MAX_LEAVES = 100_000
+LEVEL_BITS, CUT_LEVELS = 8, 3
+#: Rows of the plan (one per leaf) and of the last parts that are broadcast at most; beyond them the joins shuffle.
+MAX_BROADCAST = 1_000_000
 SEED = 2611
-LEVELS = ("domain", "lang", "source")
+PATH = ["_d", "_l", "_s"]
 
 
 @dataclass(frozen=True)
@@ -58,95 +61,121 @@ def domain_of(source: Column) -> Column:
     return F.when(n <= 2, "web").when(n == 3, "curated").when(n == 4, "forum")
 
 
-def waterfill(budget: float, weights: dict, caps: dict) -> dict:
-    """Shares of budget by weight, none above its cap; shortages go to the others by weight."""
-    out, open_, left = dict.fromkeys(caps, 0), {k for k, c in caps.items() if c > 0 and weights[k] > 0}, min(budget, sum(caps[k] for k in caps if weights[k] > 0))
-    while open_ and left > 0:
-        total = sum(weights[k] for k in open_)
-        full = {k for k in open_ if left * weights[k] / total >= caps[k]}
-        if not full:
-            for k in open_:
-                out[k] = left * weights[k] / total
-            break
-        for k in full:
-            out[k] = caps[k]
-        left -= sum(caps[k] for k in full)
-        open_ -= full
-    return out
-
-
-def solve(leaves: dict[tuple, int], mixture: Mixture) -> dict[tuple, int]:
-    """Tokens to take from each leaf path, given the tokens it has."""
-    caps: dict = defaultdict(int)
-    children: dict = defaultdict(set)
-    for path, n in leaves.items():
-        for i in range(len(path) + 1):
-            caps[path[:i]] += n * mixture.max_epochs
-            if i:
-                children[path[: i - 1]].add(path[:i])
-    budgets = {(): min(mixture.share * sum(leaves.values()), caps[()])}
-    for depth in range(len(LEVELS)):
-        for node in [p for p in budgets if len(p) == depth]:
-            kids = sorted(children[node], key=repr)
-            known = [mixture.weights[k] for k in kids if k in mixture.weights]
-            default = sum(known) / len(known) if known else 1.0
-            budgets |= waterfill(budgets[node], {k: mixture.weights.get(k, default) for k in kids}, {k: caps[k] for k in kids})
-    return {p: int(b + 1e-6) for p, b in budgets.items() if len(p) == len(LEVELS)}
+def _with(a: DataFrame, b: DataFrame, depth: int = len(PATH), how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """a with the columns of b, a table of one row per path; nulls are paths of their own."""
+    other = [f"{c}_of" for c in PATH[:depth]]
+    b = b.withColumnsRenamed(dict(zip(PATH[:depth], other, strict=True)))
+    same = F.lit(True)
+    for c, o in zip(PATH[:depth], other, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(o))
+    return a.join(F.broadcast(b) if broadcast else b, same, how).drop(*other)
+
+
+def _small(df: DataFrame) -> bool:
+    return bounded(df, MAX_BROADCAST)
+
+
+def waterfill(children: DataFrame, depth: int) -> DataFrame:
+    """children (path, cap, weight, parent's budget) with budget: shares by weight, none above its cap, shortages to siblings."""
+    siblings = Window.partitionBy(*PATH[: depth - 1]) if depth > 1 else Window.partitionBy(F.lit(0))
+    weight = F.when(F.col("cap") > 0, F.col("weight")).otherwise(0.0)
+    rows = children.withColumn("weight", weight).withColumn("open", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0.0))
+    rows = rows.withColumn("left", F.least("parent", F.sum("open").over(siblings)))
+    rows = rows.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")))
+    # siblings in the order in which a rising level fills them; the level of the first that it does not fill holds for the rest
+    order = siblings.orderBy(F.col("ratio").asc_nulls_last(), *PATH[:depth])
+    filled = F.coalesce(F.sum("open").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ahead = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("level", F.when(F.col("weight") > 0, (F.col("left") - filled) / ahead))
+    rows = rows.withColumn("full", F.coalesce(F.col("ratio") <= F.col("level"), F.lit(False)))
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(siblings)
+    budget = F.when(F.col("full"), F.col("cap")).when(F.col("weight") > 0, F.greatest(level * F.col("weight"), F.lit(0.0))).otherwise(0.0)
+    return rows.withColumn("budget", budget).select(*PATH[:depth], "budget")
+
+
+def _weights(spark: SparkSession, mixture: Mixture, depth: int) -> DataFrame:
+    rows = [(*path, float(w)) for path, w in mixture.weights.items() if len(path) == depth]
+    return spark.createDataFrame(rows, ", ".join([*(f"{c} string" for c in PATH[:depth]), "weight double"]))
+
+
+def solve(leaves: DataFrame, mixture: Mixture) -> DataFrame:
+    """Tokens to take (take) from each leaf (path) that has n tokens."""
+    spark = leaves.sparkSession
+    caps = leaves.withColumn("cap", F.col("n").cast("double") * mixture.max_epochs)
+    budgets = leaves.agg((F.sum("n") * F.lit(float(mixture.share))).alias("budget"))
+    budgets = budgets.select(F.least("budget", F.lit(mixture.max_epochs / mixture.share if mixture.share else 0.0) * F.col("budget")).alias("budget"))
+    for depth in range(1, len(PATH) + 1):
+        nodes = caps.groupBy(*PATH[:depth]).agg(F.sum("cap").alias("cap"))
+        nodes = _with(nodes, _weights(spark, mixture, depth), depth, "left", True)  # the mixture's own table
+        siblings = Window.partitionBy(*PATH[: depth - 1]) if depth > 1 else Window.partitionBy(F.lit(0))
+        nodes = nodes.withColumn("weight", F.coalesce("weight", F.avg("weight").over(siblings), F.lit(1.0)))
+        parents = budgets.withColumnRenamed("budget", "parent")
+        nodes = _with(nodes, parents, depth - 1) if depth > 1 else nodes.join(F.broadcast(parents))  # one row
+        budgets = waterfill(nodes, depth)
+    return budgets.select(*PATH, F.floor(F.col("budget") + 1e-6).cast("long").alias("take"))
+
+
+def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the last epoch of each leaf ends.
+
+    rows: path, rest (tokens to take), h, key, tie, tok. Returns (path, cut): the last part, by the first bits
+    of h, and the rows (path, h, key, tie) of these parts that are taken.
+    """
+    now = rows.filter("rest > 0")
+    for level in range(1, CUT_LEVELS + 1):
+        now = now.withColumn("part", F.shiftright("h", 64 - LEVEL_BITS * level))
+        sums = now.groupBy(*PATH, "part", "rest").agg(F.sum("tok").alias("n"))
+        before = Window.partitionBy(*PATH).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        cuts = ahead.filter("before < rest and before + n >= rest").select(*PATH, F.col("part").alias("cut"), (F.col("rest") - F.col("before")).alias("rest"))
+        cuts = materialize(cuts, "cuts")
+        now = _with(now.drop("rest"), cuts, broadcast=_small(cuts)).filter(F.col("part") == F.col("cut")).drop("part", "cut")
+        now = materialize(now, "part")
+    # rows equal in id and text have one place
+    places = now.groupBy(*PATH, "rest", "h", "key", "tie").agg(F.sum("tok").alias("tok"))
+    before = Window.partitionBy(*PATH).orderBy("h", "key", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    taken = places.withColumn("before", F.coalesce(F.sum("tok").over(before), F.lit(0))).filter("before < rest")
+    return cuts.select(*PATH, "cut"), materialize(taken.select(*PATH, "h", "key", "tie"), "taken")
 
 
 def mixed(docs: DataFrame, mixture: Mixture = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, epoch_col: str | None = None) -> DataFrame:
     """The documents of the mixture, once for each epoch that takes them."""
-    spark = docs.sparkSession
-    columns = docs.columns
-    dom, lang, src, tok, epoch, hsh, bucket, tie, before = fresh(docs, "domain", "lang", "source", "tok", "epoch", "hash", "bucket", "tie", "before")
-    path = [dom, lang, src]
+    text = F.col(f"`{text_col}`")
     domain = domain_of(F.col("source")) if domain is None else domain
-    keyed = docs.withColumns({dom: domain, lang: F.col("lang"), src: F.col("source"), tok: F.size(words(F.col(f"`{text_col}`"))).cast("long")}).filter(F.col(tok) > 0)
-
-    def order(e: Column) -> Column:
-        return F.xxhash64(F.lit(mixture.seed), e, F.col(f"`{id_col}`"))
-
-    rows = keyed.groupBy(*path).agg(F.sum(tok).alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    leaves = {tuple(r)[:3]: r["n"] for r in rows}
-    take = solve(leaves, mixture)
-    plan = [(*p, take[p] // n, take[p] % n) for p, n in leaves.items()]
-    full, rest = fresh(docs, "full", "rest")
-    schema = ", ".join([*(f"`{c}` string" for c in path), f"`{full}` long", f"`{rest}` long"])
-    leaf_plan = F.broadcast(spark.createDataFrame(plan, schema))  # at most MAX_LEAVES rows
-
-    def on_path(a: DataFrame, b: DataFrame) -> Column:
-        cond = F.lit(True)
-        for c in path:
-            cond = cond & a[c].eqNullSafe(b[c])
-        return cond
-
-    def with_plan(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b, on_path(a, b)).drop(*[b[c] for c in path])
-
-    planned = with_plan(keyed, leaf_plan)
-    planned = planned.withColumn(hsh, order(F.col(full)))
-    # equal parts of the signed hash range
-    planned = planned.withColumn(bucket, F.shiftright(F.col(hsh), 64 - BUCKETS.bit_length() + 1).cast("int"))
-
-    # tokens before each bucket: leaves x BUCKETS rows at most, summed before they are shuffled
-    sums = planned.select(*path, rest, bucket, tok).filter(F.col(rest) > 0).groupBy(*path, rest, bucket).agg(F.sum(tok).alias("n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*path).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    cut_bucket, cut_before = fresh(docs, "cut", "cut_before")
-    ahead = sums.withColumn(cut_before, F.coalesce(F.sum("n").over(w), F.lit(0)))
-    cuts = materialize(ahead.filter(f"`{cut_before}` < `{rest}` and `{cut_before}` + n >= `{rest}`").select(*path, F.col(bucket).alias(cut_bucket), cut_before), "cuts")
-    cut = F.broadcast(cuts)  # one row per leaf
-    placed = planned.join(cut, on_path(planned, cut), "left").drop(*[cut[c] for c in path])
-
-    # the bucket with the cut is ordered by itself; its documents are few and need no text
-    inner = placed.filter(F.col(bucket) == F.col(cut_bucket)).withColumn(tie, F.xxhash64(F.col(f"`{text_col}`")))
-    wi = Window.partitionBy(*path).orderBy(hsh, f"`{id_col}`", tie).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = inner.withColumn(before, F.coalesce(F.sum(tok).over(wi), F.lit(0)) + F.col(cut_before))
-    last = ranked.filter(F.col(before) < F.col(rest)).withColumn(epoch, F.col(full))
-
-    inside = placed.withColumn(epoch, F.explode(F.expr(f"if(`{cut_bucket}` is not null and `{bucket}` < `{cut_bucket}`, sequence(0L, `{full}`), if(`{full}` > 0, sequence(0L, `{full}` - 1), cast(array() as array<bigint>)))")))
-    out = [*[F.col(f"`{c}`") for c in columns], *([F.col(epoch).alias(epoch_col)] if epoch_col else [])]
-    return inside.select(*out).unionByName(last.select(*out))
+    tie = F.xxhash64(F.coalesce(text, F.lit("")))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), tie)
+    path = [domain, F.col("lang"), F.col("source")]
+    narrow = docs.select(*[p.alias(c) for p, c in zip(path, PATH, strict=True)], key.alias("key"), tie.alias("tie"), F.size(words(text)).cast("long").alias("tok"))
+    narrow = materialize(narrow.filter("tok > 0"), "sizes")
+
+    leaves = materialize(narrow.groupBy(*PATH).agg(F.sum("tok").alias("n")), "leaves")
+    plan = _with(leaves, solve(leaves, mixture)).select(*PATH, F.expr("take div n").alias("full"), F.expr("take % n").alias("rest"))
+    plan = materialize(plan, "plan")
+
+    def order(full: Column, k: Column) -> Column:
+        return F.xxhash64(F.lit(mixture.seed), full, k)
+
+    cuts, taken = _cut(_with(narrow, plan, broadcast=_small(plan)).withColumn("h", order(F.col("full"), F.col("key"))).drop("full"))
+
+    # the documents: those before the cut, those of the cut's part that are taken, and whole epochs
+    names = dict(zip([*PATH, "key", "tie", "h"], fresh(docs, "domain", "lang", "source", "key", "tie", "hash"), strict=True))
+    (end, full, epoch, place) = fresh(docs, "cut", "full", "epoch", "place")
+    decided = _with(plan, cuts, how="left").select(*[F.col(c).alias(names[c]) for c in PATH], F.col("full").alias(full), F.col("cut").alias(end))
+    decided = checked_broadcast(decided, MAX_BROADCAST)
+    rows = docs.filter(text.rlike("[^\\x20\\x09-\\x0D]")).withColumns({**{names[c]: p for p, c in zip(path, PATH, strict=True)}, names["key"]: key, names["tie"]: tie})
+    same_leaf = F.lit(True)
+    for c in PATH:
+        same_leaf = same_leaf & rows[names[c]].eqNullSafe(decided[names[c]])
+    rows = rows.join(decided, same_leaf).drop(*[decided[names[c]] for c in PATH])
+    rows = rows.withColumn(names["h"], order(F.col(full), F.col(names["key"])))
+    at = F.shiftright(F.col(names["h"]), 64 - LEVEL_BITS * CUT_LEVELS)
+    last = taken.select(*[F.col(c).alias(f"{names[c]}2") for c in names], F.lit(True).alias(place))
+    last = checked_broadcast(last, MAX_BROADCAST)
+    same_place = F.lit(True)
+    for c in ("h", "key", "tie", *PATH):
+        same_place = same_place & rows[names[c]].eqNullSafe(last[f"{names[c]}2"])
+    rows = rows.join(last, same_place, "left")
+    more = (F.col(end).isNotNull() & (at < F.col(end))) | F.col(place).isNotNull()
+    epochs = F.col(full) + more.cast("long")
+    out = [*[F.col(f"`{c}`") for c in docs.columns], *([F.col(epoch).alias(epoch_col)] if epoch_col else [])]
+    return rows.filter(epochs > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1))).select(*out)
