@@ -106,7 +106,23 @@ def test_archive_damage():
             warc.parse_record(bad)
 
 
-def test_warc_pages(spark, small, tmp_path):
+def test_archive_is_read_in_linear_time():
+    import time
+
+    payload = b"<p>some page</p>" * 20
+    record = warc.build_record(1, "u", payload, hashlib.sha256(payload).hexdigest(), None)
+    data, took = warc.encode_archive([record]), []
+    assert list(warc.decode_archive(warc.encode_archive([b"x" * 3_000_000 + record]))) == [b"x" * 3_000_000 + record]  # longer than a slice
+    for n in (2_000, 16_000):
+        began = time.time()
+        assert sum(1 for _ in warc.decode_archive(data * n)) == n
+        took.append(time.time() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_warc_pages(spark, small, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_DIGESTS", bound)
     same(queries.op2_warc_zstd_roundtrip(spark, small), queries.ORACLES["op2_warc_zstd_roundtrip"], small)
     big = "y" * 150
     pages = spark.createDataFrame([(1, "u", big, "a"), (3, "u", big, "a"), (2, None, big, "a"), (4, "u", None, "a"), (5, "u", "", "a"), (6, "u", "s", "a"), (7, "u", "s", "a"), (None, "u", big, "a"), (1, "u", big, "a")], "page_id long, url string, html string, digest string")

@@ -6,7 +6,8 @@ version line, headers, lengths and digests before it returns the record.
 
 Equal payloads of at least MIN_REVISIT_BYTES are stored once, under the smallest page_id; the
 others become revisit records that refer to it. Digests are counted per (digest, salt) before
-they are shuffled by digest, and the answer goes back to each (digest, salt), so a payload shared
+they are shuffled by digest. The shared ones go back to the pages by broadcast, if a count proves
+them few, so that no payload is shuffled; otherwise to each (digest, salt), so a payload shared
 by a third of all pages meets its pages in many tasks.
 
 Archives are rolled at a bounded number of raw bytes, so a writer buffers, and a reader receives,
@@ -31,21 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checked_broadcast, materialize, salt_of, scratch_path, spread_back
+from textloom.llm.common import bounded, checked_broadcast, materialize, salt_of, scratch_path, spread_back
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 32 << 10
 DICT_SAMPLE_RECORDS = 200
 MAX_BROADCAST_FILES = 1_000_000
+#: Shared digests that are broadcast at most, at about 100 bytes each.
+MAX_BROADCAST_DIGESTS = 1_000_000
 SALTS = 64
 LEVEL = 3
+READ_BYTES = 1 << 12
 
 # Fixed values of the formats
 VERSION = b"WARC/1.1"
 DICT_FRAME_MAGIC = 0x184D2A5D
 DICT_MAGIC = b"\x37\xa4\x30\xec"
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
+FRAME_HEADER_BYTES = 18
 CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = "1970-01-01T00:00:00Z"
@@ -169,12 +174,17 @@ def decode_archive(data: bytes):
     while at < len(data):
         if data[at : at + 4] != FRAME_MAGIC:
             raise WarcError(f"no frame at byte {at}")
-        size = zstandard.frame_content_size(view[at:])
-        one = d.decompressobj()
-        record = one.decompress(view[at:])
-        if not one.eof or (size >= 0 and len(record) != size):
-            raise WarcError(f"the frame at byte {at} is cut off")
-        at = len(data) - len(one.unused_data)
+        size = zstandard.frame_content_size(view[at : at + FRAME_HEADER_BYTES])
+        one, parts, start, step = d.decompressobj(), [], at, READ_BYTES
+        while not one.eof:  # in slices, so that what is left over after a frame is short
+            if at >= len(data):
+                raise WarcError(f"the frame at byte {start} is cut off")
+            parts.append(one.decompress(view[at : at + step]))
+            at, step = min(len(data), at + step), step * 2
+        at -= len(one.unused_data)
+        record = b"".join(parts)
+        if size >= 0 and len(record) != size:
+            raise WarcError(f"the frame at byte {start} has {len(record)} bytes, not {size}")
         yield record
 
 
@@ -223,12 +233,15 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, payload, digest, refers_to (null for responses) of every page."""
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    rows = rows.withColumn("salt", salt_of(F.col("page_id"), SALTS))
     large = pages.select(F.col(f"`{id_col}`").alias("page_id"), payload.alias("payload")).filter(F.octet_length("payload") >= MIN_REVISIT_BYTES)
     keys = large.select("page_id", F.sha2("payload", 256).alias("digest"), salt_of(F.col("page_id"), SALTS).alias("salt"))
     by_salt = keys.groupBy("digest", "salt").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     shared = by_salt.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).filter("n > 1").drop("n")
-    joined = spread_back(rows, "digest", "salt", shared)
+    shared = materialize(shared, "shared")
+    if bounded(shared, MAX_BROADCAST_DIGESTS):
+        joined = rows.join(F.broadcast(shared.drop("salts")), "digest", "left")
+    else:
+        joined = spread_back(rows.withColumn("salt", salt_of(F.col("page_id"), SALTS)), "digest", "salt", shared)
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
