@@ -334,23 +334,3 @@ def test_native_plans(spark, small):
     for f in (queries.op4_quality_rules, queries.op5_decontamination_spaced_seeds, queries.op9_url_temporal_lists):
         plan = f(spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
-
-
-def test_pipeline(spark, small):
-    import corpus_pipeline as P
-
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    for name, stage in P.STAGES[:-1]:
-        out = stage(spark, docs, small)
-        assert out.columns == docs.columns, name
-        docs = out
-    assert P.run(spark, small).count() == docs.count()
-    assert [n for n, _ in P.STAGES] == ["quality_rules", "near_dedup", "decontamination", "mixing", "sharding"]
-
-
-def test_pipeline_edges(spark, edge_docs, no_docs, small):
-    import corpus_pipeline as P
-
-    for start in (edge_docs, no_docs):
-        for _, stage in P.STAGES:
-            assert stage(spark, start, small).count() >= 0

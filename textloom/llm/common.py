@@ -7,15 +7,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, single machine).
-DEFAULT_CHECKPOINT_DIR = "file:///tmp/checkpoints"
+#: Used only where the session names no checkpoint folder and everything runs in one process.
+LOCAL_CHECKPOINT_DIR = "file:///tmp/checkpoints"
 
 #: ASCII white space of the word contract: space, \t, \n, \v, \f, \r.
 NON_WORD = "[\\x20\\x09-\\x0D]"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own checkpoint folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return LOCAL_CHECKPOINT_DIR
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -23,7 +23,7 @@ ROW_OVERHEAD = 8
 
 
 def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and row, its place in the whole order, which is unique."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(
@@ -76,4 +76,5 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_
         "shard",
         (F.col("row") - F.col("first_row")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        "row",
     )
