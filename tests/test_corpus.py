@@ -1,5 +1,8 @@
+import re
 import random
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,13 +103,52 @@ def test_gazetteer_against_brute_force(spark):
 
 
 def test_overlap_half_open(spark):
-    toks = spark.createDataFrame([(1, 0, "x", 5, 10)], "d int, pos int, token string, start int, end int")
+    docs = spark.createDataFrame([(1, "abcd efghi"), (2, "no spans here"), (3, ""), (4, None)], "d int, t string")
     spans = spark.createDataFrame([(1, 0, 10, 12, "Y"), (1, 1, 9, 12, "X")], "d int, ord int, start int, end int, label string")
-    assert overlap_labels(toks, spans, ["d"]).first().label == "B-X"
+    assert [(r.d, r.token, r.label) for r in overlap_labels(docs, spans, ["d"], "t").orderBy("d", "pos").collect()] == [(1, "abcd", "O"), (1, "efghi", "B-X"), (2, "no", "O"), (2, "spans", "O"), (2, "here", "O")]
     t = spark.createDataFrame([(1, "  aš 🦄b\n\nc ")], "d int, t string")
     assert [(r.token, r.start, r.end) for r in token_rows(t, ["d"], "t").orderBy("pos").collect()] == [("aš", 2, 4), ("🦄b", 5, 7), ("c", 9, 10)]
 
 
+@pytest.mark.parametrize("bio", [False, True])
+def test_overlap_against_brute_force(spark, bio):
+    rnd = random.Random(6)
+    texts = {i: "".join(rnd.choice(["a", "bc ", " ", "\n", "déf", "🦄 "]) for _ in range(rnd.choice([0, 1, 5, 60, 700]))) for i in range(25)}
+    spans = {i: [(o, s, s + rnd.randint(0, 9), rnd.choice(["PERS", "DATE", "LOC"])) for o, s in enumerate(rnd.randint(0, max(1, len(t))) for _ in range(rnd.choice([0, 3, 80])))] for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "d int, t string")
+    rows = [(d, *x) for d, xs in spans.items() for x in xs]
+    got = overlap_labels(docs, spark.createDataFrame(rows, "d int, ord int, start int, end int, label string"), ["d"], "t", {"PERS": "PER", "DATE": "O"}, bio).collect()
+    want = []
+    for d, t in texts.items():
+        before = None
+        for pos, m in enumerate(re.finditer(r"\S+", t)):
+            hit = next((x for x in sorted(spans[d], key=lambda x: (x[1], x[0])) if m.start() < x[2] and m.end() > x[1]), None)
+            kind = {"PERS": "PER", "DATE": "O", "LOC": "LOC"}[hit[3]] if hit else "O"
+            label = "O" if kind == "O" else ("I-" if bio and hit == before else "B-") + kind
+            want.append((d, pos, m.group(), m.start(), m.end(), label))
+            before = hit
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_first_seen_order_and_counters(spark):
+    from textloom.operators import encoders, stats
+
+    df = spark.createDataFrame([(2, ["b", "a"]), (1, ["c", "b"]), (3, [None, "d"])], "k int, l array<string>")
+    assert [tuple(r) for r in encoders.first_seen(df, "l", ["k"]).orderBy("id").collect()] == [("c", 0), ("b", 1), ("a", 2), ("d", 3)]
+    files = spark.createDataFrame([("t1", "a"), ("t1", "a"), ("t1", "b"), ("t2", "c")], "topic string, file string")
+    assert sorted(((r.topic or "", r.files, r.rows) for r in stats.counters(files, ["topic"]).collect())) == [("", 3, 4), ("t1", 2, 3), ("t2", 1, 1)]
+
+
+def test_training_splits(spark):
+    from textloom.plans import corpus
+
+    df = spark.createDataFrame([("de", "train"), ("en", "train"), ("en", "eval")], "lang string, split string")
+    got = corpus.training_splits(df, ["en", "de"])
+    assert [r.lang for r in got["train"].collect()] == ["en", "de"] and got["eval"].count() == 1
+    with pytest.raises(ValueError, match="eval"):
+        corpus.training_splits(df, ["de"])
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("NER=B-per|SpaceAfter=No",), ("o",), (" O ",), ("B-xyz",)], "l string")
     assert [r[0] for r in df.select(L.remap(L.normalize(F.col("l")), {"B-per": "B-PER"})).collect()] == ["B-PER", "O", "O", "B-xyz"]
@@ -132,9 +174,14 @@ def test_stats_and_tables(spark):
 
 def test_sinks_round_trip(spark, tmp_path):
     df = spark.range(25).selectExpr("id", "array('a', 'b') as xs")
-    writers.write_articles(df, str(tmp_path / "o"), 10, exact=True)
-    assert len(list((tmp_path / "o/jsonl").glob("*.json"))) == 3
+    writers.write_articles(df, str(tmp_path / "o"), 10, ["id"])
+    files = {p.parent.name: sorted(json.loads(x)["id"] for x in p.read_text().splitlines()) for p in (tmp_path / "o/jsonl").glob("*/*.json")}
+    assert files == {"shard=0": list(range(10)), "shard=1": list(range(10, 20)), "shard=2": list(range(20, 25))}
     assert spark.read.csv(str(tmp_path / "o/csv"), header=True).count() == 25
+    writers.write_articles(df, str(tmp_path / "loose"), 10)
+    assert spark.read.json(str(tmp_path / "loose/jsonl")).count() == 25
+    writers.write_articles(df.limit(0), str(tmp_path / "none"), 10)
+    assert not (tmp_path / "none").exists()
     sent = spark.createDataFrame([("sl", "train", ["a", "b"], ["O", "O"])], "lang string, split string, tokens array<string>, labels array<string>")
     writers.write_sentences(sent, str(tmp_path / "p"))
     back = R.prepared_sentences(spark, str(tmp_path / "p"))

@@ -53,13 +53,14 @@ def test_prf_and_guard(spark):
 
 
 def test_entities(spark):
-    df = spark.createDataFrame([(1, i, g, p) for i, (g, p) in enumerate([("B-PER", "B-PER"), ("I-PER", "O"), ("O", "O")])], "s int, pos int, gold string, pred string")
-    r = sequence.entity_prf(df, ["s"]).first()
+    df = spark.createDataFrame([(1, ["B-PER", "I-PER", "O"], ["B-PER", "O", "O"])], "s int, gold array<string>, pred array<string>")
+    r = sequence.entity_prf(df).first()
     assert (r.precision, r.recall, r.f1) == (0, 0, 0) and r.accuracy == pytest.approx(2 / 3)
-    one = spark.createDataFrame([(1, 0, "O"), (1, 1, "I-PER"), (1, 2, "I-LOC")], "s int, pos int, label string")
-    assert sorted((x["type"], x["first"], x["last"]) for x in sequence.chunks(one, ["s"]).collect()) == [("LOC", 2, 2), ("PER", 1, 1)]
+    one = spark.createDataFrame([(1, ["O", "I-PER", "I-LOC"]), (2, []), (3, ["B-X", "B-X", "I-X", "O", "I-X"])], "s int, labels array<string>")
+    assert sorted((x.s, x["type"], x["first"], x["last"]) for x in sequence.chunks(one, ["s"]).collect()) == [(1, "LOC", 2, 2), (1, "PER", 1, 1), (3, "X", 0, 0), (3, "X", 1, 2), (3, "X", 4, 4)]
     lg = spark.createDataFrame([(1, [[0.1, 0.9], [0.8, 0.2]], [-100, 1])], "s int, lg array<array<double>>, ids array<int>")
-    assert [tuple(x) for x in sequence.aligned(lg, ["s"], "lg", "ids", {0: "O", 1: "B-X"}).collect()] == [(1, 1, "B-X", "O")]
+    assert [tuple(x) for x in sequence.aligned(lg, ["s"], "lg", "ids", {0: "O", 1: "B-X"}).collect()] == [(1, ["B-X"], ["O"])]
+    assert sequence.entity_prf(df.limit(0)).first().accuracy is None
 
 
 def test_encoders(spark):

@@ -36,29 +36,202 @@ def test_company_plan(spark):
     assert [(r.uuid, r.categories) for r in k] == [("u", ["a"])]
 
 
-def test_search_source(spark, monkeypatch):
-    pages = [{"hits": {"total": {"value": 3}, "hits": [{"_source": {"n": i}} for i in part]}} for part in ((0, 1), (2,))]
+def index(documents):
+    """A search index over documents for search.post: filters by range and terms, sorts, and pages by search_after."""
     asked = []
-    monkeypatch.setattr(search, "post", lambda url, body, *a: asked.append(body) or pages[len(asked) - 1])
-    r = search.SearchReader({"start": "2020-01-01", "end": "2020-01-05", "limit": "2", "query": '{"terms": {"a": [1]}}'})
+
+    def post(url, body, *args, **kw):
+        asked.append(body)
+        found = documents
+        for f in body["query"]["bool"]["filter"]:
+            if "range" in f:
+                r = f["range"]["created"]
+                found = [d for d in found if all({"gte": d["created"] >= v, "gt": d["created"] > v, "lt": d["created"] < v, "lte": d["created"] <= v}[k] for k, v in r.items())]
+            if "terms" in f:
+                found = [d for d in found if d["media"]["uuid"] in f["terms"]["media.uuid"]]
+        found = sorted(found, key=lambda d: (d["created"], d["uuid"]))
+        rest = [d for d in found if [d["created"], d["uuid"]] > body["search_after"]] if "search_after" in body else found[body["from"] :]
+        return {"hits": {"total": {"value": len(found)}, "hits": [{"_source": d, "sort": [d["created"], d["uuid"]]} for d in rest[: body["size"]]]}}
+
+    return post, asked
+
+
+def test_search_source(spark, monkeypatch):
+    docs = [{"uuid": f"u{i}", "created": f"2020-01-0{1 + i // 5}T00:00:00", "media": {"uuid": f"m{i % 2}"}} for i in range(12)]  # many ties
+    post, asked = index(docs)
+    monkeypatch.setattr(search, "post", post)
+    r = search.PushingReader({"start": "2020-01-01", "end": "2020-01-05", "limit": "2"})
     (part,) = r.partitions()
-    assert [x[1] for x in r.read(part)] == ['{"n": 0}', '{"n": 1}', '{"n": 2}'] and [b["from"] for b in asked] == [0, 2]
+    rows = list(r.read(part))
+    assert sorted(x[1] for x in rows) == sorted(d["uuid"] for d in docs) and {x[5] for x in rows} == {12}
+    assert "from" in asked[0] and all("search_after" in b for b in asked[1:])
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, StringContains
+
+    left = list(r.pushFilters([GreaterThanOrEqual(("created",), "2020-01-02T00:00:00"), In(("media",), ("m1", "m2")), EqualTo(("uuid",), "x"), StringContains(("source",), "y")]))
+    assert [type(f).__name__ for f in left] == ["EqualTo", "StringContains"]
+    assert sorted(x[1] for x in r.read(part)) == sorted(d["uuid"] for d in docs if d["created"] >= "2020-01-02T00:00:00" and d["media"]["uuid"] == "m1")
+    assert len(list(search.SearchReader({"start": "2020-01-01", "end": "2020-01-05", "limit": "5", "limit_total": "7", "offset": "3"}).read(part))) == 7
     assert len(search.slices("2010-01-01", "2025-01-01", 10)) == 548
-    spark.dataSource.register(search.SearchSource)
+
+
+def test_search_clauses():
+    assert search.query_of(["Petrol", "jekl*"], ["rast pri*"]) == {
+        "bool": {
+            "minimum_should_match": 1,
+            "should": [
+                {"match": {"text": "Petrol"}},
+                {"prefix": {"text": "jekl"}},
+                {"span_near": {"slop": 0, "in_order": True, "clauses": [{"span_multi": {"match": {"prefix": {"text": {"value": w}}}}} for w in ("rast", "pri")]}},
+            ],
+        }
+    }
+    assert search.query_of() is None and search.phrase_clause("a b") == {"match_phrase": {"text": "a b"}}
+    body = search.request_body({"keywords": '["a"]', "query": '{"terms": {"x": [1]}}'}, search.Slice("s", "e"))
+    assert len(body["query"]["bool"]["filter"]) == 3 and body["sort"][-1] == {"uuid": "asc"}
+
+
+def test_search_over_http(spark):
+    """The registered source against a server that is busy at first."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    answer, seen = index([{"uuid": f"u{i:02d}", "created": "2020-01-01T00:00:00", "media": {"uuid": "m"}} for i in range(25)])[0], []
+    bodies = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            bodies.append(body.decode())
+            seen.append(self.headers.get("Authorization"))
+            data = json.dumps(answer("", json.loads(body))).encode() if len(seen) > 1 else b""
+            self.send_response(200 if data else 503)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        options = {"url": url, "user": "a", "password": "b", "start": "2020-01-01", "end": "2020-01-02", "days": "1", "limit": "10"}
+        df = search.search_index(spark, **options)
+        assert sorted(r.uuid for r in df.collect()) == [f"u{i:02d}" for i in range(25)] and set(seen) == {"Basic YTpi"}
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        assert search.search_index(spark, **options).filter("created > '2020-01-01T00:00:00'").count() == 0 and '"gt"' in bodies[-1]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        server.shutdown()
 
 
 def test_config(tmp_path):
     assert config.deep_merge({"a": {"x": 1, "y": 2}}, {"a": {"y": 3}}) == {"a": {"x": 1, "y": 3}}
-    (tmp_path / "data").mkdir()
-    (tmp_path / "n.yaml").write_text('{"a": {"x": 1}, "l": [1]}')
-    (tmp_path / "data" / "n.yaml").write_text('{"a": {"y": 2}, "l": [2]}')
-    assert config.stacked(tmp_path, "data", name="n") == {"a": {"x": 1, "y": 2}, "l": [2]}
-    assert config.route({"model": {"m": 1}, "lr": 2, "z": 3}, {"model": {"m"}, "train": {"lr"}}) == {"model": {"m": 1}, "train": {"lr": 2}, "extra": {"z": 3}}
+    (tmp_path / "data" / "act" / "n").mkdir(parents=True)
+    (tmp_path / "n.yaml").write_text('{"a": {"x": 1}, "l": [1], "from": "root name"}')
+    (tmp_path / "c1.yaml").write_text('{"from": "root extra", "c": 1}')
+    (tmp_path / "data" / "n.yaml").write_text('{"a": {"y": 2}, "l": [2], "from": "script name"}')
+    (tmp_path / "data" / "act" / "n" / "n.yaml").write_text('{"deep": 1}')
+    got = config.stacked(tmp_path, "data", "act", "n", ("c1",))
+    assert got == {"a": {"x": 1, "y": 2}, "l": [2], "from": "script name", "c": 1, "deep": 1}  # a level beats an earlier one, whatever the file
+    assert config.stacked(tmp_path, "data", "n") == {"a": {"x": 1, "y": 2}, "l": [2], "from": "script name"}  # the action's name stands in
+    sections = {"model": {"m"}, "train": {"lr"}}
+    assert config.route({"model": {"m": 1}, "lr": 2, "z": 3}, sections) == {"model": {"m": 1}, "train": {"lr": 2}, "extra": {"z": 3}}
+    assert config.route({"model": {"m": 1}, "m": 2}, sections) == {"model": {"m": 1}, "train": {}, "extra": {"m": 2}}  # nested first
     (tmp_path / "bad.yaml").write_text("[1]")
     with pytest.raises(ValueError):
         config.load_yaml(tmp_path / "bad.yaml")
     assert config.run_name("ner", "x", 32, 5e-5) == "ner.x.b32.lr5e-05"
-    assert Path(config.run_dirs(tmp_path, "split")["action"]).is_dir()
+    dirs = config.run_dirs(tmp_path, "split", "ner")
+    assert dirs["base"]["data"].is_dir() and dirs["ner"]["data"] == tmp_path / "result" / "data" / "ner" and set(dirs) == {"base", "split", "ner"}
+    log = config.logger("x", dirs["base"]["log"])
+    log.info("a line")
+    assert "a line" in (tmp_path / "log" / "x.log").read_text()
+
+
+def test_actions(tmp_path):
+    from textloom import actions
+
+    own = tmp_path / "actions" / "data" / "create"
+    own.mkdir(parents=True)
+    (own / "mine.py").write_text("def main(config, value, other=5):\n    return config, value, other\n")
+    (tmp_path / "actions" / "data" / "extra").mkdir()
+    (tmp_path / "actions" / "data" / "extra" / "__init__.py").write_text("def main(log):\n    return log.name\n")
+    found = actions.tree(tmp_path)
+    assert {"keywords", "companies", "mine"} <= set(found["data"]["create"]) and found["data"]["extra"] == [] and "run" in found["query"]
+    (tmp_path / "conf" / "data" / "create").mkdir(parents=True)
+    (tmp_path / "conf" / "data" / "create" / "mine.yaml").write_text('{"value": 7, "unused": 1}')
+    assert actions.run(tmp_path, "data", "create", "mine", (), None) == ({"value": 7, "unused": 1}, 7, 5)
+    assert actions.run(tmp_path, "data", "extra", None, (), None) == "textloom.extra"
+    (tmp_path / "conf" / "data" / "create" / "mine.yaml").write_text("{}")
+    with pytest.raises(ValueError, match="value"):
+        actions.run(tmp_path, "data", "create", "mine", (), None)
+    with pytest.raises(LookupError):
+        actions.resolve(tmp_path, "data", "create", "nothing")
+
+
+def test_command_line(spark, small, tmp_path, monkeypatch):
+    from textloom import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    cli.main(["--root", str(tmp_path), "query", "run", "-s", "query=url_names", "-s", f"tables={small}", "-s", f"out={tmp_path}/out"])
+    assert spark.read.parquet(f"{tmp_path}/out").count() == spark.read.parquet(f"{small}/pages.parquet").count()
+    rows = [{**ART, "uuid": f"u{i}"} for i in range(3)]
+    spark.createDataFrame(rows, schemas.ARTICLE).write.json(f"{tmp_path}/articles")
+    (tmp_path / "conf").mkdir(exist_ok=True)
+    (tmp_path / "conf" / "k.yaml").write_text('{"categories": {"a": ["Petrol"]}, "dataset_src_start": "2010-01-01", "data": {"dataset_src_end": "2010-02-01"}}')
+    cli.main(["--root", str(tmp_path), "data", "create", "keywords", "-c", "k", "-s", f"articles={tmp_path}/articles", "-s", f"out={tmp_path}/made"])
+    assert spark.read.json(f"{tmp_path}/made/jsonl").count() == 3
+    with pytest.raises(SystemExit):
+        cli.main(["--root", str(tmp_path), "data", "create", "unknown"])
+
+
+def test_prepare_split_analyze(spark, tmp_path):
+    from textloom import actions
+
+    (tmp_path / "setimes").mkdir()
+    rows = "".join(f"1\ttok{i}\t\t\t\t\t\t\t\t\t{'B-per' if i % 2 else 'O'}\n\n" for i in range(20))
+    (tmp_path / "setimes" / "set.sr.conll").write_text(rows)
+    log = config.logger("analyze", tmp_path)
+    actions.prepare_ner(spark, {"setimes": f"{tmp_path}/setimes"}, f"{tmp_path}/prepared")
+    actions.split_ner(spark, f"{tmp_path}/prepared", f"{tmp_path}/splits")
+    actions.analyze_ner(spark, f"{tmp_path}/splits", f"{tmp_path}/stats", log)
+    assert {(r.lang, r.split, r.sentences) for r in spark.read.csv(f"{tmp_path}/stats/splits", header=True).collect()} == {("sr", "train", "16"), ("sr", "eval", "2"), ("sr", "test", "2")}
+    from textloom.sources.records import found_splits, prepared_sentences
+
+    assert found_splits(prepared_sentences(spark, f"{tmp_path}/splits")) == ["eval", "test", "train"]
+
+
+def test_dates(spark):
+    from textloom.functions import dates
+
+    df = spark.createDataFrame([("2020-01-02T03:04:05+02:00",), ("2020-01-02 03:04:05.25",), ("2020-01-02",), ("junk",), (None,)], "v string").withColumn("t", dates.to_time(F.col("v")))
+    got = [tuple(r) for r in df.select(dates.zulu(F.col("t")), dates.iso_offset(F.col("t")), dates.zulu(dates.end_or_day(F.col("t"), F.lit(None).cast("timestamp")))).collect()]
+    assert got[0] == ("2020-01-02T01:04:05Z", "2020-01-02T01:04:05+00:00", "2020-01-03T01:04:05Z")
+    assert got[1][0] == "2020-01-02T03:04:05.250000Z" and got[2][0] == "2020-01-02T00:00:00Z" and got[3] == got[4] == (None, None, None)
+
+
+def test_rolling_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, n in enumerate((7, 5, 3)):
+        spark.range(n).selectExpr(f"id + {100 * i} as id").coalesce(1).write.json(f"{tmp_path}/part{i}")
+        next((tmp_path / f"part{i}").glob("*.json")).rename(tmp_path / "in" / f"{i}.json")
+    stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    state, control = sliced.RunState(rows_per_file=4), sliced.Control()
+
+    def on_batch(df, s):
+        s.values["batches"] = s.values.get("batches", 0) + 1
+        control.stop = s.values["batches"] == 2
+
+    q = sliced.rolling_batches(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", state, control, on_batch)
+    with pytest.raises(Exception, match="stopped"):
+        q.awaitTermination()
+    assert state.values["batches"] == 2 and state.rows_written + 0 == spark.read.json(f"{tmp_path}/out").count()
+    control.stop = False
+    state.values["batches"] = 10
+    sliced.rolling_batches(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", state, control, on_batch).awaitTermination()
+    assert state.rows_written == 15 == spark.read.json(f"{tmp_path}/out").count() and state.file_number >= 5
 
 
 def test_stream(spark, small, tmp_path):

@@ -56,16 +56,31 @@ def coarse_any(text: Column, keywords: list[str]) -> Column:
     return reduce(or_, [low.contains(s) for s in sorted(stems)], F.lit(False)) if stems else F.lit(False)
 
 
+def _matches(text: Column, patterns: list[tuple[str, str, str]]) -> Column:
+    """array<struct<category, match>> of (category, match, pattern) found in text.
+
+    Texts without any are told by one alternation per set of flags; only others are searched for each pattern.
+    """
+    none = F.expr("cast(array() as array<struct<category:string,match:string>>)")
+    if not patterns:
+        return none
+    by_flags: dict[str, list[str]] = {}
+    for _, _, p in patterns:
+        flags, _, rest = p.partition(")")
+        by_flags.setdefault(flags + ")", []).append(rest)
+    some = reduce(or_, [text.rlike(_any_of(ps, flags)) for flags, ps in by_flags.items()])
+    found = [F.when(text.rlike(p), F.struct(F.lit(c).alias("category"), F.lit(m).alias("match"))) for c, m, p in patterns]
+    return F.when(some, F.array_compact(F.array(*found))).otherwise(none)
+
+
 def keyword_matches(text: Column, categories: dict[str, list[str]], case_mode: str = "reference") -> Column:
     """array<struct<category, match>> in the order of the table; match is the keyword without `*`."""
-    found = [F.when(text.rlike(keyword_regex(k, case_mode)), F.struct(F.lit(c).alias("category"), F.lit(k.removesuffix("*")).alias("match"))) for c, ks in categories.items() for k in ks]
-    return F.array_compact(F.array(*found)) if found else F.expr("cast(array() as array<struct<category:string,match:string>>)")
+    return _matches(text, [(c, k.removesuffix("*"), keyword_regex(k, case_mode)) for c, ks in categories.items() for k in ks])
 
 
 def expression_matches(text: Column, categories: dict[str, list[str]]) -> Column:
     """array<struct<category, match>>; match is the expression as written."""
-    found = [F.when(text.rlike(expression_regex(e)), F.struct(F.lit(c).alias("category"), F.lit(e).alias("match"))) for c, es in categories.items() for e in es]
-    return F.array_compact(F.array(*found)) if found else F.expr("cast(array() as array<struct<category:string,match:string>>)")
+    return _matches(text, [(c, e, expression_regex(e)) for c, es in categories.items() for e in es])
 
 
 def matched_categories(text: Column, categories: dict[str, list[str]]) -> Column:

@@ -17,6 +17,16 @@ def vocabulary(df: DataFrame, column: str) -> list:
     return [r["v"] for r in values.filter("v is not null").distinct().orderBy("v").collect()]
 
 
+def first_seen(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """label, id: the distinct labels of a scalar or array column, numbered as they first occur in order."""
+    array = dict(df.dtypes)[column].startswith("array")
+    value = F.posexplode(column) if array else F.posexplode(F.array(column))
+    rows = df.select(F.struct(*order).alias("_o"), value.alias("_pos", "label")).filter("label is not null")
+    first = rows.groupBy("label").agg(F.min(F.struct("_o", "_pos")).alias("_first"))
+    g = first.agg(F.array_sort(F.collect_list(F.struct("_first", "label"))).alias("a"))  # a vocabulary, small by nature
+    return g.select(F.posexplode("a").alias("id", "x")).select(F.col("x.label").alias("label"), "id")
+
+
 def label_list(df: DataFrame, column: str = "labels") -> DataFrame:
     """label, id of BIO labels: O first, then by type and prefix; O is always there."""
     found = df.select(F.explode(column).alias("label")).union(df.sparkSession.range(1).select(F.lit("O"))).distinct()

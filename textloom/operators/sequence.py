@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.labels import IGNORE
 from textloom.operators.classification import _div, argmax
 
 
-def chunks(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, type, first, last of the entities in (keys, pos, label), by the lenient start rule."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    t = F.substring_index("label", "-", 1)
-    y = F.when(F.instr("label", "-") > 0, F.expr("substring(label, instr(label, '-') + 1)")).otherwise("")
-    df = labels.select(*keys, "pos", t.alias("_t"), y.alias("_y"))
-    before_t, before_y = F.lag("_t").over(w), F.lag("_y").over(w)
-    start = (F.col("_t") != "O") & ((F.col("_t") == "B") | before_t.isNull() | (before_t == "O") | (before_y != F.col("_y")))
-    marked = df.withColumn("_s", start.cast("int"))
-    numbered = marked.withColumn("_c", F.sum("_s").over(w)).filter("_t <> 'O'")
-    return numbered.groupBy(*keys, "_c").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("_y", "pos").alias("type")).drop("_c")
+def chunk_array(labels: str) -> Column:
+    """array<struct<first, last, type>> of the entities in an array column of BIO labels, by the lenient start rule.
+
+    An entity starts at a B-, after an O or at another type, and ends before the next start or O.
+    """
+    lab = f"`{labels}`"
+    kind = lambda x: f"if(instr({x}, '-') > 0, substring({x}, instr({x}, '-') + 1), '')"
+    prefix = lambda x: f"substring_index({x}, '-', 1)"
+    before = f"{lab}[i - 1]"
+    starts = f"{prefix('x')} <> 'O' and (i = 0 or {prefix('x')} = 'B' or {prefix(before)} = 'O' or {kind(before)} <> {kind('x')})"
+    breaks = f"filter(transform({lab}, (x, i) -> named_struct('i', i, 'start', {starts}, 'o', {prefix('x')} = 'O', 'type', {kind('x')})), x -> x.start or x.o)"
+    found = F.expr(breaks)
+    return F.filter(
+        F.transform(
+            F.arrays_zip(found.alias("b"), F.concat(F.slice(F.transform(found, lambda x: x["i"]), 2, 1 << 30), F.array(F.size(F.col(labels)))).alias("n")),
+            lambda z: F.struct(z["b"]["i"].alias("first"), (z["n"] - 1).alias("last"), z["b"]["type"].alias("type"), z["b"]["start"].alias("entity")),
+        ),
+        lambda x: x["entity"],
+    )
+
+
+def _entities(labels: str) -> Column:
+    return F.transform(chunk_array(labels), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["type"].alias("type")))
+
+
+def chunks(sequences: DataFrame, keys: list[str], labels: str = "labels") -> DataFrame:
+    """keys, first, last, type of the entities of each sequence (keys, array of labels)."""
+    return sequences.select(*keys, F.explode(_entities(labels)).alias("e")).select(*keys, "e.first", "e.last", "e.type")
 
 
-def entity_prf(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """One row: precision, recall, f1 over entities and accuracy over tokens of (keys, pos, gold, pred).
+def entity_prf(sequences: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """One row: precision, recall, f1 over entities and accuracy over tokens of sequences with two arrays of labels.
 
-    Gold and predicted chunks are tagged and counted per entity, one shuffle instead of two joins.
+    Everything is counted inside the row; one aggregation follows.
     """
-    side = lambda c, n: chunks(df.select(*keys, "pos", F.col(c).alias("label")), keys).withColumn("_side", F.lit(n))
-    both = side(gold, 1).unionByName(side(pred, 2)).groupBy(*keys, "type", "first", "last").agg(F.sum("_side").alias("_found"))
-    n = both.agg(F.sum(F.expr("int(_found = 3)")).alias("tp"), F.sum(F.expr("int(_found >= 2)")).alias("np"), F.sum(F.expr("int(_found <> 2)")).alias("ng"))
-    acc = df.agg(F.avg((F.col(gold) == F.col(pred)).cast("int")).alias("accuracy"))
-    tp, np_, ng = (F.coalesce(F.col(c), F.lit(0)) for c in ("tp", "np", "ng"))
-    p, r = _div(tp, np_), _div(tp, ng)
-    return n.crossJoin(F.broadcast(acc)).select(p.alias("precision"), r.alias("recall"), _div(2.0 * tp, np_ + ng).alias("f1"), "accuracy")
+    both = sequences.select(_entities(gold).alias("g"), _entities(pred).alias("p"), F.size(F.filter(F.arrays_zip(F.col(gold).alias("a"), F.col(pred).alias("b")), lambda x: x["a"] == x["b"])).alias("same"), F.size(gold).alias("n"))
+    counted = both.select(F.size(F.array_intersect("g", "p")).alias("tp"), F.size("g").alias("ng"), F.size("p").alias("np"), "same", "n")
+    total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "ng", "np", "same", "n")])
+    tp, ng, np_ = (F.col(c) for c in ("tp", "ng", "np"))
+    return total.select(_div(tp, np_).alias("precision"), _div(tp, ng).alias("recall"), _div(2.0 * tp, np_ + ng).alias("f1"), F.when(F.col("n") > 0, F.col("same") / F.col("n")).alias("accuracy"))
 
 
 def aligned(df: DataFrame, keys: list[str], logits: str, label_ids: str, id2label: dict[int, str]) -> DataFrame:
-    """keys, pos, gold, pred from logits (array per position) and label ids; IGNORE positions are left out."""
+    """keys, gold, pred: arrays of labels from logits (array per position) and label ids; IGNORE positions are left out."""
     names = F.create_map(*[F.lit(x) for kv in id2label.items() for x in kv])
-    z = df.select(*keys, F.posexplode(F.arrays_zip(F.col(logits).alias("p"), F.col(label_ids).alias("l"))).alias("pos", "x")).filter(F.col("x.l") != IGNORE)
-    return z.select(*keys, "pos", F.element_at(names, F.col("x.l")).alias("gold"), F.element_at(names, argmax(F.col("x.p"))).alias("pred"))
+    kept = F.filter(F.arrays_zip(F.col(logits).alias("p"), F.col(label_ids).alias("l")), lambda x: x["l"] != IGNORE)
+    return df.select(*keys, F.transform(kept, lambda x: F.element_at(names, x["l"])).alias("gold"), F.transform(kept, lambda x: F.element_at(names, argmax(x["p"]))).alias("pred"))

@@ -31,6 +31,11 @@ def two_level_stats(sentences: DataFrame, columns: list[str] | None = None) -> D
     return g.agg(*[F.sum(c).alias(c) for c in ("sentences", "tokens", *columns)], F.grouping_id().alias("level"))
 
 
+def counters(files: DataFrame, by: list[str], file: str = "file") -> DataFrame:
+    """Files and rows per group, and in all (group columns null): what a run reports."""
+    return files.rollup(*by).agg(F.countDistinct(file).alias("files"), F.count("*").alias("rows"), F.grouping_id().alias("level")).filter(f"level in (0, {(1 << len(by)) - 1})").drop("level")
+
+
 def text_table(stats: DataFrame) -> list[str]:
     """Aligned lines of a stats table (a bounded report)."""
     rows = [stats.columns, *[["" if v is None else str(v) for v in r] for r in stats.collect()]]

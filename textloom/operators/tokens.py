@@ -1,61 +1,106 @@
-"""Token rows with character offsets, interval annotation and gazetteer tagging."""
+"""Tokens with character offsets, interval annotation and gazetteer tagging, row by row without shuffles of tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.labels import normalize, remap
 
 
-def token_rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, pos, token, start, end: white-space tokens with code-point offsets.
+def with_token_arrays(docs: DataFrame, text: str) -> DataFrame:
+    """docs with `_tok` (white-space tokens) and `_end` (where each ends, in code points).
 
-    Offsets are a running sum of token and gap lengths per text, linear in the text.
+    Ends are prefix sums of gap and token lengths, all inside the row: over blocks of about the square
+    root of the number of tokens, and within each block. A column that two others use is not computed
+    again for every element.
     """
-    toks = F.expr(f"array_remove(split(`{text}`, '(?U)\\\\s+'), '')")
-    gaps = F.expr(f"split(`{text}`, '(?U)\\\\S+')")
-    pairs = F.arrays_zip(toks.alias("tok"), F.slice(gaps, F.lit(1), F.size(toks)).alias("gap"))
-    rows = docs.select(*keys, F.posexplode(pairs).alias("pos", "p")).select(*keys, "pos", F.col("p.tok").alias("token"), F.col("p.gap").alias("gap"))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("gap") + F.length("token")).over(w)
-    return rows.select(*keys, "pos", "token", (end - F.length("token")).cast("int").alias("start"), end.cast("int").alias("end"))
+    df = docs.withColumn("_tok", F.expr(f"array_remove(split(`{text}`, '(?U)\\\\s+'), '')")).withColumn("_gap", F.expr(f"split(`{text}`, '(?U)\\\\S+')"))
+    df = df.withColumn("_len", F.expr("transform(_tok, (t, i) -> length(t) + length(_gap[i]))"))
+    df = df.withColumn("_blk", F.expr("cast(greatest(1, ceil(sqrt(size(_len)))) as int)"))
+    df = df.withColumn("_sum", F.expr("transform(sequence(0, _blk), b -> aggregate(slice(_len, b * _blk + 1, _blk), 0, (a, x) -> a + x))"))
+    df = df.withColumn("_start", F.expr("transform(_sum, (x, b) -> aggregate(slice(_sum, 1, b), 0, (a, y) -> a + y))"))
+    end = "_start[i div _blk] + aggregate(slice(_len, cast(i div _blk as int) * _blk + 1, i % _blk + 1), 0, (a, x) -> a + x)"
+    return df.withColumn("_end", F.expr(f"transform(_len, (l, i) -> cast({end} as int))")).drop("_gap", "_len", "_blk", "_sum", "_start")
+
+
+def token_rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, pos, token, start, end: white-space tokens with code-point offsets, without a shuffle."""
+    rows = with_token_arrays(docs.select(*keys, text) if text not in keys else docs.select(*keys), text)
+    rows = rows.select(*keys, F.posexplode(F.arrays_zip("_tok", "_end")).alias("pos", "p"))
+    return rows.select(*keys, "pos", F.col("p._tok").alias("token"), (F.col("p._end") - F.length("p._tok")).alias("start"), F.col("p._end").alias("end"))
 
 
-def overlap_labels(tokens: DataFrame, spans: DataFrame, keys: list[str], table: dict[str, str] | None = None, bio: bool = False) -> DataFrame:
-    """tokens with `label`: the type of the first span (by start, then order) that overlaps, mapped.
+def span_labels(tokens: Column, ends: Column, spans: Column, table: dict[str, str] | None = None, bio: bool = False) -> Column:
+    """The label of each token: the type of the first span that overlaps it, mapped.
 
-    The equi-join on keys keeps it hash-partitioned; the range is a residual. A span mapped to O
-    blocks later ones. Labels are all B- unless bio, which continues a span with I-.
+    spans: array<struct<start, ord, end, label>>, in order of start and ord. A span mapped to O blocks later
+    ones. Labels are all B- unless bio, which continues a span with I-.
     """
-    s = spans.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("ord").alias("s_ord"), F.col("label").alias("s_label"))
-    cond = [F.col(k) == F.col(f"s_{k}") for k in keys] + [F.col("start") < F.col("s_end"), F.col("end") > F.col("s_start")]
-    joined = tokens.join(s, cond, "left")
-    first = joined.groupBy(*tokens.columns).agg(F.min(F.when(F.col("s_start").isNotNull(), F.struct("s_start", "s_ord", "s_label"))).alias("hit"))
-    kind = remap(normalize(F.col("hit.s_label")), table or {})
-    none = F.col("hit").isNull() | (kind == "O")
+
+    # in blocks of about the square root of the number of tokens, each with the spans that overlap it
+    n = F.size(tokens)
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int")
+
+    def block(b: Column) -> Column:
+        first, last = b * size, F.least((b + 1) * size, n) - 1
+        from_, to = F.get(ends, first) - F.length(F.get(tokens, first)), F.get(ends, last)
+        near = F.when(first < n, F.filter(spans, lambda s: (s["start"] < to) & (s["end"] > from_)))
+        return F.struct(F.slice(tokens, first + 1, size).alias("t"), F.slice(ends, first + 1, size).alias("e"), near.alias("s"))
+
+    def hits_of(x: Column) -> Column:
+        pairs = F.arrays_zip(x["t"].alias("t"), x["e"].alias("e"))
+        return F.transform(pairs, lambda p: F.get(F.filter(x["s"], lambda s: (p["e"] - F.length(p["t"]) < s["end"]) & (p["e"] > s["start"])), F.lit(0)))
+
+    blocks = F.transform(F.sequence(F.lit(0), size - 1), block)
+    hits = F.flatten(F.transform(F.filter(blocks, lambda x: F.size(x["t"]) > 0), hits_of))
+
+    def label(h: Column, before: Column | None) -> Column:
+        kind = remap(normalize(h["label"]), table or {})
+        prefix = F.lit("B-") if before is None else F.when((before["start"] == h["start"]) & (before["ord"] == h["ord"]), "I-").otherwise("B-")
+        return F.when(h.isNull() | (kind == "O"), "O").otherwise(F.concat(prefix, kind))
+
     if not bio:
-        label = F.concat(F.lit("B-"), kind)
-    else:
-        before = F.lag(F.struct("hit.s_start", "hit.s_ord")).over(Window.partitionBy(*keys).orderBy("start"))
-        label = F.concat(F.when(before == F.struct("hit.s_start", "hit.s_ord"), "I-").otherwise("B-"), kind)
-    return first.withColumn("label", F.when(none, "O").otherwise(label)).drop("hit")
+        return F.transform(hits, lambda h: label(h, None))
+    paired = F.arrays_zip(hits.alias("h"), F.concat(F.array(F.lit(None)), hits).alias("b"))
+    return F.transform(F.slice(paired, F.lit(1), F.size(tokens)), lambda x: label(x["h"], x["b"]))
+
+
+def labelled_tokens(docs: DataFrame, spans: DataFrame, keys: list[str], text: str, table: dict[str, str] | None = None, bio: bool = False) -> DataFrame:
+    """docs with `_tok`, `_end` and `_lab`: the labels of the tokens by the spans (keys, ord, start, end, label).
+
+    Spans meet their text once, as an array in order; tokens are never shuffled.
+    """
+    grouped = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "label"))).alias("_spans"))
+    joined = with_token_arrays(docs.join(grouped, keys, "left"), text)
+    none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,label:string>>)")
+    joined = joined.withColumn("_spans", F.coalesce(F.col("_spans").cast("array<struct<start:int,ord:int,end:int,label:string>>"), none))
+    return joined.withColumn("_lab", span_labels(F.col("_tok"), F.col("_end"), F.col("_spans"), table, bio)).drop("_spans")
+
+
+def overlap_labels(docs: DataFrame, spans: DataFrame, keys: list[str], text: str, table: dict[str, str] | None = None, bio: bool = False) -> DataFrame:
+    """keys, pos, token, start, end, label of the tokens of docs."""
+    rows = labelled_tokens(docs.select(*keys, text), spans, keys, text, table, bio).select(*keys, F.posexplode(F.arrays_zip("_tok", "_end", "_lab")).alias("pos", "p"))
+    return rows.select(*keys, "pos", F.col("p._tok").alias("token"), (F.col("p._end") - F.length("p._tok")).alias("start"), F.col("p._end").alias("end"), F.col("p._lab").alias("label"))
 
 
 def gazetteer_labels(tokens: str, entities: str) -> Column:
     """BIO labels of array column `tokens` by greedy, leftmost, non-overlapping, case-blind matches.
 
     entities: array<struct<t: array<string>, b: string, i: string>> in annotation order, with the
-    (mapped) labels of first and further tokens; tokens with an at-sign stay O.
+    (mapped) labels of first and further tokens; tokens with an at-sign stay O. Of each entity only the
+    places of its first token are looked at, and labels are written once.
     """
-    toks = f"`{tokens}`"
+    toks, low = f"`{tokens}`", f"transform(`{tokens}`, t -> lower(t))"
     return F.expr(
-        f"""aggregate(`{entities}`, transform({toks}, t -> 'O'), (lab, e) -> if(size(e.t) > size({toks}) or size(e.t) = 0, lab,
-  aggregate(sequence(0, size({toks}) - size(e.t)), named_struct('lab', lab, 'nxt', 0), (st, i) ->
-    if(i >= st.nxt and forall(slice(st.lab, i + 1, size(e.t)), x -> x = 'O')
-         and transform(slice({toks}, i + 1, size(e.t)), x -> lower(x)) = transform(e.t, x -> lower(x)),
-       named_struct('lab', transform(st.lab, (x, k) -> case
-            when k < i or k >= i + size(e.t) then x
+        f"""aggregate(`{entities}`, transform({toks}, t -> 'O'), (lab, e) -> if(size(e.t) > size({toks}) or size(e.t) = 0 or not array_contains({low}, lower(e.t[0])), lab,
+  aggregate(array(aggregate(
+      filter(transform({low}, (t, i) -> if(t = lower(e.t[0]), i, -1)), i -> i >= 0 and i + size(e.t) <= size({toks})),
+      named_struct('at', cast(array() as array<int>), 'nxt', 0), (st, i) ->
+      if(i >= st.nxt and transform(slice({toks}, i + 1, size(e.t)), x -> lower(x)) = transform(e.t, x -> lower(x)) and forall(slice(lab, i + 1, size(e.t)), x -> x = 'O'),
+         named_struct('at', array_append(st.at, i), 'nxt', i + size(e.t)), st)).at), lab, (old, at) ->
+      if(size(at) = 0, old, transform(old, (x, k) -> case
+            when not exists(at, i -> k >= i and k < i + size(e.t)) then x
             when contains({toks}[k], '@') then 'O'
-            when k = i then e.b else e.i end), 'nxt', i + size(e.t)), st)).lab))"""
+            when array_contains(at, k) then e.b else e.i end)))))"""
     )

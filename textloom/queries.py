@@ -212,16 +212,16 @@ def token_offsets(spark, sf):
 
 
 @query(
-    "with short as (select doc_id, text from documents)," + _SQL_TOKENS + ", sp as (select doc_id, i as ord, i * 40 as s, i * 40 + 12 as e, case when i % 3 = 0 then 'PERS' when i % 3 = 1 then 'DATE' else 'LOC' end as l from documents, range(0, 5) t(i)), "
+    "with short as (select doc_id, text from documents)," + _SQL_TOKENS + ", sp as (select doc_id, i as ord, i * 40 as s, i * 40 + 12 as e, case when i % 3 = 0 then 'PERS' when i % 3 = 1 then 'DATE' else 'LOC' end as l from (select doc_id, unnest(range(0, length(text) // 40 + 1)) as i from documents)), "
     "hit as (select o.doc_id, o.pos, arg_min(sp.l, sp.s) as l from off o left join sp on sp.doc_id = o.doc_id and o.end_ - length(o.token) < sp.e and o.end_ > sp.s group by o.doc_id, o.pos) "
     "select doc_id, pos, case when l = 'PERS' then 'B-PER' when l = 'LOC' then 'B-LOC' else 'O' end as label from hit"
 )
 def interval_overlap(spark, sf):
+    """Spans over the whole of every text: every 40 characters one of 12."""
     d = table(spark, sf, "documents")
-    toks = token_rows(d, ["doc_id"], "text")
     i = F.col("ord")
-    spans = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord")).select("doc_id", "ord", (i * 40).alias("start"), (i * 40 + 12).alias("end"), F.when(i % 3 == 0, "PERS").when(i % 3 == 1, "DATE").otherwise("LOC").alias("label"))
-    return overlap_labels(toks, spans, ["doc_id"], {"PERS": "PER", "DATE": "O"}).select("doc_id", "pos", "label")
+    spans = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("length(text) div 40"))).alias("ord")).select("doc_id", "ord", (i * 40).alias("start"), (i * 40 + 12).alias("end"), F.when(i % 3 == 0, "PERS").when(i % 3 == 1, "DATE").otherwise("LOC").alias("label"))
+    return overlap_labels(d, spans, ["doc_id"], "text", {"PERS": "PER", "DATE": "O"}).select("doc_id", "pos", "label")
 
 
 @query(r"select doc_id, (i - 1)::int as ord, l[i] as sentence from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') as l from documents))")
@@ -383,13 +383,9 @@ ch as (select *, sum(s) over (partition by doc_id order by pos) as c from st),
 ent as (select doc_id, arg_min(y, pos) as type, min(pos)::int - 1 as first, max(pos)::int - 1 as last from ch where t <> 'O' group by doc_id, c)"""
 
 
-def _positions(spark, sf) -> DataFrame:
-    return _tagged(spark, sf).select("doc_id", F.posexplode("labels").alias("pos", "label"))
-
-
 @query(f"with {_SQL_BIO} select doc_id, type, first, last from ent")
 def bio_chunks(spark, sf):
-    return sequence.chunks(_positions(spark, sf), ["doc_id"]).select("doc_id", "type", "first", "last")
+    return sequence.chunks(_tagged(spark, sf), ["doc_id"]).select("doc_id", "type", "first", "last")
 
 
 @query(
@@ -400,8 +396,8 @@ def bio_chunks(spark, sf):
     "acc as (select avg((a.label = b.label)::int) as accuracy from pos a join pr b using (doc_id, pos)) select round(tp / p, 9) as precision, round(tp / g, 9) as recall, round(2 * tp / (p + g), 9) as f1, round(accuracy, 9) as accuracy from n, acc"
 )
 def entity_prf(spark, sf):
-    df = _positions(spark, sf).select("doc_id", "pos", F.col("label").alias("gold"), F.when((F.col("pos") + 1) % 4 == 0, "O").otherwise(F.col("label")).alias("pred"))
-    return _rounded(sequence.entity_prf(df, ["doc_id"]))
+    pred = F.transform("labels", lambda x, i: F.when((i + 1) % 4 == 0, "O").otherwise(x))
+    return _rounded(sequence.entity_prf(_tagged(spark, sf).select(F.col("labels").alias("gold"), pred.alias("pred"))))
 
 
 # ---- sinks

@@ -8,35 +8,47 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.scratch import stored
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Arrays, maps and structs as JSON text, for formats that cannot hold them."""
     return df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
 
 
-def write_articles(df: DataFrame, path: str, rows_per_file: int = 10_000, exact: bool = False) -> None:
+def write_articles(df: DataFrame, path: str, rows_per_file: int = 10_000, order: list[str] | None = None) -> None:
     """Append df as CSV and JSON lines, at most rows_per_file rows a file; nothing is written for no rows.
 
-    exact gives full files by numbering rows per partition into rolling shards of one task.
+    With an order, files are full but for the last one and hold consecutive rows: each is one task's, named by
+    its folder shard=N.
     """
     if df.isEmpty():
         return
-    out = df.coalesce(1) if exact else df
-    out.write.mode("append").option("maxRecordsPerFile", rows_per_file).json(f"{path}/jsonl")
-    flat(out).write.mode("append").option("maxRecordsPerFile", rows_per_file).option("header", True).option("escape", '"').csv(f"{path}/csv")
+    if order:
+        numbered = rolling_shard(df, order, rows_per_file)
+        parts = numbered.agg(F.max("shard")).first()[0] + 1
+        out = numbered.repartitionByRange(parts, "shard").sortWithinPartitions("shard", *order)
+        writer = lambda x: x.write.mode("append").partitionBy("shard")
+    else:
+        out = df
+        writer = lambda x: x.write.mode("append").option("maxRecordsPerFile", rows_per_file)
+    writer(out).json(f"{path}/jsonl")
+    writer(flat(out)).option("header", True).option("escape", '"').csv(f"{path}/csv")
 
 
 def rolling_shard(df: DataFrame, order: list[str], rows_per_file: int) -> DataFrame:
     """df with `shard`: consecutive runs of rows_per_file rows in order, without one global window.
 
-    Range partitions are counted first; a row's number is its partition's start plus its own rank.
+    Range partitions are written once with their number and counted; a row's number is its partition's start
+    plus its own rank. Both come from what was written, so they agree whatever is computed again.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_at")))
+    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_at")))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range partition
     starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    return ranged.join(F.broadcast(starts), "_p").withColumn("shard", F.floor((F.col("_r") + F.col("_s") - 1) / rows_per_file).cast("int")).drop("_p", "_r", "_s")
+    return ranged.join(F.broadcast(starts), "_p").withColumn("shard", F.floor((F.col("_r") + F.col("_s") - 1) / rows_per_file).cast("int")).drop("_p", "_at", "_r", "_s")
 
 
 def write_sentences(df: DataFrame, path: str) -> None:

@@ -43,10 +43,15 @@ def merged_splits(spark: SparkSession, root: str, splits: tuple[str, ...] = ("de
 def prepared_sentences(spark: SparkSession, path: str) -> DataFrame:
     """tokens and labels (and partition columns) of prepared sentence files."""
     df = spark.read.csv(path, schema=schemas.PREPARED, header=True, multiLine=True, escape='"')
-    df = df.withColumn("lang", F.regexp_extract(F.col("_metadata.file_path"), "(?:lang=|ner-)([^./]+)", 1)).withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), "(?:split=|\\.)(train|eval|test)", 1))
+    df = df.withColumn("lang", F.regexp_extract(F.col("_metadata.file_path"), "(?:lang=|ner-)([^./]+)", 1)).withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), "(?:split=|ner-[^./]+\\.)([^./]+?)(?:/|\\.csv)", 1))
     return df.filter("sentence is not null and labels is not null").select("lang", "split", F.split("sentence", " ").alias("tokens"), F.split("labels", " ").alias("labels"))
 
 
+def found_splits(sentences: DataFrame) -> list[str]:
+    """The split names among prepared sentences, sorted; files without one are the base."""
+    return [r[0] for r in sentences.select("split").filter("split <> ''").distinct().orderBy("split").collect()]
+
+
 def topics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schemas.TOPICS)
 
@@ -99,6 +104,11 @@ def url_file_name(url: str) -> str:
     return url.split("?", 1)[0].rstrip("/").rsplit("/", 1)[-1]
 
 
+def download_archives(urls: list[str], target: Path, password: str | None = None) -> list[Path]:
+    """Stage a set of zip archives and unpack each into a folder of its name."""
+    return [extract_zip(a, target / a.stem, password) for a in download(urls, target)]
+
+
 def target_dir(root: Path, dataset: str, config: str | None = None) -> Path:
     return root / dataset / config if config else root / dataset
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,3 +27,49 @@ def dedup(events: DataFrame, ts: str, keys: list[str], watermark: str = "10 days
 def each_batch(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run callback on everything there is, then stop."""
     return stream.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@dataclass
+class Control:
+    """A flag that ends the work after the batch at hand."""
+
+    stop: bool = False
+
+
+@dataclass
+class RunState:
+    """What goes from batch to batch: the files written, the rows not yet in one, and whatever a callback adds to `values`."""
+
+    rows_per_file: int = 10_000
+    file_number: int = 0
+    rows_written: int = 0
+    values: dict[str, Any] = field(default_factory=dict)
+
+
+def rolling_batches(stream: DataFrame, path: str, checkpoint: str, state: RunState, control: Control | None = None, on_batch: Callable[[DataFrame, RunState], None] | None = None) -> StreamingQuery:
+    """Append each batch as files of at most state.rows_per_file rows, numbered on from batch to batch.
+
+    A batch that is run again after a failure overwrites its own folder, so its rows count once. on_batch
+    may keep values in the state; a set stop flag skips what is left, which a later run takes up.
+    """
+    done: dict[int, int] = {}
+    control = control or Control()
+
+    def write(batch: DataFrame, number: int) -> None:
+        if control.stop:
+            raise Stopped(f"stopped before batch {number}")
+        rows = batch.count()
+        if rows:
+            batch.write.mode("overwrite").option("maxRecordsPerFile", state.rows_per_file).json(f"{path}/batch={number}")
+        if number not in done:
+            state.rows_written += rows
+            state.file_number += -(-rows // state.rows_per_file)
+        done[number] = rows
+        if on_batch:
+            on_batch(batch, state)
+
+    return each_batch(stream, write, checkpoint)
+
+
+class Stopped(RuntimeError):
+    """The control's flag was set; the batch is not committed and runs again next time."""
