@@ -117,7 +117,7 @@ def test_chains_are_the_ring_s_bits(spark):
     bits = sum(v << 64 * i for i, v in enumerate(fp))
     total = 64 * ring.lanes
     at = lambda o, n: ((bits >> o) | (bits << (total - o))) & ((1 << n) - 1) if o else bits & ((1 << n) - 1)
-    df = spark.createDataFrame([(7, [v - (1 << 64) if v >> 63 else v for v in fp])], "node long, fp array<bigint>")
+    df = spark.createDataFrame([(7, [v - (1 << 64) if v >> 63 else v for v in fp])], "id long, fp array<bigint>")
     got = {(r.k, r.chain & ((1 << 64) - 1)) for r in similar.chains(df, ring).collect()}
     assert got == {(i << 40 | at(18 * i, 18), at((18 * i + 18) % total, 64)) for i in range(9)}
 

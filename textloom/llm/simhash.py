@@ -162,14 +162,15 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
     return ring_links(cold, segments, max_bits).unionByName(neighbour_links(members))
 
 
-def labelled(rows: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def labelled(rows: DataFrame, nodes: DataFrame, found: DataFrame, key: str, node_id: str | None = None) -> DataFrame:
     """rows with component_id and gone (whether keep_one() drops the row).
 
     rows has doc_id, text_key, salt and key; nodes has key, first (its least (doc_id, text_key)) and
-    salts; found has the node and component of the keys that reach a smaller one.
+    salts; found has the node and component of those that reach a smaller one, by node_id or else key.
     """
-    found = found.select(F.col("node").alias(key), "component")
-    placed = materialize(nodes.join(found, key, "left").select(key, "first", "salts", F.coalesce("component", key).alias("c")), "placed")
+    node_id = node_id or key
+    found = found.select(F.col("node").alias(node_id), "component")
+    placed = materialize(nodes.join(found, node_id, "left").select(key, "first", "salts", F.coalesce("component", node_id).alias("c")), "placed")
     least = placed.groupBy("c").agg(F.min("first").alias("first"))
     answer = placed.drop("first").join(least, "c").select(key, "first", "salts")
     out = spread_back(rows, key, "salt", answer, "inner")

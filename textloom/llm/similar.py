@@ -15,10 +15,15 @@ of at most MISS; it falls quickly for more similar pairs and within groups. Keys
 with the logarithm of the number of fingerprints and the segments with them, so the work for a
 document grows as its 0.24th power.
 
-Hot keys. A key with about HOT nodes or more first links its nodes by stars to a few centres. Then
-pairs are listed of those nodes only that are not in the key's largest component, so a large group
-of near copies is not listed pair by pair; pairs of one component are not listed anywhere. Of all
-other keys all pairs are looked at, by runs of the sorted keys.
+Hot keys. The nodes of keys with about HOT nodes or more are dense: groups of near copies, and texts
+that are not quite so similar. Their pairs are not listed. First every dense node is compared with
+one centre of its hot keys, in STAR_ROUNDS rounds, which joins most of a group. Then all pairs of
+dense nodes in different components that can reach the similarity are found by prefix filtering, an
+exact way: of two sets with n <= m shingles that link, in an order of all shingles the first
+n - ceil(2 n * NUM / (NUM + DEN)) + 1 of the one and m - ceil(m * NUM / DEN) + 1 of the other share
+one, and the first that they share leaves enough of both behind it (Chaudhuri, Ganti and Kaushik,
+2006; Xiao et al., 2008). What many dense texts have in common
+comes last in that order, so texts that differ each in their own way share no key.
 
 Defined results: equal sets are one node, so documents without words are copies of each other; a
 row is a node by its text, also where rows repeat a doc_id; component_id is the smallest doc_id that
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,12 +49,16 @@ NUM, DEN = 4, 5
 #: The share of bits in which sets of the least similarity differ, and the Hamming bound above it.
 FLIP = math.acos(2 * NUM / (NUM + DEN)) / math.pi
 MAX_SHARE = 0.2
-MISS = 0.01
+MISS = 0.03
 #: The share of equal segments of a true pair from which a chain keeps to its budgets.
 CHAIN_KEPT = 0.96
 #: Keys of about so many nodes are hot; they are counted on one of SAMPLED nodes.
 HOT = 32
 SAMPLED = 4
+STAR_ROUNDS = 2
+#: Shingles that come last in the order of dense sets: those of LATE or more of a share of 1 / LATE_SAMPLED of the sets,
+#: the most frequent ones up to MAX_LATE, told by a bitmap of 2^LATE_BITS places (strangers in it change the order alike for all).
+LATE, LATE_SAMPLED, MAX_LATE, LATE_BITS = 4, 8, 200_000, 22
 MAX_BROADCAST = 300_000
 SALTS = 16
 
@@ -124,8 +134,8 @@ def _as_lists(rows):
     import numpy as np
 
     ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat))
 
 
 def fingerprint(shingles, lanes: int):
@@ -153,13 +163,17 @@ def _printer(lanes: int):
 
 
 def _setter(batches):
+    """Sets by half of each hash, which is enough to count what two sets share."""
+    import numpy as np
+
     for b in batches:
         sets = [shingle_set(h) for h in _rows(b.column(2))]
-        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), _as_lists(sets)], ["node", "s"])
+        halves = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), _as_lists(halves)], ["node", "s"])
 
 
 def chains(nodes: DataFrame, ring: Ring) -> DataFrame:
-    """k (a segment and its bits), chain (the 64 bits after it on the ring) and node, for each segment."""
+    """k (a segment and its bits), chain (the 64 bits after it on the ring) and the other columns, for each segment."""
 
     def lane(at: str) -> str:
         word = f"cast({at} div {BITS} as int)"
@@ -182,7 +196,7 @@ def _chain_kept(ring: Ring, a: str, b: str) -> Column:
 
 
 def _scanner(ring: Ring):
-    """Pairs of each key of rows sorted by k, whose chains keep to the budgets and whose components differ."""
+    """Pairs of each key of rows sorted by k, not both dense (ids below zero), whose chains keep to the budgets."""
 
     def run(batches):
         import numpy as np
@@ -192,99 +206,146 @@ def _scanner(ring: Ring):
         for b in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             rows = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            k, chain, node, c = rows
-            chain, c = chain.view(np.uint64), np.where(c == 0, node, c)
-            found = []
+            k, chain, node = rows
+            chain, dense, found = chain.view(np.uint64), node < 0, []
             for lag in range(1, len(k)):
                 equal = k[lag:] == k[:-lag]
                 if not equal.any():
                     break
-                at = np.nonzero(equal & (c[lag:] != c[:-lag]))[0]
+                at = np.nonzero(equal & ~(dense[lag:] & dense[:-lag]))[0]
                 differ = chain[at + lag] ^ chain[at]
                 for mask, most in budgets:
                     ok = np.bitwise_count(differ & mask) <= most
                     at, differ = at[ok], differ[ok]
-                if len(at):
-                    found.append((np.minimum(node[at], node[at + lag]), np.maximum(node[at], node[at + lag])))
-            if found:
-                u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-                u, v = np.unique(np.stack([u, v]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                found.append(np.stack([node[at], node[at + lag]]))
+            pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            if pairs.size:
+                pairs = np.unique(np.sort(np.where(pairs < 0, -1 - pairs, pairs), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
             first = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last key may go on in the next batch
             held = [x[first:] for x in rows]
 
     return run
 
 
+def _prefixes(late):
+    """x, id, n, c and at: the first shingles of each set in the order, and their places."""
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            ends = np.asarray(b.column(2).offsets.to_numpy()) - b.column(2).offsets[0].as_py()
+            out = []
+            for i in range(b.num_rows):
+                s = flat[ends[i] : ends[i + 1]]
+                n = len(s)
+                place = s.view(np.uint32) & np.uint32((1 << LATE_BITS) - 1)
+                is_late = (late.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+                order = np.lexsort((s, is_late))
+                probe = n - -(-n * NUM // DEN) + 1
+                out.append((s[order[:probe]], np.full(probe, i), np.full(probe, n), np.arange(probe)))
+            if out:
+                x, row, n, at = (np.concatenate(y) for y in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), b.column(0).take(pa.array(row)), pa.array(n, pa.int32()), b.column(1).take(pa.array(row)), pa.array(at, pa.int32())], ["x", "id", "n", "c", "at"])
+
+    return run
+
+
+def _late_bitmap(sets: DataFrame):
+    import numpy as np
+
+    some = sets.filter(F.pmod(F.xxhash64("id"), F.lit(LATE_SAMPLED)) == 0).select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("m"))
+    bits = np.zeros(1 << (LATE_BITS - 3), dtype=np.uint8)
+    for r in some.filter(F.col("m") >= LATE).orderBy(F.desc("m"), "x").limit(MAX_LATE).select("x").collect():
+        place = r["x"] & ((1 << LATE_BITS) - 1)
+        bits[place >> 3] |= 1 << (place & 7)
+    return sets.sparkSession.sparkContext.broadcast(bits)
+
+
+def dense_pairs(sets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Pairs (u, v) of the sets (id, s) in different components that may reach the similarity; none that does is passed over."""
+    rows = _with_component(sets, found).select("id", "c", "s")
+    keys = materialize(rows.mapInArrow(_prefixes(_late_bitmap(sets)), "x int, id long, n int, c long, at int"), "prefixes")
+    other = keys.select("x", *[F.col(a).alias(f"{a}2") for a in ("id", "n", "c", "at")])
+    order = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
+    shared = F.expr(f"((n + n2) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}")  # at least, of sets that link
+    room = (F.col("n") - F.col("at") >= shared) & (F.col("n2") - F.col("at2") >= shared)
+    short = F.col("at") <= F.expr(f"n - (2 * n * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}")
+    met = keys.filter(short).join(other, "x").filter(order & (F.col("c") != F.col("c2")) & (F.col("n") * DEN >= F.col("n2") * NUM) & room)
+    return met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct()
+
+
 def _with_both(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
-    """pairs (u, v) with the named columns of values (node, ...) for either side, however often a node occurs."""
+    """pairs (u, v) with the named columns of values (id, ...) for either side, however often an id occurs."""
     rows = pairs.withColumns({"us": salt_of(F.col("v"), SALTS), "vs": salt_of(F.col("u"), SALTS)})
     for side, other in (("u", "v"), ("v", "u")):
         salts = pairs.groupBy(side).agg(F.collect_set(salt_of(F.col(other), SALTS)).alias("salts"))
-        own = salts.join(values.select(F.col("node").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in names]), side)
+        own = salts.join(values.select(F.col("id").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in names]), side)
         rows = spread_back(rows, side, f"{side}s", own, "inner")
     return rows
 
 
 def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
-        return rows.withColumn("c", F.col("node"))
-    return rows.join(checked_broadcast(found, MAX_BROADCAST), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        return rows.withColumn("c", F.col("id"))
+    found = found.select(F.col("node").alias("id"), "component")
+    return rows.join(checked_broadcast(found, MAX_BROADCAST), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
 def links(docs: DataFrame, nodes: DataFrame, ring: Ring, id_col: str, text_col: str) -> DataFrame:
-    """Links (u, v) between the nodes (node, n, fp, one: the id of one document), enough for their components."""
+    """Links (u, v) between the ids of the nodes (id, node, n, fp, one: the doc_id of one document), enough for their components."""
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """id and s of the nodes (id, node, one): from one document of each."""
+        one = checked_broadcast(some.select(F.col("one").alias("_tl_one")).distinct(), MAX_BROADCAST)
+        texts = docs.join(one, F.col(f"`{id_col}`").cast("long").eqNullSafe(one["_tl_one"]), "left_semi")
+        sets = _word_hashes(texts, id_col, text_col).mapInArrow(_setter, "node long, s array<int>")
+        return materialize(sets.join(checked_broadcast(some.select("id", "node"), MAX_BROADCAST), "node").select("id", "s").dropDuplicates(["id"]), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (u, v) within the Hamming bound whose sets reach the similarity."""
-        pairs = materialize(pairs, "candidates")
-        both = _with_both(pairs, nodes, "fp", "n")
-        sizes = (F.col("u_n") * DEN >= F.col("v_n") * NUM) & (F.col("v_n") * DEN >= F.col("u_n") * NUM)
+        both = _with_both(materialize(pairs, "candidates"), nodes, "fp", "n")
+        fit = (F.col("u_n") * DEN >= F.col("v_n") * NUM) & (F.col("v_n") * DEN >= F.col("u_n") * NUM)
         bits = F.expr("aggregate(zip_with(u_fp, v_fp, (a, b) -> cast(bit_count(a ^ b) as int)), 0, (x, y) -> x + y)")
-        near = materialize(both.filter(sizes & (bits <= int(MAX_SHARE * ring.lanes * BITS))).select("u", "v"), "near")
-        # the sets of one document of each node
-        paired = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        one = nodes.join(checked_broadcast(paired, MAX_BROADCAST), "node", "left_semi").select("one")
-        one = checked_broadcast(materialize(one.select(F.col("one").alias("_tl_one")).distinct(), "one"), MAX_BROADCAST)
-        texts = docs.join(one, F.col(f"`{id_col}`").cast("long").eqNullSafe(one["_tl_one"]), "left_semi")
-        sets = materialize(_word_hashes(texts, id_col, text_col).mapInArrow(_setter, "node long, s array<bigint>").dropDuplicates(["node"]), "sets")
+        near = materialize(both.filter(fit & (bits <= int(MAX_SHARE * ring.lanes * BITS))).select("u", "v"), "near")
+        if sets is None:
+            paired = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+            sets = sets_of(materialize(nodes.join(checked_broadcast(paired, MAX_BROADCAST), "id", "left_semi").select("id", "node", "one"), "paired"))
         shared = F.size(F.array_intersect("u_s", "v_s"))
         return materialize(_with_both(near, sets, "s").filter(shared * (NUM + DEN) >= (F.size("u_s") + F.size("v_s")) * NUM).select("u", "v"), "links")
 
-    keyed = chains(nodes.filter("n > 0").select("node", "fp"), ring)
+    keyed = chains(nodes.filter("n > 0").select("id", "fp"), ring)
     # hot keys are told by one of SAMPLED nodes, which decides the way a key's pairs are found and nothing else
-    sampled = keyed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).groupBy("k").agg(F.count("*").alias("m"))
+    sampled = keyed.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("k").agg(F.count("*").alias("m"))
     hot = materialize(sampled.filter(F.col("m") * SAMPLED >= HOT).select("k"), "hot")
-    kept = lambda a, b: _chain_kept(ring, a, b)
-    star, found, cold = [], None, keyed
+    out, scan = [], keyed
     if not hot.isEmpty():
-        members = materialize(keyed.join(checked_broadcast(hot, MAX_BROADCAST), "k", "left_semi"), "members")
-        cold = keyed.join(checked_broadcast(hot, MAX_BROADCAST), "k", "left_anti")
-        # centres: first the same for all keys as far as may be, then each key's own
-        for order in (F.xxhash64("node"), F.xxhash64("node", "k")):
+        hot = checked_broadcast(hot, MAX_BROADCAST)
+        members = materialize(keyed.join(hot, "k", "left_semi"), "members")
+        # a node whose keys are those of many others is in the middle of its group
+        sizes = checked_broadcast(materialize(members.groupBy("k").agg(F.count("*").alias("m")), "sizes"), MAX_BROADCAST)
+        middle = materialize(members.join(sizes, "k").groupBy("id").agg(F.sum("m").alias("score")), "middle")
+        sets = sets_of(materialize(nodes.join(checked_broadcast(middle, MAX_BROADCAST), "id", "left_semi").select("id", "node", "one"), "dense"))
+        members = materialize(members.join(checked_broadcast(middle, MAX_BROADCAST), "id").select("k", "chain", "id", "score"), "members")
+        # each key has a centre, and each node is compared with one of the centres it shares a key with: first
+        # with the one most in the middle, then with any of another component
+        found = None
+        for turn in range(STAR_ROUNDS):
             now = _with_component(members, found)
-            centre = F.min_by(F.struct(F.col("node").alias("v"), F.col("chain").alias("chain2"), F.col("c").alias("c2")), order)
-            open_ = now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), centre.alias("v")).filter("lo != hi")
-            near = now.join(checked_broadcast(materialize(open_.select("k", "v.*"), "centres"), MAX_BROADCAST), "k").filter((F.col("c") != F.col("c2")) & kept("chain", "chain2"))
-            star.append(verified(near.select(F.col("node").alias("u"), "v").distinct()))
-            found = components(star[0] if len(star) == 1 else star[0].unionByName(star[1]))
-
-    # zero stands for a component of its own, which takes no room in the shuffle
-    scan = _with_component(cold, found).select("k", "chain", "node", F.when(F.col("c") == F.col("node"), 0).otherwise(F.col("c")).alias("c"))
-    pairs = scan.repartition("k").sortWithinPartitions("k").mapInArrow(_scanner(ring), "u long, v long")
-    if not hot.isEmpty():
-        busy = materialize(_with_component(members, found), "busy")
-        parts = busy.groupBy("k", "c").agg(F.count("*").alias("m"))
-        largest = parts.groupBy("k").agg(F.max_by("c", F.struct("m", "c")).alias("big"))
-        big = busy.join(checked_broadcast(materialize(largest, "largest"), MAX_BROADCAST), "k")
-        few = checked_broadcast(materialize(big.filter("c != big").select("k", *[F.col(x).alias(f"{x}2") for x in ("chain", "node", "c")]), "few"), MAX_BROADCAST)
-        # two of the few meet twice, one of the few and one of the largest component once
-        met = big.join(few, "k").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("big")) | (F.col("node") < F.col("node2"))) & kept("chain", "chain2"))
-        pairs = pairs.unionByName(met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")))
-    out = verified(pairs.distinct())
-    for s in star:
-        out = out.unionByName(s)
-    return out
+            order = F.struct((-F.col("score")).alias("s"), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "id").alias("s"), "id")
+            centre = F.min_by(F.struct(F.col("id").alias("v"), F.col("chain").alias("chain2"), F.col("c").alias("c2"), order.alias("o")), order)
+            centres = materialize(now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), centre.alias("v")).filter("lo != hi").select("k", "v.*"), "centres")
+            near = now.join(checked_broadcast(centres, MAX_BROADCAST), "k").filter((F.col("c") != F.col("c2")) & _chain_kept(ring, "chain", "chain2"))
+            out.append(verified(near.groupBy(F.col("id").alias("u")).agg(F.min_by("v", "o").alias("v")), sets))
+            found = components(reduce(DataFrame.unionByName, out))
+        out.append(verified(dense_pairs(sets, found), sets))
+        # all pairs of a hot key are pairs of dense nodes; ids below zero tell these to the scan
+        dense = checked_broadcast(middle.select("id", F.lit(True).alias("dense")), MAX_BROADCAST)
+        scan = keyed.join(hot, "k", "left_anti").join(dense, "id", "left").withColumn("id", F.when(F.col("dense"), -1 - F.col("id")).otherwise(F.col("id")))
+    pairs = scan.select("k", "chain", "id").repartition("k").sortWithinPartitions("k").mapInArrow(_scanner(ring), "u long, v long")
+    return reduce(DataFrame.unionByName, [*out, verified(pairs.distinct())])
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,9 +355,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = materialize(prints, "fingerprints").withColumn("salt", salt_of(F.col("doc_id"), SALTS))
     by_salt = prints.groupBy("node", "salt").agg(first_of().alias("first"), F.min("doc_id").alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"))
     nodes = by_salt.groupBy("node").agg(F.min("first").alias("first"), F.min("one").alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.collect_set("salt").alias("salts"))
-    nodes = materialize(nodes, "nodes")
-    found = components(links(docs, nodes.select("node", "n", "fp", "one"), ring, id_col, text_col))
-    return labelled(prints.drop("n", "fp"), nodes.select("node", "first", "salts"), found, "node").drop("salt")
+    # numbers given once and stored: they are shorter than hashes where they are sent about
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    found = components(links(docs, nodes.select("id", "node", "n", "fp", "one"), ring, id_col, text_col))
+    return labelled(prints.drop("n", "fp"), nodes.select("id", "node", "first", "salts"), found, "node", "id").drop("salt")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
