@@ -1,7 +1,8 @@
 import pytest
 from oracles import same
 
-from textloom import queries as Q
+from textloom import queries_plans  # noqa: F401  registers its queries
+from textloom import registry as Q
 
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))

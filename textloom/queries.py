@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import match, text
 from textloom.operators import classification, encoders, ranking, sequence, slices, splits, stats
 from textloom.operators.tokens import gazetteer_labels, overlap_labels, token_rows
 from textloom.plans import datasets
+from textloom.registry import ORACLES, QUERIES, query, table
 from textloom.sinks.writers import rolling_shard
 from textloom.streaming.sliced import tumbling_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 CATEGORIES = {"func": ["with", "of the"], "neg": ["worthless", "pathetic"], "legal": ["License", "license"]}
 PREFIXES = {"re": ["reê*", "the*"], "th": ["tion*"]}
 EXPRESSIONS = {"an": ["of the*", "in the"], "de": ["de la*", "The er*"]}
@@ -229,7 +208,11 @@ def sentences_from_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", "\n"), "")).alias("ord", "sentence"))
 
 
-@query()
+@query(
+    r"""with c as (select conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from conversations), l as (select conv_id, turn, w, list_transform(w, lambda x: lower(x)) as t from c)
+select conv_id, turn, array_to_string(list_transform(w, lambda x, i: case when contains(x, '@') then 'O' when t[i] = 'the' and t[i + 1] = 'er' then 'B-PER' when i > 1 and t[i] = 'er' and t[i - 1] = 'the' then 'I-PER'
+  when t[i] = 'of' and t[i + 1] = 'the' and coalesce(t[i + 2], '') <> 'er' then 'B-ORG' when i > 1 and t[i] = 'the' and t[i - 1] = 'of' then 'I-ORG' when t[i] = 'the' then 'B-LOC' else 'O' end), ' ') as labels from l"""
+)
 def gazetteer_tag(spark, sf):
     names = [(["the", "er"], "PER"), (["of", "the"], "ORG"), (["the"], "LOC")]
     ents = F.array(*[F.struct(F.array(*[F.lit(x) for x in t]).alias("t"), F.lit(f"B-{y}").alias("b"), F.lit(f"I-{y}").alias("i")) for t, y in names])
@@ -411,7 +394,14 @@ def file_rollup(spark, sf):
 # ---- whole plans
 
 
-@query()
+_SQL_SPACE = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+@query(
+    f"with a as (select doc_id, text, trim(text, {_SQL_SPACE}) as b, source from documents) select doc_id::varchar as uuid, strftime(date '2010-01-01' + (doc_id % 400)::int, '%Y-%m-%dT00:00:00Z') as created, "
+    "list_filter([" + ", ".join(f"case when {_sql_any(k)} then '{c}' end" for c, k in CATEGORIES.items()) + "], lambda x: x is not null) as categories, 'print' as media_type, 'News' as section_name, "
+    f"length(case when starts_with(b, source) then trim(substr(b, length(source) + 1), {_SQL_SPACE}) else b end)::int as n_body from a where " + " or ".join(_sql_any(k) for k in CATEGORIES.values())
+)
 def keyword_dataset(spark, sf):
     """The keyword plan over documents shaped as index articles."""
     d = table(spark, sf, "documents")

@@ -22,7 +22,13 @@ class MergeError(RuntimeError):
 def json_records(spark: SparkSession, folder: str) -> DataFrame:
     """file, pos, record (variant): the items of array files, and other files as one record."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter=JSON_GLOB)
-    rows = files.select(F.col("_metadata.file_name").alias("file"), F.parse_json("value").alias("v"))
+    return records_of(files.select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def records_of(files: DataFrame) -> DataFrame:
+    """file, pos, record (variant) of whole JSON texts (file, value)."""
+    rows = files.select("file", F.parse_json("value").alias("v"))
+    spark = files.sparkSession
     arrays = rows.filter(F.startswith(F.schema_of_variant("v"), F.lit("ARRAY")))
     single = rows.filter(~F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))).select("file", F.lit(0).alias("pos"), F.col("v").alias("record"))
     items = arrays.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select("pos", "value")).select("file", "pos", F.col("value").alias("record"))
