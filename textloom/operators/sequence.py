@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.labels import IGNORE
+from textloom.functions.text import let, once
 from textloom.operators.classification import _div, argmax
 
 
@@ -20,14 +21,12 @@ def chunk_array(labels: str) -> Column:
     before = f"{lab}[i - 1]"
     starts = f"{prefix('x')} <> 'O' and (i = 0 or {prefix('x')} = 'B' or {prefix(before)} = 'O' or {kind(before)} <> {kind('x')})"
     breaks = f"filter(transform({lab}, (x, i) -> named_struct('i', i, 'start', {starts}, 'o', {prefix('x')} = 'O', 'type', {kind('x')})), x -> x.start or x.o)"
-    found = F.expr(breaks)
-    return F.filter(
-        F.transform(
-            F.arrays_zip(found.alias("b"), F.concat(F.slice(F.transform(found, lambda x: x["i"]), 2, 1 << 30), F.array(F.size(F.col(labels)))).alias("n")),
-            lambda z: F.struct(z["b"]["i"].alias("first"), (z["n"] - 1).alias("last"), z["b"]["type"].alias("type"), z["b"]["start"].alias("entity")),
-        ),
-        lambda x: x["entity"],
-    )
+
+    def closed(found: Column) -> Column:
+        ends = F.concat(F.slice(F.transform(found, lambda x: x["i"]), 2, 1 << 30), F.array(F.size(F.col(labels))))
+        return F.transform(F.arrays_zip(found.alias("b"), ends.alias("n")), lambda z: F.struct(z["b"]["i"].alias("first"), (z["n"] - 1).alias("last"), z["b"]["type"].alias("type"), z["b"]["start"].alias("entity")))
+
+    return F.filter(let(F.expr(breaks), closed), lambda x: x["entity"])
 
 
 def _entities(labels: str) -> Column:
@@ -44,7 +43,7 @@ def entity_prf(sequences: DataFrame, gold: str = "gold", pred: str = "pred") ->
 
     Everything is counted inside the row; one aggregation follows.
     """
-    both = sequences.select(_entities(gold).alias("g"), _entities(pred).alias("p"), F.size(F.filter(F.arrays_zip(F.col(gold).alias("a"), F.col(pred).alias("b")), lambda x: x["a"] == x["b"])).alias("same"), F.size(gold).alias("n"))
+    both = sequences.select(once(_entities(gold)).alias("g"), once(_entities(pred)).alias("p"), F.size(F.filter(F.arrays_zip(F.col(gold).alias("a"), F.col(pred).alias("b")), lambda x: x["a"] == x["b"])).alias("same"), F.size(gold).alias("n"))
     counted = both.select(F.size(F.array_intersect("g", "p")).alias("tp"), F.size("g").alias("ng"), F.size("p").alias("np"), "same", "n")
     total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "ng", "np", "same", "n")])
     tp, ng, np_ = (F.col(c) for c in ("tp", "ng", "np"))

@@ -6,22 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.labels import normalize, remap
+from textloom.functions.text import let, once
 
 
 def with_token_arrays(docs: DataFrame, text: str) -> DataFrame:
     """docs with `_tok` (white-space tokens) and `_end` (where each ends, in code points).
 
     Ends are prefix sums of gap and token lengths, all inside the row: over blocks of about the square
-    root of the number of tokens, and within each block. A column that two others use is not computed
-    again for every element.
+    root of the number of tokens, and within each block.
     """
-    df = docs.withColumn("_tok", F.expr(f"array_remove(split(`{text}`, '(?U)\\\\s+'), '')")).withColumn("_gap", F.expr(f"split(`{text}`, '(?U)\\\\S+')"))
-    df = df.withColumn("_len", F.expr("transform(_tok, (t, i) -> length(t) + length(_gap[i]))"))
-    df = df.withColumn("_blk", F.expr("cast(greatest(1, ceil(sqrt(size(_len)))) as int)"))
-    df = df.withColumn("_sum", F.expr("transform(sequence(0, _blk), b -> aggregate(slice(_len, b * _blk + 1, _blk), 0, (a, x) -> a + x))"))
-    df = df.withColumn("_start", F.expr("transform(_sum, (x, b) -> aggregate(slice(_sum, 1, b), 0, (a, y) -> a + y))"))
-    end = "_start[i div _blk] + aggregate(slice(_len, cast(i div _blk as int) * _blk + 1, i % _blk + 1), 0, (a, x) -> a + x)"
-    return df.withColumn("_end", F.expr(f"transform(_len, (l, i) -> cast({end} as int))")).drop("_gap", "_len", "_blk", "_sum", "_start")
+    df = docs
+    for name, e in (
+        ("_tok", f"array_remove(split(`{text}`, '(?U)\\\\s+'), '')"),
+        ("_gap", f"split(`{text}`, '(?U)\\\\S+')"),
+        ("_len", "transform(_tok, (t, i) -> length(t) + length(_gap[i]))"),
+        ("_blk", "cast(greatest(1, ceil(sqrt(size(_len)))) as int)"),
+        ("_sum", "transform(sequence(0, _blk), b -> aggregate(slice(_len, b * _blk + 1, _blk), 0, (a, x) -> a + x))"),
+        ("_start", "transform(_sum, (x, b) -> aggregate(slice(_sum, 1, b), 0, (a, y) -> a + y))"),
+        ("_end", "transform(_len, (l, i) -> cast(_start[i div _blk] + aggregate(slice(_len, cast(i div _blk as int) * _blk + 1, i % _blk + 1), 0, (a, x) -> a + x) as int))"),
+    ):
+        df = df.withColumn(name, once(F.expr(e)))
+    return df.drop("_gap", "_len", "_blk", "_sum", "_start")
 
 
 def token_rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -56,9 +61,8 @@ def span_labels(tokens: Column, ends: Column, spans: Column, table: dict[str, st
     hits = F.flatten(F.transform(F.filter(blocks, lambda x: F.size(x["t"]) > 0), hits_of))
 
     def label(h: Column, before: Column | None) -> Column:
-        kind = remap(normalize(h["label"]), table or {})
         prefix = F.lit("B-") if before is None else F.when((before["start"] == h["start"]) & (before["ord"] == h["ord"]), "I-").otherwise("B-")
-        return F.when(h.isNull() | (kind == "O"), "O").otherwise(F.concat(prefix, kind))
+        return F.when(h.isNull(), "O").otherwise(let(remap(normalize(h["label"]), table or {}), lambda kind: F.when(kind == "O", "O").otherwise(F.concat(prefix, kind))))
 
     if not bio:
         return F.transform(hits, lambda h: label(h, None))
@@ -74,8 +78,8 @@ def labelled_tokens(docs: DataFrame, spans: DataFrame, keys: list[str], text: st
     grouped = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "label"))).alias("_spans"))
     joined = with_token_arrays(docs.join(grouped, keys, "left"), text)
     none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,label:string>>)")
-    joined = joined.withColumn("_spans", F.coalesce(F.col("_spans").cast("array<struct<start:int,ord:int,end:int,label:string>>"), none))
-    return joined.withColumn("_lab", span_labels(F.col("_tok"), F.col("_end"), F.col("_spans"), table, bio)).drop("_spans")
+    joined = joined.withColumn("_spans", once(F.coalesce(F.col("_spans").cast("array<struct<start:int,ord:int,end:int,label:string>>"), none)))
+    return joined.withColumn("_lab", once(span_labels(F.col("_tok"), F.col("_end"), F.col("_spans"), table, bio))).drop("_spans")
 
 
 def overlap_labels(docs: DataFrame, spans: DataFrame, keys: list[str], text: str, table: dict[str, str] | None = None, bio: bool = False) -> DataFrame:

@@ -233,9 +233,9 @@ def stratified_split(spark, sf):
 
 def _tagged(spark, sf) -> DataFrame:
     """Sentences with rule-made BIO labels: by the length of the token and of the one before it."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", text.split_space(F.col("text")).alias("tokens"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", text.once(text.split_space(F.col("text"))).alias("tokens"))
     lab = F.transform("tokens", lambda x: F.when(F.length(x) % 5 == 0, "B-PER").when(F.length(x) % 5 == 1, "I-PER").when(F.length(x) % 7 == 0, "B-LOC").otherwise("O"))
-    return d.withColumn("labels", lab).withColumn("split", F.when(F.col("doc_id") % 10 < 8, "train").otherwise("test"))
+    return d.withColumn("labels", text.once(lab)).withColumn("split", F.when(F.col("doc_id") % 10 < 8, "train").otherwise("test"))
 
 
 _SQL_TAGGED = r"""

@@ -159,9 +159,9 @@ def label_forms(spark, sf):
 def subword_labels(spark, sf):
     """Every piece of four characters of a word gets its label's id, unknown labels that of O, both ends the ignored one."""
     ids = F.create_map(*[F.lit(x) for kv in {"O": 0, "B-PER": 1, "I-PER": 2}.items() for x in kv])
-    pieces = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.sequence(F.lit(0), F.expr("int(0)") + F.floor(F.length(x) / 4).cast("int")), lambda _: i)))
+    pieces = F.flatten(F.transform("tokens", lambda x, i: F.array_repeat(i, (F.floor(F.length(x) / 4) + 1).cast("int"))))
     none = F.array(F.lit(None).cast("int"))
-    d = _tagged(spark, sf).select("doc_id", labels.align_subwords(F.concat(none, pieces, none), F.col("labels"), ids).alias("ids"))
+    d = _tagged(spark, sf).select("doc_id", text.once(labels.align_subwords(F.concat(none, pieces, none), F.col("labels"), ids)).alias("ids"))
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
     return d.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform(labels.truncate(F.col("ids"), 512), lambda x: x.cast("string")), ",").cast("binary")).alias("first"), total.alias("total"))
 
