@@ -256,6 +256,31 @@ def test_quality(spark, small, edge_docs, no_docs):
     assert "Python" not in quality.quality_verdicts(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tokens_normalizer():
+    """Read from the model's bytes; a model with a table of characters, or that removes spaces, is not cut."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(queries.TOKENIZER), "rb") as f:
+        model = f.read()
+    assert tokens.plain_normalizer(model) and tokens._processor(model)[1]
+    field = lambda n, kind, data: bytes([n << 3 | kind]) + (bytes([len(data)]) + data if kind == 2 else data)
+    spec = lambda *parts: field(3, 2, b"".join(parts))
+    keeps = field(4, 0, b"\x00")
+    assert tokens.plain_normalizer(spec(field(1, 2, b"identity"), keeps)) and tokens.plain_normalizer(b"\x0d\x00\x00\x00\x00" + spec(keeps))
+    for other in (b"", spec(), spec(keeps, field(2, 2, b"map")), spec(field(4, 0, b"\x01")), spec(keeps, field(5, 0, b"\x00"))):
+        assert not tokens.plain_normalizer(other)
+
+
+def test_tokens_unbroken_text():
+    """Texts without a safe place to cut, at the real sizes: the overlap is widened, in the end to the whole text."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.TOKENIZER))
+    for t in ("x" * 100_000, "日本語" * 30_000, "ab " * 5 + "y" * 150_000 + " tail words" * 9_000, " " * 70_000 + "end"):
+        assert tokens.count_tokens(sp, t) == len(sp.encode(t))
+
+
 def test_tokens(spark, small, edge_docs, no_docs):
     import public_tokenizers
     import sentencepiece
