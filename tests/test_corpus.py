@@ -214,3 +214,84 @@ def test_archives(spark, tmp_path):
         R.safe_member(tmp_path / "out", "../outer/x")
     (tmp_path / "src.bin").write_bytes(b"x" * 10)
     assert R.download([(tmp_path / "src.bin").as_uri()], tmp_path / "dl")[0].read_bytes() == b"x" * 10
+
+
+def aes_zip(path, members, password, strength, method=8, damage=False):
+    """An archive encrypted as AE-2, written by hand."""
+    import hmac
+    import os
+    import struct
+    import zlib
+
+    from textloom.sources import aes_zip as Z
+
+    size, out, central = Z.KEY_BYTES[strength], b"", b""
+    for name, content in members.items():
+        packed = zlib.compressobj(9, 8, -15)
+        plain = packed.compress(content) + packed.flush() if method == 8 else content
+        salt = os.urandom(size // 2)
+        key, code_key, check = Z.derive(password, salt, size)
+        body = Z.counter_mode(plain, key)
+        code = hmac.new(code_key, body, "sha1").digest()[:10]
+        data = salt + check + (body[:-1] + bytes([body[-1] ^ 1]) if damage else body) + code
+        extra = struct.pack("<HHH2sBH", 0x9901, 7, 2, b"AE", strength, method)
+        fields = struct.pack("<HHHHHIIIHH", 51, 1, 99, 0, 0, 0, len(data), len(content), len(name), len(extra))
+        central += b"PK\x01\x02" + struct.pack("<H", 51) + fields + struct.pack("<HHHII", 0, 0, 0, 0, len(out)) + name.encode() + extra
+        out += b"PK\x03\x04" + fields + name.encode() + extra + data
+    end = b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, len(members), len(members), len(central), len(out), 0)
+    path.write_bytes(out + central + end)
+
+
+def test_aes_cipher():
+    """The examples of the cipher's standard for three key lengths."""
+    import numpy as np
+
+    from textloom.sources import aes_zip as Z
+
+    plain = np.frombuffer(bytes.fromhex("00112233445566778899aabbccddeeff"), dtype=np.uint8).reshape(1, 16)
+    for n, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (24, "dda97ca4864cdfe06eaf70a0ec0d7191"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        assert Z.encrypt_blocks(plain, Z.round_keys(bytes(range(n)))).tobytes().hex() == want
+
+
+@pytest.mark.parametrize("strength", [1, 2, 3])
+def test_encrypted_archives(spark, tmp_path, strength):
+    from textloom.sources import aes_zip as Z
+
+    members = {"a/b.txt": "čšž ".encode() * 5000, "c.txt": b"", "d.bin": bytes(range(256)) * 9000}
+    aes_zip(tmp_path / "x.zip", members, b"secret", strength, 8 if strength > 1 else 0)
+    out = R.extract_zip(tmp_path / "x.zip", tmp_path / "out", "secret")
+    assert {n: (out / n).read_bytes() for n in members} == members
+    assert {r.member: bytes(r.content) for r in R.zip_members(spark, str(tmp_path), "secret").collect()} == members
+    for password in ("wrong", None):
+        with pytest.raises(Z.ZipError):
+            R.extract_zip(tmp_path / "x.zip", tmp_path / "no", password)
+    aes_zip(tmp_path / "x.zip", {"a": b"abc"}, b"secret", strength, damage=True)
+    with pytest.raises(Z.ZipError, match="code"):
+        R.extract_zip(tmp_path / "x.zip", tmp_path / "no", "secret")
+    aes_zip(tmp_path / "y.zip", {"../up.txt": b"abc"}, b"secret", strength)
+    with pytest.raises(ValueError, match="leaves"):
+        R.extract_zip(tmp_path / "y.zip", tmp_path / "no", "secret")
+
+
+def test_missing_splits_are_named(spark, tmp_path):
+    (tmp_path / "dataset/dev").mkdir(parents=True)
+    with pytest.raises(R.MergeError, match="test, train"):
+        R.merged_splits(spark, str(tmp_path))
+
+
+def test_own_parser_and_metrics_hook(spark):
+    from textloom.operators import sequence
+    from textloom.plans import corpus
+
+    @corpus.parser("mine")
+    def read(spark, root):
+        return spark.createDataFrame([("xx", [root], ["O"])], "lang string, tokens array<string>, labels array<string>")
+
+    try:
+        assert [tuple(r) for r in corpus.prepare(spark, {"mine": "here"}).collect()] == [("xx", ["here"], ["O"])]
+    finally:
+        del corpus.PARSERS["mine"]
+    with pytest.raises(LookupError, match="mine"):
+        corpus.prepare(spark, {"mine": "here"})
+    df = spark.createDataFrame([([[0.1, 0.9], [0.8, 0.2]], [1, 0])], "z array<array<double>>, ids array<int>")
+    assert sequence.compute_metrics(df, "z", "ids", {0: "O", 1: "B-X"}) == {"precision": 1.0, "recall": 1.0, "f1": 1.0, "accuracy": 1.0}

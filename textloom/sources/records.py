@@ -5,12 +5,14 @@ from __future__ import annotations
 import shutil
 import urllib.request
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import schemas
+from textloom.sources.aes_zip import read_member
 
 JSON_GLOB = "*.[jJ][sS][oO][nN]"
 
@@ -35,17 +37,27 @@ def records_of(files: DataFrame) -> DataFrame:
     return items.unionByName(single)
 
 
-def merged_splits(spark: SparkSession, root: str, splits: tuple[str, ...] = ("dev", "test", "train")) -> DataFrame:
-    """split, file, pos, record of all split folders; an empty one is an error."""
-    out = None
+def missing_splits(spark: SparkSession, root: str, splits: tuple[str, ...]) -> list[str]:
+    """The splits without a folder below root/dataset."""
+    jvm = spark.sparkContext._jvm
+    out = []
     for s in splits:
-        part = json_records(spark, f"{root}/dataset/{s}").withColumn("split", F.lit(s))
-        if part.isEmpty():
-            raise MergeError(f"no records in {root}/dataset/{s}")
-        out = part if out is None else out.unionByName(part)
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/dataset/{s}")
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            out.append(s)
     return out
 
 
+def merged_splits(spark: SparkSession, root: str, splits: tuple[str, ...] = ("dev", "test", "train")) -> DataFrame:
+    """split, file, pos, record of all split folders; missing or empty ones are an error that names them all."""
+    if missing := missing_splits(spark, root, splits):
+        raise MergeError(f"no folder for {', '.join(missing)} below {root}/dataset")
+    parts = {s: json_records(spark, f"{root}/dataset/{s}").withColumn("split", F.lit(s)) for s in splits}
+    if empty := [s for s, part in parts.items() if part.isEmpty()]:
+        raise MergeError(f"no records in {', '.join(empty)} below {root}/dataset")
+    return reduce(DataFrame.unionByName, parts.values())
+
+
 def prepared_sentences(spark: SparkSession, path: str) -> DataFrame:
     """tokens and labels (and partition columns) of prepared sentence files."""
     df = spark.read.csv(path, schema=schemas.PREPARED, header=True, multiLine=True, escape='"')
@@ -81,26 +93,34 @@ def safe_member(target: Path, name: str) -> Path:
 
 
 def extract_zip(archive: Path, target: Path, password: str | None = None) -> Path:
+    """Unpack an archive, plain or encrypted in either way; a member that leaves the target is an error before any is written."""
+    secret = password.encode() if password else None
     with zipfile.ZipFile(archive) as z:
-        for m in z.infolist():
-            safe_member(target, m.filename)
-        z.extractall(target, pwd=password.encode() if password else None)
+        places = [(m, safe_member(target, m.filename)) for m in z.infolist()]
+        for m, to in places:
+            if m.is_dir():
+                to.mkdir(parents=True, exist_ok=True)
+            else:
+                to.parent.mkdir(parents=True, exist_ok=True)
+                to.write_bytes(read_member(z, m, secret))
     return target
 
 
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
+def zip_members(spark: SparkSession, path: str, password: str | None = None) -> DataFrame:
     """archive, member, content of the files in zip archives, read by the executors."""
     import io
 
     import pyarrow as pa
 
+    secret = password.encode() if password else None
+
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for m in z.infolist():
                         if not m.is_dir():
-                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m.filename]), pa.array([z.read(m)], pa.binary())], ["archive", "member", "content"])
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m.filename]), pa.array([read_member(z, m, secret)], pa.binary())], ["archive", "member", "content"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return files.select("path", "content").mapInArrow(run, "archive string, member string, content binary")
