@@ -293,8 +293,8 @@ def inverse_hot(spark, sf):
 
 
 def _scores(spark, sf, digits: int | None = None) -> DataFrame:
-    """The first ten dimensions of the embeddings as scores, the label as relevance."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 10)).alias("label_idx", "p"))
+    """The dimensions of the embeddings as scores, the label and another one as relevance."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("label_idx", "p"))
     p = F.col("p").cast("double")
     return e.select(F.col("vec_id").alias("sample_id"), "label_idx", ((F.col("label") == F.col("label_idx")) | ((F.col("label") + 3) % 10 == F.col("label_idx"))).cast("double").alias("y_true"), (F.round(p, digits) if digits is not None else p).alias("y_prob"))
 
@@ -302,7 +302,7 @@ def _scores(spark, sf, digits: int | None = None) -> DataFrame:
 def _sql_scores(digits: int | None = None) -> str:
     p = "embedding[i]::double"
     p = f"round({p}, {digits})" if digits is not None else p
-    return f"s as (select vec_id as sample_id, (i - 1) as idx, case when label = i - 1 or (label + 3) % 10 = i - 1 then 1.0::double else 0.0::double end as y, {p} as p from embeddings, range(1, 11) t(i)), "
+    return f"s as (select vec_id as sample_id, (i - 1) as idx, case when label = i - 1 or (label + 3) % 10 = i - 1 then 1.0::double else 0.0::double end as y, {p} as p from (select vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)), "
 
 
 _SQL_RANKED = "r as (select *, row_number() over (partition by sample_id order by p desc, idx desc) as rn, row_number() over (partition by sample_id order by y desc) as ideal, avg(y) over (partition by sample_id, p) as yt, sum(y) over (partition by sample_id) as tot from s) "
