@@ -11,6 +11,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 
 def _quoted(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -52,8 +54,7 @@ def contains_any(text: Column, keywords: list[str]) -> Column:
 def coarse_any(text: Column, keywords: list[str]) -> Column:
     """A cheap superset of a match: some keyword's stem occurs, in any case. Put before the exact test."""
     stems = {(w[:-1] if w.endswith("*") else w).lower() for k in keywords for w in k.split()[:1]}
-    low = F.lower(text)
-    return reduce(or_, [low.contains(s) for s in sorted(stems)], F.lit(False)) if stems else F.lit(False)
+    return let(F.lower(text), lambda low: reduce(or_, [low.contains(s) for s in sorted(stems)])) if stems else F.lit(False)
 
 
 def _matches(text: Column, patterns: list[tuple[str, str, str]]) -> Column:

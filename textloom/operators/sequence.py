@@ -10,32 +10,34 @@ from textloom.functions.text import let, once
 from textloom.operators.classification import _div, argmax
 
 
+def _type(label: Column) -> Column:
+    return F.when(F.instr(label, "-") > 0, F.substring(label, F.instr(label, "-") + 1, F.length(label))).otherwise("")
+
+
 def chunk_array(labels: str) -> Column:
     """array<struct<first, last, type>> of the entities in an array column of BIO labels, by the lenient start rule.
 
-    An entity starts at a B-, after an O or at another type, and ends before the next start or O.
+    An entity starts at a B-, after an O or at another type, and ends before the next start or O. These places
+    are found as numbers (twice the place, and one more for a start); types are read where entities start.
     """
-    lab = f"`{labels}`"
-    kind = lambda x: f"if(instr({x}, '-') > 0, substring({x}, instr({x}, '-') + 1), '')"
-    prefix = lambda x: f"substring_index({x}, '-', 1)"
-    before = f"{lab}[i - 1]"
-    starts = f"{prefix('x')} <> 'O' and (i = 0 or {prefix('x')} = 'B' or {prefix(before)} = 'O' or {kind(before)} <> {kind('x')})"
-    breaks = f"filter(transform({lab}, (x, i) -> named_struct('i', i, 'start', {starts}, 'o', {prefix('x')} = 'O', 'type', {kind('x')})), x -> x.start or x.o)"
+    array = F.col(labels)
 
-    def closed(found: Column) -> Column:
-        ends = F.concat(F.slice(F.transform(found, lambda x: x["i"]), 2, 1 << 30), F.array(F.size(F.col(labels))))
-        return F.transform(F.arrays_zip(found.alias("b"), ends.alias("n")), lambda z: F.struct(z["b"]["i"].alias("first"), (z["n"] - 1).alias("last"), z["b"]["type"].alias("type"), z["b"]["start"].alias("entity")))
+    def place(x: Column, i: Column) -> Column:
+        before = F.get(array, i - 1)
+        start = (i == 0) | F.startswith(x, F.lit("B-")) | (x == "B") | (before == "O") | F.startswith(before, F.lit("O-")) | (_type(before) != _type(x))
+        return F.when((x == "O") | F.startswith(x, F.lit("O-")), i * 2).when(start, i * 2 + 1).otherwise(-1)
 
-    return F.filter(let(F.expr(breaks), closed), lambda x: x["entity"])
+    def entities(places: Column) -> Column:
+        end = lambda j: F.coalesce(F.shiftright(F.get(places, j + 1), 1), F.size(array)) - 1
+        one = lambda v, j: F.when(v % 2 == 1, F.struct(F.shiftright(v, 1).alias("first"), end(j).alias("last"), _type(F.get(array, F.shiftright(v, 1))).alias("type")))
+        return F.filter(F.transform(places, one), lambda x: x.isNotNull())
 
-
-def _entities(labels: str) -> Column:
-    return F.transform(chunk_array(labels), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["type"].alias("type")))
+    return let(F.filter(F.transform(array, place), lambda v: v >= 0), entities)
 
 
 def chunks(sequences: DataFrame, keys: list[str], labels: str = "labels") -> DataFrame:
     """keys, first, last, type of the entities of each sequence (keys, array of labels)."""
-    return sequences.select(*keys, F.explode(_entities(labels)).alias("e")).select(*keys, "e.first", "e.last", "e.type")
+    return sequences.select(*keys, F.explode(chunk_array(labels)).alias("e")).select(*keys, "e.first", "e.last", "e.type")
 
 
 def entity_prf(sequences: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -43,7 +45,10 @@ def entity_prf(sequences: DataFrame, gold: str = "gold", pred: str = "pred") ->
 
     Everything is counted inside the row; one aggregation follows.
     """
-    both = sequences.select(once(_entities(gold)).alias("g"), once(_entities(pred)).alias("p"), F.size(F.filter(F.arrays_zip(F.col(gold).alias("a"), F.col(pred).alias("b")), lambda x: x["a"] == x["b"])).alias("same"), F.size(gold).alias("n"))
+    def keys(labels: str) -> Column:  # text, which sets are made of by hashing; structs would be compared pair by pair
+        return once(F.transform(chunk_array(labels), lambda x: F.concat_ws(":", x["first"].cast("string"), x["last"].cast("string"), x["type"])))
+
+    both = sequences.select(keys(gold).alias("g"), keys(pred).alias("p"), F.size(F.filter(F.arrays_zip(F.col(gold).alias("a"), F.col(pred).alias("b")), lambda x: x["a"] == x["b"])).alias("same"), F.size(gold).alias("n"))
     counted = both.select(F.size(F.array_intersect("g", "p")).alias("tp"), F.size("g").alias("ng"), F.size("p").alias("np"), "same", "n")
     total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "ng", "np", "same", "n")])
     tp, ng, np_ = (F.col(c) for c in ("tp", "ng", "np"))

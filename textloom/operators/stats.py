@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tags(sentences: DataFrame) -> list[str]:
     """Distinct labels but O, sorted: a small vocabulary, read to name the pivot's columns."""
-    rows = sentences.select(F.explode("labels").alias("l")).filter("l <> 'O'").distinct().orderBy("l").collect()
+    rows = sentences.select(F.explode(F.array_distinct("labels")).alias("l")).filter("l <> 'O'").distinct().orderBy("l").collect()
     return [r["l"] for r in rows]
 
 

@@ -9,24 +9,26 @@ from textloom.functions.labels import normalize, remap
 from textloom.functions.text import let, once
 
 
+BLOCK = 64
+
+
 def with_token_arrays(docs: DataFrame, text: str) -> DataFrame:
     """docs with `_tok` (white-space tokens) and `_end` (where each ends, in code points).
 
-    Ends are prefix sums of gap and token lengths, all inside the row: over blocks of about the square
-    root of the number of tokens, and within each block.
+    Ends are prefix sums of gap and token lengths, all inside the row: within blocks of BLOCK
+    tokens, and over the blocks.
     """
     df = docs
     for name, e in (
         ("_tok", f"array_remove(split(`{text}`, '(?U)\\\\s+'), '')"),
         ("_gap", f"split(`{text}`, '(?U)\\\\S+')"),
         ("_len", "transform(_tok, (t, i) -> length(t) + length(_gap[i]))"),
-        ("_blk", "cast(greatest(1, ceil(sqrt(size(_len)))) as int)"),
-        ("_sum", "transform(sequence(0, _blk), b -> aggregate(slice(_len, b * _blk + 1, _blk), 0, (a, x) -> a + x))"),
-        ("_start", "transform(_sum, (x, b) -> aggregate(slice(_sum, 1, b), 0, (a, y) -> a + y))"),
-        ("_end", "transform(_len, (l, i) -> cast(_start[i div _blk] + aggregate(slice(_len, cast(i div _blk as int) * _blk + 1, i % _blk + 1), 0, (a, x) -> a + x) as int))"),
+        ("_blk", f"transform(sequence(0, size(_len) div {BLOCK}), b -> aggregate(slice(_len, b * {BLOCK} + 1, {BLOCK}), named_struct('s', 0, 'a', cast(array() as array<int>)), (st, x) -> named_struct('s', st.s + x, 'a', array_append(st.a, st.s + x))))"),
+        ("_start", "transform(_blk, (x, b) -> aggregate(slice(_blk, 1, b), 0, (a, y) -> a + y.s))"),
+        ("_end", "flatten(transform(_blk, (x, b) -> transform(x.a, e -> e + _start[b])))"),
     ):
         df = df.withColumn(name, once(F.expr(e)))
-    return df.drop("_gap", "_len", "_blk", "_sum", "_start")
+    return df.drop("_gap", "_len", "_blk", "_start")
 
 
 def token_rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
