@@ -16,7 +16,7 @@ A bitmap of the token pairs that start the benchmark's seeds passes over positio
 join before they are hashed. Everything is built-in expressions. Documents are worked on by the hash
 of their text, so copies share their hits, and rows without an id or with a repeated one are told
 apart. The benchmark's seeds and tokens are broadcast if a count proves them to be small, otherwise
-the joins shuffle. Verification reads only the documents with a hit, through a semi join on the text
+the joins shuffle, that of the seeds with salts. Verification reads only the documents with a hit, through a semi join on the text
 hashes: broadcast up to MAX_BROADCAST_IDS counted ones, and a shuffle join beyond.
 
 Defined results: null and empty texts and items hit nothing; an item_id that repeats counts once, by
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checked_broadcast, fresh, materialize
+from textloom.llm.common import bounded, checked_broadcast, fresh, materialize, salt_of
 
 #: Fixed masks: 1 keeps the token at that place, 0 ignores it. All keep the first two tokens, which is what the
 #: gate looks at. Together they keep a seed in every overlap of 12 to 20 tokens with a fifth of them substituted.
@@ -44,6 +44,7 @@ MAX_BROADCAST_SEEDS = 1_000_000
 #: Tokens of the benchmark that are broadcast at most, at eight bytes each.
 MAX_BROADCAST_TOKENS = 20_000_000
 MAX_BROADCAST_IDS = 2_000_000
+SALTS = 16
 BLOCK = 256
 GATE_BITS = 20
 
@@ -111,7 +112,13 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     lengths = sorted(r[0] for r in texts.filter(F.size("t") < LEAST_LOOSE).select(F.size("t")).distinct().collect())  # fewer than LEAST_LOOSE
     seeds = materialize(_seeds(texts, "item_key", "item_at", lengths).distinct(), "seeds")
     d = _hashed(docs, text_hash(text_col), text_col, "doc_key")
-    hits = _seeds(d, "doc_key", "doc_at", lengths, pair_gate(texts)).join(checked_broadcast(seeds, MAX_BROADCAST_SEEDS), "seed")
+    found = _seeds(d, "doc_key", "doc_at", lengths, pair_gate(texts))
+    if bounded(seeds, MAX_BROADCAST_SEEDS):
+        hits = found.join(F.broadcast(seeds), "seed")
+    else:
+        # a seed of many documents is dealt over SALTS tasks; the benchmark's rows are repeated for each
+        dealt = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = found.withColumn("salt", salt_of(F.col("doc_key"), SALTS)).join(dealt, ["seed", "salt"])
     hits = materialize(hits.select("doc_key", "item_key", "doc_at", "item_at").distinct(), "hits")
 
     # only texts with a hit go on, in blocks of tokens that overlap by the reach of a window,
