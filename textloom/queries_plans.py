@@ -9,7 +9,7 @@ from textloom.functions import dates, labels, text
 from textloom.operators import classification, encoders, ranking, sequence, stats
 from textloom.operators.articles import sanitize
 from textloom.plans import corpus, datasets
-from textloom.queries import CATEGORIES, _rounded, _sql_any, _sql_expression, _sql_scores, _SQL_RANKED, _SQL_TAGGED, _sql_at_k, _sql_words, _tagged, _scores
+from textloom.queries import _rounded, _sql_expression, _sql_scores, _SQL_RANKED, _SQL_TAGGED, _sql_at_k, _sql_words, _tagged, _scores
 from textloom.registry import query, table
 from textloom.scratch import folder
 from textloom.sinks import writers
