@@ -107,3 +107,22 @@ def test_stage_edges(spark, edge_docs, no_docs, small):
     assert mixed.columns == edge_docs.columns and not any((r.text or "").strip() == "" for r in mixed.collect())
     shards = P.sharding(spark, edge_docs, small).collect()
     assert sorted(r.row for r in shards) == list(range(len(rows))) and {r.size for r in shards if r.doc_id in (2, 3)} == {8}
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path, small, monkeypatch):
+    """Each stage leaves what its result reads and nothing else."""
+    from textloom.llm import common
+
+    monkeypatch.setattr(common, "checkpoint_root", lambda spark: f"file://{tmp_path}")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, stage in P.STAGES[1:4]:
+        n = stage(spark, docs, small).count()
+        left = sorted(p.name for p in tmp_path.glob("textloom-*/*"))
+        assert n and left == {"near_dedup": ["drop"], "decontamination": ["found"], "mixing": ["cuts", "plan", "taken"]}[name], name
+        for p in tmp_path.glob("textloom-*"):
+            common._delete(spark, f"file://{p}")
+    with common.scratch(spark):
+        with common.scratch(spark):
+            table = common.keep(common.materialize(docs.select("doc_id")))
+        assert table.count() == docs.count()
+    assert not list(tmp_path.glob("textloom-*/*"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/textloom-{uuid.uuid4().hex}/{label}"
 
 
+_scopes = threading.local()
+
+
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    return _scopes.stack
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that materialize() wrote inside it, but for those given to keep()."""
+    made: list[str] = []
+    _open_scopes().append(made)
+    try:
+        yield
+    finally:
+        _open_scopes().pop()
+        for path in made:
+            _delete(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, as materialize() gave it, which outlives the scratch() at hand and belongs to the one around it."""
+    stack, path = _open_scopes(), df.__dict__["scratch_path"]
+    if stack and path in stack[-1]:
+        stack[-1].remove(path)
+        if len(stack) > 1:
+            stack[-2].append(path)
+    return df
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
@@ -37,17 +71,21 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open_scopes():
+        _open_scopes()[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.__dict__["scratch_path"] = path
+    return table
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table written by materialize() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/textloom-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table of materialize() that nothing reads any more."""
+    _delete(df.sparkSession, df.__dict__["scratch_path"])
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded, checked_broadcast, fresh, materialize, salt_of
+from textloom.llm.common import bounded, checked_broadcast, fresh, keep, materialize, salt_of, scratch
 
 #: Fixed masks: 1 keeps the token at that place, 0 ignores it. All keep the first two tokens, which is what the
 #: gate looks at. Together they keep a seed in every overlap of 12 to 20 tokens with a fifth of them substituted.
@@ -151,7 +151,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs and item_id with an overlap that counts: doc_id, item_id, the most tokens of a window that agree, its length, and where the first such window starts."""
-    found = materialize(_found(docs, benchmark, text_col, item_col, item_text), "found")
+    with scratch(docs.sparkSession):
+        found = keep(materialize(_found(docs, benchmark, text_col, item_col, item_text), "found"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("doc_key"))
     return rows.join(checked_broadcast(found, MAX_BROADCAST_IDS), "doc_key").select("doc_id", "item_id", "n_match", "n_window", "first_token")
 
@@ -159,6 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs without an overlap with the benchmark, with their columns."""
     (bad,) = fresh(docs, "bad")
-    found = materialize(_found(docs, benchmark, text_col, item_col, item_text).select(F.col("doc_key").alias(bad)).distinct(), "found")
+    with scratch(docs.sparkSession):
+        found = keep(materialize(_found(docs, benchmark, text_col, item_col, item_text).select(F.col("doc_key").alias(bad)).distinct(), "found"))
     found = checked_broadcast(found, MAX_BROADCAST_IDS)
     return docs.join(found, text_hash(text_col) == found[bad], "left_anti")

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded, checked_broadcast, fresh, materialize, words
+from textloom.llm.common import bounded, checked_broadcast, fresh, keep, materialize, scratch, words
 
 MAX_EPOCHS = 4
 LEVEL_BITS, CUT_LEVELS = 8, 3
@@ -135,7 +135,7 @@ def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = now.groupBy(*PATH, "rest", "h", "key", "tie").agg(F.sum("tok").alias("tok"))
     before = Window.partitionBy(*PATH).orderBy("h", "key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     taken = places.withColumn("before", F.coalesce(F.sum("tok").over(before), F.lit(0))).filter("before < rest")
-    return cuts.select(*PATH, "cut"), materialize(taken.select(*PATH, "h", "key", "tie"), "taken")
+    return cuts, materialize(taken.select(*PATH, "h", "key", "tie"), "taken")
 
 
 def mixed(docs: DataFrame, mixture: Mixture = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, epoch_col: str | None = None) -> DataFrame:
@@ -145,22 +145,21 @@ def mixed(docs: DataFrame, mixture: Mixture = PRODUCTION, id_col: str = "doc_id"
     tie = F.xxhash64(F.coalesce(text, F.lit("")))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), tie)
     path = [domain, F.col("lang"), F.col("source")]
-    narrow = docs.select(*[p.alias(c) for p, c in zip(path, PATH, strict=True)], key.alias("key"), tie.alias("tie"), F.size(words(text)).cast("long").alias("tok"))
-    narrow = materialize(narrow.filter("tok > 0"), "sizes")
-
-    leaves = materialize(narrow.groupBy(*PATH).agg(F.sum("tok").alias("n")), "leaves")
-    plan = _with(leaves, solve(leaves, mixture)).select(*PATH, F.expr("take div n").alias("full"), F.expr("take % n").alias("rest"))
-    plan = materialize(plan, "plan")
-
     def order(full: Column, k: Column) -> Column:
         return F.xxhash64(F.lit(mixture.seed), full, k)
 
-    cuts, taken = _cut(_with(narrow, plan, broadcast=_small(plan)).withColumn("h", order(F.col("full"), F.col("key"))).drop("full"))
+    with scratch(docs.sparkSession):
+        narrow = docs.select(*[p.alias(c) for p, c in zip(path, PATH, strict=True)], key.alias("key"), tie.alias("tie"), F.size(words(text)).cast("long").alias("tok"))
+        narrow = materialize(narrow.filter("tok > 0"), "sizes")
+        leaves = materialize(narrow.groupBy(*PATH).agg(F.sum("tok").alias("n")), "leaves")
+        plan = _with(leaves, solve(leaves, mixture)).select(*PATH, F.expr("take div n").alias("full"), F.expr("take % n").alias("rest"))
+        plan = keep(materialize(plan, "plan"))
+        cuts, taken = map(keep, _cut(_with(narrow, plan, broadcast=_small(plan)).withColumn("h", order(F.col("full"), F.col("key"))).drop("full")))
 
     # the documents: those before the cut, those of the cut's part that are taken, and whole epochs
     names = dict(zip([*PATH, "key", "tie", "h"], fresh(docs, "domain", "lang", "source", "key", "tie", "hash"), strict=True))
     (end, full, epoch, place) = fresh(docs, "cut", "full", "epoch", "place")
-    decided = _with(plan, cuts, how="left").select(*[F.col(c).alias(names[c]) for c in PATH], F.col("full").alias(full), F.col("cut").alias(end))
+    decided = _with(plan, cuts.select(*PATH, "cut"), how="left").select(*[F.col(c).alias(names[c]) for c in PATH], F.col("full").alias(full), F.col("cut").alias(end))
     decided = checked_broadcast(decided, MAX_BROADCAST)
     rows = docs.filter(text.rlike("[^\\x20\\x09-\\x0D]")).withColumns({**{names[c]: p for p, c in zip(path, PATH, strict=True)}, names["key"]: key, names["tie"]: tie})
     same_leaf = F.lit(True)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checked_broadcast, fresh, materialize, salt_of, spread_back, words
+from textloom.llm.common import checked_broadcast, fresh, keep, materialize, salt_of, scratch, spread_back, words
 from textloom.llm.components import components
 
 SHINGLE = 3
@@ -199,17 +199,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each group of near-duplicates: the one with the smallest id."""
-    return keep_first(docs, grouped(docs, id_col, text_col), id_col, text_col)
+    with scratch(docs.sparkSession):
+        drop = keep(rows_to_drop(grouped(docs, id_col, text_col)))
+    return without(docs, drop, id_col, text_col)
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that groups (doc_id, text_key, gone) does not drop, one of each that are equal in id and text.
+def rows_to_drop(groups: DataFrame) -> DataFrame:
+    """The (id, text hash) pairs of groups (doc_id, text_key, gone) that go, and those that several rows have."""
+    pairs = groups.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_tl_id"), F.col("text_key").alias("_tl_key")).agg(F.max("gone").alias("gone"), F.count("*").alias("n"))
+    return materialize(pairs.filter("gone or n > 1").select("_tl_id", "_tl_key", "gone"), "drop")
+
 
-    The (id, text hash) pairs to drop are broadcast up to MAX_BROADCAST_IDS counted ones, so that the
-    texts need no shuffle; beyond that the join shuffles.
+def without(docs: DataFrame, out: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that rows_to_drop() does not drop, one of each that are equal in id and text.
+
+    The pairs are broadcast up to MAX_BROADCAST_IDS counted ones, so that the texts need no shuffle; beyond
+    that the join shuffles.
     """
-    pairs = groups.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_tl_id"), F.col("text_key").alias("_tl_key")).agg(F.max("gone").alias("gone"), F.count("*").alias("n"))
-    out = materialize(pairs.filter("gone or n > 1").select("_tl_id", "_tl_key", "gone"), "drop")
     (key,) = fresh(docs, "text_key")
     keyed = docs.withColumn(key, text_key(text_col))
 

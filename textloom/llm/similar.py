@@ -40,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checked_broadcast, materialize, salt_of, spread_back
+from textloom.llm.common import checked_broadcast, keep, materialize, salt_of, scratch, spread_back
 from textloom.llm.components import components
-from textloom.llm.simhash import BITS, bit_counts, first_of, keep_first, labelled, lower_words
+from textloom.llm.simhash import BITS, bit_counts, first_of, labelled, lower_words, rows_to_drop, without
 
 SHINGLE = 5
 NUM, DEN = 4, 5
@@ -368,4 +368,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each group of near-duplicates: the one with the smallest id."""
-    return keep_first(docs, grouped(docs, id_col, text_col), id_col, text_col)
+    with scratch(docs.sparkSession):
+        drop = keep(rows_to_drop(grouped(docs, id_col, text_col)))
+    return without(docs, drop, id_col, text_col)
