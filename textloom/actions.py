@@ -172,7 +172,8 @@ def analyze_ner(spark, splits: str, out: str, log):
 @action("query", "run")
 def run_query(spark, query: str, tables: str, out: str | None = None):
     """A registered query over a folder of tables: shown, or written to out."""
-    from textloom.queries import QUERIES
+    import textloom.queries_plans  # noqa: F401  registers its queries, and those of the module it imports
+    from textloom.registry import QUERIES
 
     df = QUERIES[query](spark, tables)
     if out:
