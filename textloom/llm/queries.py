@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, html_text, mixing, pii, quality, sharding, simhash, tokens, url_filter, warc
+from textloom.llm import decontamination, hard_negatives, html_text, lexical_search, line_dedup, mixing, pii, quality, sharding, simhash, tokens, url_filter, warc
 from textloom.llm.common import load
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -92,11 +92,28 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search_sparse_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives_distance_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth row as anchor; labels of every seventh row are one further."""
+    rows = load(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0, scale=256)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii_anchor_expansion, op2_warc_zstd_roundtrip, op3_html_text_density, op4_quality_rules, op5_decontamination_spaced_seeds,
         op6_mixture_budgets, op7_sharding_by_bytes, op8_token_counts, op9_url_temporal_lists, op10_simhash_pigeonring,
+        op11_lexical_search_sparse_product, op12_line_dedup_perfect_hash, op13_hard_negatives_distance_keys,
     )
 }
 
@@ -181,3 +198,35 @@ best as (
 select p.page_id, p.url, coalesce(b.action = 'block', false) as blocked, 'by_' || b.kind as list_name, b.kind, b.key, b.since::varchar as listed_on
 from p left join best b on b.page_id = p.page_id and b.rn = 1
 """
+ORACLES["op11_lexical_search_sparse_product"] = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+g as (select count(*) filter (len(t) > 0)::bigint as n_docs, sum(len(t))::bigint as n_terms from d),
+tf as (select doc_id, n, term, count(*)::bigint as tf from (select doc_id, len(t)::bigint as n, unnest(t) as term from d) group by all),
+w as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from tf, g where term in (select term from q) group by term),
+s as (
+  select q.item_id, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + ((90 * tf.n * g.n_docs) // g.n_terms)))))::bigint as score
+  from q join w using (term) join tf using (term), g group by q.item_id, tf.doc_id),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+ORACLES["op12_line_dedup_perfect_hash"] = r"""
+with l as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)),
+k as (select doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+bad as (select key from k where key <> '' group by key having count(distinct doc_id) >= 10),
+m as (select k.*, k.key in (select key from bad) as gone from k)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from m group by doc_id
+"""
+ORACLES["op13_hard_negatives_distance_keys"] = r"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, id, score from (select *, row_number() over (partition by anchor_id order by score desc, id) as r from s where same) where r <= 5),
+n as (
+  select p.anchor_id, p.id as positive_id, row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as r, s.id as negative_id, p.score as positive_score, s.score as negative_score
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, r::int as rank, negative_id, positive_score, negative_score from n where r <= 10
+"""
