@@ -1,7 +1,7 @@
 import pytest
 from oracles import same
 
-from textloom import queries_plans  # noqa: F401  registers its queries
+from textloom import queries_tables  # noqa: F401  registers all queries
 from textloom import registry as Q
 
 

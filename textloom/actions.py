@@ -114,6 +114,15 @@ def create_keywords(spark, articles: str, out: str, categories: dict, dataset_sr
     write_articles(keyword_articles(_articles(spark, articles), _spec(dataset_src_start, dataset_src_end), categories), out, rows_per_file, ["created", "uuid"])
 
 
+@action("data", "create", "patterns")
+def create_by_patterns(spark, articles: str, out: str, patterns: str, dataset_src_start: str, dataset_src_end: str, rows_per_file: int = 50_000):
+    """Articles with a keyword or expression of a table of them (Parquet), as rolling CSV and JSON files."""
+    from textloom.plans.datasets import articles_by_table
+    from textloom.sinks.writers import write_articles
+
+    write_articles(articles_by_table(_articles(spark, articles), _spec(dataset_src_start, dataset_src_end), spark.read.parquet(patterns)), out, rows_per_file, ["created", "uuid"])
+
+
 @action("data", "create", "companies")
 def create_companies(spark, articles: str, out: str, dataset_src_query: dict, dataset_src_start: str, dataset_src_end: str, rows_per_file: int = 10_000):
     """Articles of companies by keywords and expressions, as rolling CSV and JSON files."""
@@ -172,7 +181,7 @@ def analyze_ner(spark, splits: str, out: str, log):
 @action("query", "run")
 def run_query(spark, query: str, tables: str, out: str | None = None):
     """A registered query over a folder of tables: shown, or written to out."""
-    import textloom.queries_plans  # noqa: F401  registers its queries, and those of the module it imports
+    import textloom.queries_tables  # noqa: F401  registers its queries, and those of the modules it imports
     from textloom.registry import QUERIES
 
     df = QUERIES[query](spark, tables)
