@@ -334,3 +334,26 @@ def test_native_plans(spark, small):
     for f in (queries.op4_quality_rules, queries.op5_decontamination_spaced_seeds, queries.op9_url_temporal_lists):
         plan = f(spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_decontamination_of_repeated_tokens(spark):
+    """Runs and periods on both sides: as many alignments as there are different surroundings, and the rows of all alignments."""
+    import duckdb
+
+    junk = {1: "a " * 700, 2: "x y z " * 90, 3: "q " + "a " * 30 + "r s " * 40 + "a " * 25 + "q", 4: "b " * 19 + "c", 5: "a b " * 60 + "c d e f g h i j k l m n o p q r s t u v w", 6: "b " * 9 + "c"}
+    items = {1: "a " * 60, 2: "y z x " * 12, 3: "r s " * 12 + "a " * 15, 4: "b " * 40, 5: "b " * 8 + "c c", 6: "a b " * 8 + "c d e f g h i j"}
+    docs, bench = spark.createDataFrame(list(junk.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", junk), ("benchmark", "item_id", items)):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", list(rows.items()))
+    names = ["doc_id", "item_id", "n_match", "n_window", "first_token"]
+    want = con.sql(f"select {', '.join(names)} from ({queries.ORACLES['op5_decontamination_spaced_seeds']})").fetchall()
+    assert sorted(tuple(r[n] for n in names) for r in decontamination.contaminated(docs, bench).collect()) == sorted(want)
+    long = spark.createDataFrame([(1, "a " * 20_000), (2, "a b c " * 20_000)], "doc_id long, text string")
+    many = spark.createDataFrame([(1, "a " * 300), (2, "c a b " * 100)], "item_id long, text string")
+    lengths = [300]
+    for rows, key in ((long, "doc_id"), (many, "item_id")):
+        seeds = decontamination._seeds(decontamination._hashed(rows, F.col(key), "text", "k"), "k", "at", lengths)
+        assert seeds.count() < 2_000  # not the 200,000 places
+    assert {(r.doc_id, r.item_id, r.n_match, r.first_token) for r in decontamination.contaminated(long, many).collect()} >= {(1, 1, 20, 0)}

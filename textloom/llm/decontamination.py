@@ -12,6 +12,10 @@ such an overlap are substituted, one of the masks has a seed left in it (the tes
 so every overlap that counts is found, to a hash collision. Items shorter than LEAST_LOOSE have seeds
 of all their tokens.
 
+Places of one text with the same tokens around them, as far as an overlap reaches, give the same overlaps:
+the first of them stands for all, on both sides of the join. So a text of one repeated token or line meets
+an item of the same kind in a few alignments, not in as many as there are pairs of places.
+
 A bitmap of the token pairs that start the benchmark's seeds passes over positions that cannot
 join before they are hashed. Everything is built-in expressions. Documents are worked on by the hash
 of their text, so copies share their hits, and rows without an id or with a repeated one are told
@@ -47,6 +51,10 @@ MAX_BROADCAST_IDS = 2_000_000
 SALTS = 16
 BLOCK = 256
 GATE_BITS = 20
+#: How far an overlap may begin before a seed in it.
+REACH = MIN_OVERLAP - SHORTEST_SPAN
+#: The tokens around position i, which decide what is found there, and how many of them stand before it.
+AROUND = f"xxhash64(least(i, {REACH}), slice(t, greatest(1, i + 1 - {REACH}), least(i, {REACH}) + {MIN_OVERLAP}))"
 
 
 def tokens(text: Column) -> Column:
@@ -81,7 +89,11 @@ def _shapes(lengths: list[int]) -> list[tuple[str, str]]:
 
 
 def pair_gate(hashed: DataFrame) -> str:
-    """A bitmap of the token pairs at which the benchmark's seeds start, as longs in text: 2^GATE_BITS bits, whatever its size."""
+    """Places of one text with the same tokens around them, as far as an overlap reaches, give the same overlaps:
+the first of them stands for all, on both sides of the join. So a text of one repeated token or line meets
+an item of the same kind in a few alignments, not in as many as there are pairs of places.
+
+A bitmap of the token pairs at which the benchmark's seeds start, as longs in text: 2^GATE_BITS bits, whatever its size."""
     at = hashed.filter("size(t) > 1").select(F.explode(F.expr(f"transform(slice(t, 1, size(t) - 1), (x, i) -> {PAIR})")).alias("p"))
     rows = at.groupBy(F.expr("cast(shiftright(p, 6) as int)").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).collect()
     found = {r["k"]: r["v"] for r in rows}
@@ -89,7 +101,7 @@ def pair_gate(hashed: DataFrame) -> str:
 
 
 def _seeds(hashed: DataFrame, id_name: str, at: str, lengths: list[int], gate: str | None = None) -> DataFrame:
-    """(id, at, seed) for each shape and each position that has it.
+    """(id, at, seed) for each shape and each position that has it, the first of those with equal seeds and surroundings.
 
     With a gate, positions whose first two tokens start no seed of the benchmark are passed over
     before their seeds are hashed; equal seeds have equal pairs, so none that could join is lost.
@@ -100,8 +112,10 @@ def _seeds(hashed: DataFrame, id_name: str, at: str, lengths: list[int], gate: s
         rows = rows.withColumn("bits", F.split(F.lit(gate), ",").cast("array<bigint>"))
         test = f"filter({test}, i -> size(t) = 1 or (i + 1 < size(t) and getbit(bits[cast(shiftright({PAIR}, 6) as int)], cast({PAIR} & 63 as int)) = 1))"
     each = ", ".join(f"if({holds}, {seed}, null)" for holds, seed in _shapes(lengths))
-    arrays = f"flatten(transform({test}, i -> transform(filter(array({each}), x -> x is not null), x -> named_struct('at', i, 'seed', x))))"
-    return rows.select(id_name, F.explode(F.expr(arrays)).alias("s")).select(id_name, F.col("s.at").alias(at), F.col("s.seed").alias("seed"))
+    here = f"array(named_struct('at', i, 'around', {AROUND}, 'seeds', filter(array({each}), x -> x is not null)))"
+    places = f"flatten(transform({test}, i -> filter({here}, x -> size(x.seeds) > 0)))"
+    rows = rows.select(id_name, F.explode(F.expr(places)).alias("s")).select(id_name, F.col("s.at").alias(at), F.col("s.around").alias("around"), F.explode("s.seeds").alias("seed"))
+    return rows.groupBy(id_name, "seed", "around").agg(F.min(at).alias(at)).select(id_name, at, "seed")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> DataFrame:
@@ -123,7 +137,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
 
     # only texts with a hit go on, in blocks of tokens that overlap by the reach of a window,
     # so that a hit carries a bounded piece of its text however long the text is
-    reach = MIN_OVERLAP - SHORTEST_SPAN
+    reach = REACH
     (key,) = fresh(docs, "hit")
     with_hit = checked_broadcast(materialize(hits.select(F.col("doc_key").alias(key)).distinct(), "with_hit"), MAX_BROADCAST_IDS)
     again = _hashed(docs.join(with_hit, text_hash(text_col) == with_hit[key], "left_semi"), text_hash(text_col), text_col, "doc_key")
