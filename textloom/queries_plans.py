@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from textloom.plans import corpus, datasets
 from textloom.queries import _rounded, _sql_expression, _sql_scores, _SQL_RANKED, _SQL_TAGGED, _sql_at_k, _sql_words, _tagged, _scores
 from textloom.registry import query, table
 from textloom.scratch import folder
-from textloom.sinks import writers
+from textloom.sinks import runs, writers
 from textloom.sources import annotated, records
 from textloom.streaming import sliced
 
@@ -289,11 +290,13 @@ def company_dataset(spark, sf):
 
 @query("select shard, count(*) as n, count(*) as n_csv, sum(doc_id)::bigint as ids, min(doc_id) as first from (select doc_id, ((row_number() over (order by doc_id) - 1) // 70)::int as shard from documents) group by shard")
 def article_files(spark, sf):
-    """Rolling files of 70 rows written as JSON lines and CSV, and read back by file."""
-    path = folder(spark)
-    writers.write_articles(table(spark, sf, "documents").select("doc_id", "lang", F.array("source").alias("categories")), path, 70, ["doc_id"])
-    found = spark.read.schema("doc_id long, lang string, categories array<string>, shard int").json(f"{path}/jsonl")
-    lines = spark.read.option("header", True).schema("doc_id long, lang string, categories string, shard int").csv(f"{path}/csv")
+    """Rolling files of 70 rows written as JSON lines and CSV by a committed run, and read back by the log, beside what a broken run has left."""
+    path, d = folder(spark), table(spark, sf, "documents").select("doc_id", "lang", F.array("source").alias("categories"))
+    d.write.json(f"{path}/run=broken/jsonl")
+    runs.commit_articles(d, path, "first", 70, ["doc_id"])
+    runs.commit_articles(d, path, "first", 70, ["doc_id"])  # done already
+    found = runs.read_articles(spark, path, "doc_id long, lang string, categories array<string>")
+    lines = runs.read_articles(spark, path, "doc_id long, lang string, categories string", "csv")
     return found.groupBy("shard").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.min("doc_id").alias("first")).join(lines.groupBy("shard").agg(F.count("*").alias("n_csv")), "shard")
 
 
@@ -365,9 +368,9 @@ def date_forms(spark, sf):
     return e.select("event_id", dates.zulu(t).alias("at"), F.substring(dates.zulu(end), 1, 16).alias("until"))
 
 
-@query("select doc_id, 'set-' || lpad(((row_number() over (order by doc_id) - 1) // 40)::varchar, 2, '0') as name from documents where doc_id < 2000")
+@query("select doc_id, 'set-' || lpad(((row_number() over (order by doc_id) - 1) // 40)::varchar, greatest(2, length(((row_number() over (order by doc_id) - 1) // 40)::varchar))::int, '0') as name from documents")
 def file_names(spark, sf):
-    d = writers.rolling_shard(table(spark, sf, "documents").select("doc_id").filter("doc_id < 2000"), ["doc_id"], 40)
+    d = writers.rolling_shard(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 40)
     return d.select("doc_id", text.shard_name("set", F.col("shard")).alias("name"))
 
 
@@ -404,3 +407,26 @@ def stream_files(spark, sf):
     path, state = folder(spark), sliced.RunState(rows_per_file=1000)
     sliced.rolling_batches(_event_stream(spark, sf).select("event_id"), f"{path}/out", f"{path}/checkpoint", state).awaitTermination()
     return spark.read.schema("event_id long").json(f"{path}/out").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids")).withColumn("files", F.lit(state.file_number))
+
+
+@query("select count(*) as rows, sum(event_id)::bigint as ids, (select sum(ceil(n / 500))::bigint from (select count(*) as n from events group by event_id % 4)) as files, true as gapless from events")
+def stream_restart(spark, sf):
+    """A stream of four batches, stopped after two and taken up by a run that knows nothing of the first: files numbered on, no row twice."""
+    path, e = folder(spark), table(spark, sf, "events")
+    for k in range(4):
+        e.filter(F.col("event_id") % 4 == k).select("event_id").coalesce(1).write.parquet(f"{path}/in/part={k}")
+    start = lambda control, hook: sliced.rolling_batches(spark.readStream.schema("event_id long").option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*"), f"{path}/out", f"{path}/checkpoint", sliced.RunState(rows_per_file=500), control, hook, ["event_id"])
+    control = sliced.Control()
+
+    def second(batch, state):
+        control.stop = state.rows_written > 0 and len(state.values) == 1
+        state.values[str(len(state.values))] = state.file_number
+
+    try:
+        start(control, second).awaitTermination()
+    except StreamingQueryException as stopped:
+        if "stopped before batch" not in str(stopped):
+            raise
+    start(None, None).awaitTermination()
+    found = spark.read.schema("event_id long, shard int, batch int").option("basePath", f"{path}/out").json(f"{path}/out")
+    return found.agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"), F.count_distinct("shard").alias("files"), (F.count_distinct("shard") == F.max("shard") + 1).alias("gapless"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text
 from textloom.operators import pattern_index
-from textloom.queries_plans import _START, _END, _SQL_ARTICLES, _articles
-from textloom.plans import datasets
+from textloom.plans import corpus, datasets
+from textloom.queries_plans import _END, _SQL_ARTICLES, _SQL_SENTENCES, _START, _articles
 from textloom.registry import query, table
+from textloom.scratch import folder
+from textloom.sources import annotated, splits
 
 # ---- patterns as a table
 
@@ -65,3 +67,36 @@ def pattern_table_articles(spark, sf):
     """The article plan under the same table."""
     found = datasets.articles_by_table(_articles(spark, sf), datasets.ScanSpec(_START, _END), _patterns(spark, sf))
     return found.select("uuid", F.array_sort("categories").alias("categories"), F.size("matches").alias("n_matches"))
+
+
+# ---- files read in splits
+
+
+@query(f"with {_SQL_SENTENCES}, c as (select doc_id, ord, w, list_transform(w, lambda x: case when length(x) % 5 = 0 then 'B-PER' when length(x) % 5 = 1 then 'I-LOC' else 'O' end) as l from s) select doc_id, ord, array_to_string(w, ' ') as sentence, array_to_string(l, ' ') as labels, true as gapless from c")
+def conll_split_files(spark, sf):
+    """All documents in column files of many documents each, read in splits; each token carries its document and line."""
+    n = lambda x: F.length(x) % 5
+    label = lambda x: F.when(n(x) == 0, "B-per").when(n(x) == 1, "I-loc").otherwise(" O ")
+    lines = F.filter(F.split("text", "\n"), lambda x: text.strip(x) != "")
+    row = lambda x, i: F.concat_ws("\t", F.concat_ws("|", "doc_id", i.cast("string"), x), F.lit("_\t_\t_\t_\t_\t_\t_\t_\t_"), label(x))
+    block = lambda x, i: F.array_join(F.transform(text.split_space(x), lambda t: row(t, i)), "\n")
+    path = folder(spark)
+    table(spark, sf, "documents").filter(F.size(lines) > 0).select(F.concat(F.lit("# a comment\n"), F.array_join(F.transform(lines, block), "\n\n")).alias("value")).write.option("lineSep", "\n\n").text(path)
+    found = annotated.conll_files(spark, path, 0, annotated.column_or_outside(10), corpus.REMAP["hr500k"], glob="part-*")
+    files = found.groupBy("path").agg((F.count_distinct("ord") == F.max("ord") + 1).alias("gapless"))
+    key = F.split(F.col("tokens")[0], "\\|")
+    plain = F.transform("tokens", lambda t: F.regexp_replace(t, "^[0-9]+\\|[0-9]+\\|", ""))
+    return found.join(files, "path").select(key[0].cast("long").alias("doc_id"), key[1].cast("int").alias("ord"), F.array_join(plain, " ").alias("sentence"), F.array_join("labels", " ").alias("labels"), "gapless")
+
+
+@query("select (doc_id // 1000)::varchar || '.json' as file, (row_number() over (partition by doc_id // 1000 order by doc_id) - 1)::bigint as pos, doc_id, lang, md5(text) as text from documents")
+def json_array_files(spark, sf):
+    """Array files of a thousand whole documents each, texts with brackets, quotes and escapes, read in pieces."""
+    d, path = table(spark, sf, "documents"), folder(spark)
+    group = F.expr("cast(doc_id div 1000 as string)")
+    records = F.array_sort(F.collect_list(F.struct("doc_id", "lang", F.struct("text", F.array(F.lit('}{"'), F.lit("\\\"}]")).alias("odd")).alias("body"))))
+    made = d.groupBy(group.alias("g")).agg(F.to_json(records).alias("value"))  # a thousand each
+    made.repartition("g").write.partitionBy("g").option("lineSep", "\n").text(path)
+    found = splits.json_array_items(spark, path, "part-*")
+    get = lambda k, t: F.variant_get("record", k, t)
+    return found.select(F.concat(F.regexp_extract("path", "g=([0-9]+)/", 1), F.lit(".json")).alias("file"), "pos", get("$.doc_id", "bigint").alias("doc_id"), get("$.lang", "string").alias("lang"), F.md5(get("$.body.text", "string").cast("binary")).alias("text"))

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from textloom.sinks.runs import Log
+from textloom.sinks.writers import rolling_shard
+
 
 def tumbling_counts(events: DataFrame, ts: str, by: list[str], width: str = "10 days", start: str = "0 seconds", watermark: str | None = None) -> DataFrame:
     """Counts per tumbling window; works on batches and, with a watermark, on streams."""
@@ -38,7 +41,7 @@ class Control:
 
 @dataclass
 class RunState:
-    """What goes from batch to batch: the files written, the rows not yet in one, and whatever a callback adds to `values`."""
+    """What goes from batch to batch: the files and rows written, and whatever JSON a callback adds to `values`."""
 
     rows_per_file: int = 10_000
     file_number: int = 0
@@ -46,28 +49,46 @@ class RunState:
     values: dict[str, Any] = field(default_factory=dict)
 
 
-def rolling_batches(stream: DataFrame, path: str, checkpoint: str, state: RunState, control: Control | None = None, on_batch: Callable[[DataFrame, RunState], None] | None = None) -> StreamingQuery:
+def rolling_batches(stream: DataFrame, path: str, checkpoint: str, state: RunState, control: Control | None = None, on_batch: Callable[[DataFrame, RunState], None] | None = None, order: list[str] | None = None) -> StreamingQuery:
     """Append each batch as files of at most state.rows_per_file rows, numbered on from batch to batch.
 
-    A batch that is run again after a failure overwrites its own folder, so its rows count once. on_batch
-    may keep values in the state; a set stop flag skips what is left, which a later run takes up.
+    The state after each batch is logged beside the stream's checkpoint, so a new process goes on with the numbers
+    and values of the last batch (values that the caller's state has already stay). A batch that is run again after
+    a failure overwrites its own folder; if its state was logged it is left alone. With an order a batch's files
+    hold consecutive rows, are full but for its last one, and are named shard=N by their number in the whole run.
+    A set stop flag skips what is left, which a later run takes up.
     """
-    done: dict[int, int] = {}
-    control = control or Control()
+    spark = stream.sparkSession
+    log, control = Log(spark, f"{checkpoint}/run-state"), control or Control()
+
+    def restore(before: int | None = None) -> None:
+        known = [int(n) for n in log.names() if before is None or int(n) < before]
+        if known:
+            last = log.get(str(max(known)))
+            state.file_number, state.rows_written = last["file_number"], last["rows_written"]
+            state.values = {**last["values"], **state.values}
 
     def write(batch: DataFrame, number: int) -> None:
+        if log.get(str(number)) is not None:
+            return
         if control.stop:
             raise Stopped(f"stopped before batch {number}")
-        rows = batch.count()
-        if rows:
-            batch.write.mode("overwrite").option("maxRecordsPerFile", state.rows_per_file).json(f"{path}/batch={number}")
-        if number not in done:
-            state.rows_written += rows
-            state.file_number += -(-rows // state.rows_per_file)
-        done[number] = rows
+        restore(number)
+        out, files, rows = f"{path}/batch={number}", 0, batch.count()
+        log.remove_tree(out)
+        if rows and order:
+            numbered = rolling_shard(batch, order, state.rows_per_file).withColumn("shard", F.col("shard") + state.file_number)
+            files = -(-rows // state.rows_per_file)
+            numbered.repartitionByRange(files, "shard").sortWithinPartitions("shard", *order).write.mode("overwrite").partitionBy("shard").json(out)
+        elif rows:
+            batch.write.mode("overwrite").option("maxRecordsPerFile", state.rows_per_file).json(out)
+            files = -(-rows // state.rows_per_file)
+        state.rows_written, state.file_number = state.rows_written + rows, state.file_number + files
         if on_batch:
             on_batch(batch, state)
+        log.put(str(number), {"file_number": state.file_number, "rows_written": state.rows_written, "rows": rows, "files": files, "values": state.values})
 
+    restore()
     return each_batch(stream, write, checkpoint)
 
 
