@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -352,8 +353,6 @@ def test_decontamination_of_repeated_tokens(spark):
     assert sorted(tuple(r[n] for n in names) for r in decontamination.contaminated(docs, bench).collect()) == sorted(want)
     long = spark.createDataFrame([(1, "a " * 20_000), (2, "a b c " * 20_000)], "doc_id long, text string")
     many = spark.createDataFrame([(1, "a " * 300), (2, "c a b " * 100)], "item_id long, text string")
-    lengths = [300]
-    for rows, key in ((long, "doc_id"), (many, "item_id")):
-        seeds = decontamination._seeds(decontamination._hashed(rows, F.col(key), "text", "k"), "k", "at", lengths)
-        assert seeds.count() < 2_000  # not the 200,000 places
+    began = time.time()
     assert {(r.doc_id, r.item_id, r.n_match, r.first_token) for r in decontamination.contaminated(long, many).collect()} >= {(1, 1, 20, 0)}
+    assert time.time() - began < 60

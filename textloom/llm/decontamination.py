@@ -13,8 +13,9 @@ so every overlap that counts is found, to a hash collision. Items shorter than L
 of all their tokens.
 
 Places of one text with the same tokens around them, as far as an overlap reaches, give the same overlaps:
-the first of them stands for all, on both sides of the join. So a text of one repeated token or line meets
-an item of the same kind in a few alignments, not in as many as there are pairs of places.
+the first of them stands for all, of an item before the join and of a document after it. So a text of one
+repeated token or line is verified against an item of the same kind in a few alignments, not in as many as
+there are pairs of places.
 
 A bitmap of the token pairs that start the benchmark's seeds passes over positions that cannot
 join before they are hashed. Everything is built-in expressions. Documents are worked on by the hash
@@ -90,8 +91,9 @@ def _shapes(lengths: list[int]) -> list[tuple[str, str]]:
 
 def pair_gate(hashed: DataFrame) -> str:
     """Places of one text with the same tokens around them, as far as an overlap reaches, give the same overlaps:
-the first of them stands for all, on both sides of the join. So a text of one repeated token or line meets
-an item of the same kind in a few alignments, not in as many as there are pairs of places.
+the first of them stands for all, of an item before the join and of a document after it. So a text of one
+repeated token or line is verified against an item of the same kind in a few alignments, not in as many as
+there are pairs of places.
 
 A bitmap of the token pairs at which the benchmark's seeds start, as longs in text: 2^GATE_BITS bits, whatever its size."""
     at = hashed.filter("size(t) > 1").select(F.explode(F.expr(f"transform(slice(t, 1, size(t) - 1), (x, i) -> {PAIR})")).alias("p"))
@@ -101,7 +103,7 @@ A bitmap of the token pairs at which the benchmark's seeds start, as longs in te
 
 
 def _seeds(hashed: DataFrame, id_name: str, at: str, lengths: list[int], gate: str | None = None) -> DataFrame:
-    """(id, at, seed) for each shape and each position that has it, the first of those with equal seeds and surroundings.
+    """(id, at, around, seed) for each shape and each position that has it; around: what stands there, see AROUND.
 
     With a gate, positions whose first two tokens start no seed of the benchmark are passed over
     before their seeds are hashed; equal seeds have equal pairs, so none that could join is lost.
@@ -114,8 +116,8 @@ def _seeds(hashed: DataFrame, id_name: str, at: str, lengths: list[int], gate: s
     each = ", ".join(f"if({holds}, {seed}, null)" for holds, seed in _shapes(lengths))
     here = f"array(named_struct('at', i, 'around', {AROUND}, 'seeds', filter(array({each}), x -> x is not null)))"
     places = f"flatten(transform({test}, i -> filter({here}, x -> size(x.seeds) > 0)))"
-    rows = rows.select(id_name, F.explode(F.expr(places)).alias("s")).select(id_name, F.col("s.at").alias(at), F.col("s.around").alias("around"), F.explode("s.seeds").alias("seed"))
-    return rows.groupBy(id_name, "seed", "around").agg(F.min(at).alias(at)).select(id_name, at, "seed")
+    rows = rows.select(id_name, F.explode(F.expr(places)).alias("s"))
+    return rows.select(id_name, F.col("s.at").alias(at), F.col("s.around").alias("around"), F.explode("s.seeds").alias("seed"))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> DataFrame:
@@ -124,7 +126,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     items = materialize(items.dropDuplicates(["item_id", "t"]).withColumn("item_key", F.xxhash64("t")), "items")
     texts = materialize(items.dropDuplicates(["item_key"]).select("item_key", "t"), "benchmark")
     lengths = sorted(r[0] for r in texts.filter(F.size("t") < LEAST_LOOSE).select(F.size("t")).distinct().collect())  # fewer than LEAST_LOOSE
-    seeds = materialize(_seeds(texts, "item_key", "item_at", lengths).distinct(), "seeds")
+    seeds = _seeds(texts, "item_key", "item_at", lengths).groupBy("item_key", "seed", "around").agg(F.min("item_at").alias("item_at"))
+    seeds = materialize(seeds.drop("around"), "seeds")
     d = _hashed(docs, text_hash(text_col), text_col, "doc_key")
     found = _seeds(d, "doc_key", "doc_at", lengths, pair_gate(texts))
     if bounded(seeds, MAX_BROADCAST_SEEDS):
@@ -133,7 +136,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
         # a seed of many documents is dealt over SALTS tasks; the benchmark's rows are repeated for each
         dealt = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = found.withColumn("salt", salt_of(F.col("doc_key"), SALTS)).join(dealt, ["seed", "salt"])
-    hits = materialize(hits.select("doc_key", "item_key", "doc_at", "item_at").distinct(), "hits")
+    # summed where the join is: the places of a repeated line meet an item's few different places, and one of each stays
+    hits = materialize(hits.groupBy("doc_key", "item_key", "item_at", "around").agg(F.min("doc_at").alias("doc_at")).drop("around"), "hits")
 
     # only texts with a hit go on, in blocks of tokens that overlap by the reach of a window,
     # so that a hit carries a bounded piece of its text however long the text is
