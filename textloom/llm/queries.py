@@ -47,7 +47,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-#: The rule-made list log of op9: per host, per parent domain and per leading path segment, dated by a digest of the
+#: The rule-made list log of op9: per host, per parent domain and per one and two leading path segments, dated by a digest of the
 #: key: listed, removed after 90 days, listed again with the other action after 150, and at the same instant removed
 #: and listed where the digest says so. Keys are written in other forms than the captures have.
 LIST_START = "2024-01-01"
@@ -56,13 +56,14 @@ LIST_START = "2024-01-01"
 def list_entries(pages: DataFrame) -> DataFrame:
     """A dated list log over the hosts of pages: list_name, kind, key, action, listed_at."""
     host, path = url_filter.host_of(F.col("url")), url_filter.segments_of(url_filter.path_of(F.col("url")))
-    hosts = pages.select(host.alias("host"), F.coalesce(F.get(path, F.lit(0)), F.lit("")).alias("seg")).filter("host != ''").distinct()
+    hosts = pages.select(host.alias("host"), F.array_join(F.slice(path, 1, 1), "/").alias("one"), F.array_join(F.slice(path, 1, 2), "/").alias("two")).filter("host != ''").distinct()
     keys = hosts.select(
         F.explode(
             F.array(
                 F.struct(F.lit("host").alias("kind"), F.col("host").alias("key")),
                 F.struct(F.lit("domain").alias("kind"), F.substring_index("host", ".", -2).alias("key")),
-                F.struct(F.lit("prefix").alias("kind"), F.when(F.col("seg") != "", F.concat("host", F.lit("/"), "seg")).alias("key")),
+                F.struct(F.lit("prefix").alias("kind"), F.when(F.col("one") != "", F.concat("host", F.lit("/"), "one")).alias("key")),
+                F.struct(F.lit("prefix").alias("kind"), F.when(F.col("two") != "", F.concat("host", F.lit("/"), "two")).alias("key")),
             )
         ).alias("k")
     ).select("k.kind", "k.key").filter("key is not null").distinct()
@@ -176,11 +177,12 @@ with p as (
     regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '\.+$', ''), '^www\.', '') as host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') as segs
   from pages),
-hosts as (select distinct host, coalesce(segs[1], '') as seg from p where host <> ''),
+hosts as (select distinct host, array_to_string(segs[1:1], '/') as one, array_to_string(segs[1:2], '/') as two from p where host <> ''),
 keys as (
   select 'host' as kind, host as key from hosts
   union select 'domain', array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') from hosts
-  union select 'prefix', host || '/' || seg from hosts where seg <> ''),
+  union select 'prefix', host || '/' || one from hosts where one <> ''
+  union select 'prefix', host || '/' || two from hosts where two <> ''),
 dated as (select kind, key, x, date '2024-01-01' + x % 300 as start from (select kind, key, ('0x' || substr(md5(key), 1, 6))::int as x from keys) where x % 3 = 0),
 e as (
   select kind, key, case when x % 2 = 0 then 'block' else 'allow' end as action, start as since, start + 90 as until from dated
