@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from textloom.functions.text import let
 
 
+#: Beyond so many patterns a text is first searched for any of them at once.
+FEW_PATTERNS = 16
+
+
 def _quoted(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
@@ -60,18 +64,20 @@ def coarse_any(text: Column, keywords: list[str]) -> Column:
 def _matches(text: Column, patterns: list[tuple[str, str, str]]) -> Column:
     """array<struct<category, match>> of (category, match, pattern) found in text.
 
-    Texts without any are told by one alternation per set of flags; only others are searched for each pattern.
+    Few patterns are each searched for. With many, texts without any are told first by one alternation per set
+    of flags.
     """
     none = F.expr("cast(array() as array<struct<category:string,match:string>>)")
     if not patterns:
         return none
+    found = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(c).alias("category"), F.lit(m).alias("match"))) for c, m, p in patterns]))
+    if len(patterns) <= FEW_PATTERNS:
+        return found
     by_flags: dict[str, list[str]] = {}
     for _, _, p in patterns:
         flags, _, rest = p.partition(")")
         by_flags.setdefault(flags + ")", []).append(rest)
-    some = reduce(or_, [text.rlike(_any_of(ps, flags)) for flags, ps in by_flags.items()])
-    found = [F.when(text.rlike(p), F.struct(F.lit(c).alias("category"), F.lit(m).alias("match"))) for c, m, p in patterns]
-    return F.when(some, F.array_compact(F.array(*found))).otherwise(none)
+    return F.when(reduce(or_, [text.rlike(_any_of(ps, flags)) for flags, ps in by_flags.items()]), found).otherwise(none)
 
 
 def keyword_matches(text: Column, categories: dict[str, list[str]], case_mode: str = "reference") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.labels import sort_key
+from textloom.sinks.writers import rolling_shard
 
 TYPE_CODES = ("binary", "multilabel", "multiclass")
 
@@ -17,6 +18,13 @@ def vocabulary(df: DataFrame, column: str) -> list:
     return [r["v"] for r in values.filter("v is not null").distinct().orderBy("v").collect()]
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """label, id: the distinct labels of a scalar or array column in order, numbered from 0, however many there are."""
+    array = dict(df.dtypes)[column].startswith("array")
+    labels = df.select(F.explode(column).alias("label") if array else F.col(column).alias("label")).filter("label is not null").distinct()
+    return rolling_shard(labels, ["label"], 1).select("label", F.col("shard").alias("id"))
+
+
 def first_seen(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """label, id: the distinct labels of a scalar or array column, numbered as they first occur in order."""
     array = dict(df.dtypes)[column].startswith("array")

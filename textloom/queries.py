@@ -100,10 +100,15 @@ def kw_expr_merge(spark, sf):
 _START, _END = "1995-01-01", "2001-08-01"
 
 
-@query(f"select i::int as slice_id, (timestamp '{_START}' + i * interval 10 day)::date::varchar as step_start, least(timestamp '{_START}' + (i + 1) * interval 10 day, timestamp '{_END}')::date::varchar as step_end, round(i * 10.0 / date_diff('day', date '{_START}', date '{_END}'), 9) as progress from range(0, (date_diff('day', date '{_START}', date '{_END}') // 10) + 1) t(i)")
+@query(
+    "with b as (select min(o_orderdate)::date as s, max(o_orderdate)::date + 1 as e from orders), t as (select s, e, unnest(range(0, date_diff('day', s, e) // 10 + 1)) as i from b), "
+    "c as (select (date_diff('day', s, o_orderdate::date) // 10) as i, count(*) as n from orders, b group by 1) "
+    "select t.i::int as slice_id, (s + (t.i * 10)::int)::varchar as step_start, least(s + ((t.i + 1) * 10)::int, e)::varchar as step_end, round(t.i * 10.0 / date_diff('day', s, e), 9) as progress, coalesce(n, 0) as n from t left join c using (i)"
+)
 def time_slices(spark, sf):
-    s = slices.slice_table(spark, _START, _END)
-    return s.select("slice_id", F.to_date("step_start").cast("string").alias("step_start"), F.to_date("step_end").cast("string").alias("step_end"), F.round("progress", 9).alias("progress"))
+    """The slices of the orders' own range, with their rows."""
+    s = slices.slices_of(table(spark, sf, "orders"), "o_orderdate")
+    return s.select("slice_id", F.to_date("step_start").cast("string").alias("step_start"), F.to_date("step_end").cast("string").alias("step_end"), F.round("progress", 9).alias("progress"), "n")
 
 
 @query(f"select (date_diff('day', date '{_START}', o_orderdate::date) // 10)::int as slice, count(*) as n, sum(o_totalprice)::decimal(20,2)::double as total from orders where o_orderdate >= '{_START}' and o_orderdate < '{_END}' group by 1")
@@ -265,8 +270,7 @@ def label_counts(spark, sf):
 
 @query("select label, (row_number() over (order by label) - 1)::int as id from (select distinct event_type as label from events)")
 def label_index(spark, sf):
-    enc = encoders.MulticlassEncoder.fit(table(spark, sf, "events"), "event_type")
-    return spark.createDataFrame(list(enc.labels_to_ids().items()), "label string, id int")
+    return encoders.numbered(table(spark, sf, "events"), "event_type")
 
 
 @query(f"with {_SQL_TAGGED}, a as (select distinct unnest(l) as label from tagged union select 'O') select label, (row_number() over (order by case when label = 'O' then '' else substr(label, 3) end, label) - 1)::int as id from a")

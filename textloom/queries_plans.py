@@ -138,17 +138,16 @@ def standoff_lines(spark, sf):
 
 # ---- labels, encoders and metrics
 
-_FORMS = (" NER=B-per|SpaceAfter=No ", "o", "O|x", "I-loc", "B-deriv-per", "")
-
-
 @query(
-    "with r as (select doc_id, case doc_id % 6 " + " ".join(f"when {i} then '{f}'" for i, f in enumerate(_FORMS)) + " end as raw from documents), a as (select *, split_part(trim(raw), '|', 1) as s from r), "
-    "b as (select *, case when starts_with(s, 'NER=') then substr(s, 5) else s end as n from a), c as (select *, case when lower(n) = 'o' then 'O' when n in ('B-per', 'B-deriv-per') then 'B-PER' when n = 'I-loc' then 'I-LOC' else n end as label from b) "
-    "select doc_id, label, case when contains(label, '-') then split_part(label, '-', 2) else '' end as type, split_part(label, '-', 1) as prefix, coalesce(nullif(regexp_extract(trim(raw), '(?:^|\\|)NER=([^|]*)', 1), ''), 'O') as key from c"
+    "with r as (select doc_id, case doc_id % 6 when 0 then ' NER=B-' || lang || '|SpaceAfter=' || source || ' ' when 1 then 'o' when 2 then 'O|' || lang when 3 then 'I-loc' when 4 then 'B-deriv-per' else lang || '-' || source || '|NER=' || lang end as raw from documents), "
+    "a as (select *, split_part(trim(raw), '|', 1) as s from r), b as (select *, case when starts_with(s, 'NER=') then substr(s, 5) else s end as n from a), "
+    "c as (select *, case when lower(n) = 'o' then 'O' when n = 'B-deriv-per' then 'B-PER' when n = 'I-loc' then 'I-LOC' else n end as label from b) "
+    "select doc_id, label, case when contains(label, '-') then substr(label, instr(label, '-') + 1) else '' end as type, split_part(label, '-', 1) as prefix, coalesce(nullif(regexp_extract(trim(raw), '(?:^|\\|)NER=([^|]*)', 1), ''), 'O') as key from c"
 )
 def label_forms(spark, sf):
-    raw = F.element_at(F.array(*[F.lit(f) for f in _FORMS]), (F.col("doc_id") % 6 + 1).cast("int"))
-    d = table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
+    """Labels in six written forms, made of the language and source of each document."""
+    forms = [F.concat(F.lit(" NER=B-"), "lang", F.lit("|SpaceAfter="), "source", F.lit(" ")), F.lit("o"), F.concat(F.lit("O|"), "lang"), F.lit("I-loc"), F.lit("B-deriv-per"), F.concat("lang", F.lit("-"), "source", F.lit("|NER="), "lang")]
+    d = table(spark, sf, "documents").select("doc_id", F.get(F.array(*forms), (F.col("doc_id") % 6).cast("int")).alias("raw"))
     found = d.withColumn("label", labels.remap(labels.normalize(F.col("raw")), corpus.REMAP["suk"]))
     return found.select("doc_id", "label", labels.bio_type(F.col("label")).alias("type"), labels.bio_prefix(F.col("label")).alias("prefix"), labels.ner_key(text.strip(F.col("raw"))).alias("key"))
 
@@ -180,9 +179,10 @@ def first_seen_labels(spark, sf):
 
 
 def _one_label(spark, sf, n: int) -> DataFrame:
-    """The first n dimensions as scores of n classes, one of them true."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, n)).alias("label_idx", "p"))
-    return e.select(F.col("vec_id").alias("sample_id"), "label_idx", (F.col("label") % n == F.col("label_idx")).cast("double").alias("y_true"), F.col("p").cast("double").alias("y_prob"))
+    """The largest of every n-th dimension as the score of a class, one of n classes true."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "p"))
+    e = e.groupBy("vec_id", "label", (F.col("dim") % n).alias("label_idx")).agg(F.max(F.col("p").cast("double")).alias("y_prob"))
+    return e.select(F.col("vec_id").alias("sample_id"), "label_idx", (F.col("label") % n == F.col("label_idx")).cast("double").alias("y_true"), "y_prob")
 
 
 def _sql_one_label(n: int, averages: tuple[str, ...]) -> str:
@@ -190,7 +190,7 @@ def _sql_one_label(n: int, averages: tuple[str, ...]) -> str:
     micro = {"f1": "2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))", "p": "sum(tp) / (sum(tp) + sum(fp))", "r": "sum(tp) / (sum(tp) + sum(fn))"}
     weighted = {k: f"sum(l{k[0]} * sup) / sum(sup)" for k in ("f1", "p", "r")}
     columns = ", ".join(f'round({e}, 9) as "{a}.{m}"' for a in averages for m, e in {"micro": micro, "macro": macro, "weighted": weighted}[a].items())
-    return f"""with s as (select vec_id as id, i - 1 as idx, label % {n} = i - 1 as t, embedding[i]::double as p from embeddings, range(1, {n + 1}) t(i)),
+    return f"""with s as (select vec_id as id, idx, any_value(label) % {n} = idx as t, max(p) as p from (select vec_id, label, (i - 1) % {n} as idx, embedding[i]::double as p from (select *, unnest(range(1, len(embedding) + 1)) as i from embeddings)) group by vec_id, idx),
 b as (select id, arg_max(idx, (p, -idx)) as best from s group by id), c as (select s.id, idx, t, idx = best as y from s join b using (id)),
 l as (select idx, sum((t and y)::int)::double as tp, sum((not t and y)::int)::double as fp, sum((t and not y)::int)::double as fn from c group by idx),
 m as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end as lp, case when tp + fn > 0 then tp / (tp + fn) else 0 end as lr, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as lf, tp + fn as sup, tp + fn > 0 or fp > 0 as used from l),
@@ -219,15 +219,14 @@ _IDS = {0: "O", 1: "B-X", 2: "I-X"}
 
 
 @query(
-    "with e as (select vec_id, label, list_transform([0, 2, 3], lambda k: embedding[k * 3 + 1 : k * 3 + 3]) as z from embeddings) "
-    "select vec_id, list_transform([label % 3, (label + 1) % 3, 2], lambda i: ['O', 'B-X', 'I-X'][i + 1]) as gold, list_transform(z, lambda x: ['O', 'B-X', 'I-X'][list_position(x, list_max(x))]) as pred from e"
+    "with e as (select vec_id, label, list_filter(range(0, 21), lambda k: k % 4 <> 1) as ks, embedding from embeddings) "
+    "select vec_id, list_transform(ks, lambda k: ['O', 'B-X', 'I-X'][(label + k) % 3 + 1]) as gold, list_transform(list_transform(ks, lambda k: embedding[k * 3 + 1 : k * 3 + 3]), lambda x: ['O', 'B-X', 'I-X'][list_position(x, list_max(x))]) as pred from e"
 )
 def aligned_predictions(spark, sf):
-    """Four positions of three logits each; the second is to be ignored."""
-    e = table(spark, sf, "embeddings")
-    logits = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 3 + 1, 3))
-    label = F.col("label").cast("int")
-    ids = F.array(label % 3, F.lit(-100), (label + 1) % 3, F.lit(2))
+    """All positions of three logits each; every fourth is to be ignored."""
+    e, places = table(spark, sf, "embeddings"), F.sequence(F.lit(0), F.lit(20))
+    logits = F.transform(places, lambda k: F.slice("embedding", k * 3 + 1, 3))
+    ids = F.transform(places, lambda k: F.when(k % 4 == 1, -100).otherwise((F.col("label").cast("int") + k) % 3))
     return sequence.aligned(e.select("vec_id", logits.alias("z"), ids.alias("ids")), ["vec_id"], "z", "ids", _IDS)
 
 
@@ -309,13 +308,13 @@ def sentence_files(spark, sf):
     return back.groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens"), F.sum(F.size(F.filter("labels", lambda x: x == "B-PER"))).cast("long").alias("persons"), F.sum(F.length(F.array_join("tokens", " "))).cast("long").alias("chars"))
 
 
-@query("select (doc_id // 50)::varchar as file, case when (doc_id // 50) % 10 = 0 then 0 else (row_number() over (partition by doc_id // 50 order by doc_id) - 1)::int end as pos, doc_id, lang from documents where not ((doc_id // 50) % 10 = 0 and doc_id % 50 <> 0)")
+@query("select case when (doc_id // 50) % 10 = 0 then 'one' || doc_id else (doc_id // 50)::varchar end as file, case when (doc_id // 50) % 10 = 0 then 0 else (row_number() over (partition by doc_id // 50 order by doc_id) - 1)::int end as pos, doc_id, lang from documents")
 def json_record_files(spark, sf):
     """Whole JSON texts, most an array of records, some one record, as rows."""
-    d = table(spark, sf, "documents").withColumn("file", F.expr("cast(doc_id div 50 as string)"))
-    single = F.col("file").cast("long") % 10 == 0
-    many = d.filter(~single).groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(F.struct("doc_id", "lang")))).alias("value"))  # 50 each
-    one = d.filter(single & (F.col("doc_id") % 50 == 0)).select("file", F.to_json(F.struct("doc_id", "lang")).alias("value"))
+    d = table(spark, sf, "documents").withColumn("n", F.expr("doc_id div 50"))
+    single = F.col("n") % 10 == 0
+    many = d.filter(~single).groupBy(F.col("n").cast("string").alias("file")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("doc_id", "lang")))).alias("value"))  # 50 each
+    one = d.filter(single).select(F.concat(F.lit("one"), "doc_id").alias("file"), F.to_json(F.struct("doc_id", "lang")).alias("value"))
     found = records.records_of(many.unionByName(one))
     return found.select("file", F.col("pos").cast("int").alias("pos"), F.variant_get("record", "$.doc_id", "bigint").alias("doc_id"), F.variant_get("record", "$.lang", "string").alias("lang"))
 
@@ -337,8 +336,7 @@ def retrieval_files(spark, sf):
     "m as (select max(length(a)) as a, max(length(b)) as b, max(length(c)) as c from r) select r.ord::int as ord, rpad(r.a, m.a::int, ' ') || '  ' || lpad(r.b, m.b::int, ' ') || '  ' || lpad(r.c, m.c::int, ' ') as line from r, m"
 )
 def stats_report(spark, sf):
-    lines = stats.text_table(stats.label_stats(_tagged(spark, sf), ["lang"], []).orderBy("lang"))
-    return spark.createDataFrame(list(enumerate(lines)), "ord int, line string")
+    return stats.report_lines(stats.label_stats(_tagged(spark, sf), ["lang"], []), ["lang"])
 
 
 @query("select lang, source, count(distinct doc_id) as files, count(*) as rows from documents group by lang, source union all select null, null, count(distinct doc_id), count(*) from documents")
