@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import text
+from textloom.functions import segment, subwords, text
 from textloom.operators import pattern_index
 from textloom.plans import corpus, datasets
 from textloom.queries_plans import _END, _SQL_ARTICLES, _SQL_SENTENCES, _START, _articles
 from textloom.registry import query, table
-from textloom.scratch import folder
+from textloom.scratch import folder, stored
+from textloom.sinks.writers import rolling_shard
 from textloom.sources import annotated, splits
 
 # ---- patterns as a table
@@ -100,3 +101,63 @@ def json_array_files(spark, sf):
     found = splits.json_array_items(spark, path, "part-*")
     get = lambda k, t: F.variant_get("record", k, t)
     return found.select(F.concat(F.regexp_extract("path", "g=([0-9]+)/", 1), F.lit(".json")).alias("file"), "pos", get("$.doc_id", "bigint").alias("doc_id"), get("$.lang", "string").alias("lang"), F.md5(get("$.body.text", "string").cast("binary")).alias("text"))
+
+
+# ---- sentences and sub-words
+
+_ABBREVIATIONS = sorted({a for known in segment.ABBREVIATIONS.values() for a in known})
+_SQL_ABBREVIATIONS = "|".join(a.replace(".", "\\.") for a in _ABBREVIATIONS)
+_TAIL = r"""\.[)\]}"''»”’]{0,3}\s*$"""
+
+
+@query(
+    r"with l as (select doc_id, li, ls[li] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as li from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) as ls from documents))), "
+    r"""p as (select doc_id, li, string_split(regexp_replace(line, '([.!?…][)\]}"''»”’]{0,3}\s+)', '\1' || chr(1), 'g'), chr(1)) as p, case when contains(line, '„') then '”' else '«' end as low from l), """
+    r"""b as (select *, list_transform(p, lambda x: length(regexp_replace(replace(x, '“', low), '[)\]}»”]', '', 'g')) - length(regexp_replace(replace(x, '“', low), '[(\[{„«]', '', 'g'))) as d from p), """
+    r"j as (select doc_id, li, array_to_string(list_transform(p, lambda x, i: x || case when "
+    rf"regexp_matches(lower(x), '(^|[^\p{{L}}\p{{N}}_.])({_SQL_ABBREVIATIONS}){_TAIL}') or regexp_matches(x, '(^|[^\p{{L}}\p{{N}}_.])\p{{L}}{_TAIL}') "
+    rf"or (regexp_matches(x, '(^|[^\p{{L}}\p{{N}}_.])[0-9]+{_TAIL}') and regexp_matches(coalesce(p[i + 1], ''), '^[0-9\p{{Ll}}]')) "
+    r"""or regexp_matches(coalesce(p[i + 1], ''), '^[(\[{„«“"''‘]*\p{Ll}') or list_sum(d[1:i]) > 0 then '' else chr(1) end), '') as s from b), """
+    rf"s as (select doc_id, li, list_filter(list_transform(string_split(s, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') as s from j), "
+    r"f as (select doc_id, flatten(list(s order by li)) as s from s group by doc_id) "
+    r"select doc_id, (i - 1)::int as ord, s[i] as sentence, len(regexp_extract_all(s[i], '[0-9]+(?:[.,:][0-9]+)+|[\p{L}\p{N}_@]+(?:[-''’.@][\p{L}\p{N}_@]+)*|\.{2,}|[^\p{L}\p{N}_\s]'))::int as n_words from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from f)"
+)
+def segmented_sentences(spark, sf):
+    """Sentences of all documents by the rule table, and the number of words in each."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(segment.sentences(F.col("text"))).alias("ord", "sentence"))
+    return d.select("doc_id", "ord", "sentence", F.size(segment.words(F.col("sentence"))).alias("n_words"))
+
+
+@query(
+    r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as ws from documents), v as (select distinct unnest(ws) as w from w),
+chars as (select distinct unnest(string_split(w, '')) as c from v),
+three as (select distinct substr(w, 1, 3) as p from v where length(w) >= 3 and md5(substr(w, 1, 3)) < '8'), two as (select distinct substr(w, length(w) - 1) as p from v where length(w) >= 4 and md5(substr(w, length(w) - 1)) < '8'),
+r as (
+  select w, 1 as pos, []::varchar[] as p from v
+  union all
+  select r.w, r.pos + case when three.p is not null then 3 when two.p is not null then 2 else 1 end,
+    list_append(r.p, case when three.p is not null then three.p when r.pos = 1 then substr(r.w, 1, 1) else '##' || coalesce(two.p, substr(r.w, r.pos, 1)) end)
+  from r left join three on r.pos = 1 and substr(r.w, 1, 3) = three.p left join two on r.pos > 1 and substr(r.w, r.pos, 2) = two.p and r.pos + 1 <= length(r.w) where r.pos <= length(r.w)),
+done as (select w, p from r where pos > length(w)),
+d as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w),
+x as (select doc_id, flatten(list(p order by i)) as pieces, flatten(list(list_transform(p, lambda x: i - 1) order by i)) as places from d join done on done.w = d.ws[i] group by doc_id)
+select doc_id, len(pieces)::int as n, md5(array_to_string(pieces, ' ')) as pieces, md5(array_to_string(places, ' ')) as words, greatest(1, ceil((len(pieces) - 32) / 480.0))::int as windows, (list_aggregate(list_transform(range(0, greatest(1, ceil((len(pieces) - 32) / 480.0))::bigint), lambda k: len(pieces[k * 480 + 1 : k * 480 + 512])), 'sum'))::int as in_windows from x"""
+)
+def subword_pieces(spark, sf):
+    """Every word cut into the longest pieces of a vocabulary: all characters, and beginnings and ends of words chosen by digest."""
+    d = table(spark, sf, "documents").select("doc_id", text.once(text.split_space(F.col("text"))).alias("tokens"))
+    w = d.select(F.explode("tokens").alias("w")).distinct()
+    chosen = lambda c: F.md5(c.cast("binary")) < "8"
+    three, two = F.substring("w", 1, 3), F.expr("substring(w, length(w) - 1)")
+    letters = w.select(F.explode(F.array_remove(F.split("w", ""), "")).alias("c")).distinct()
+    pieces = letters.select(F.explode(F.array("c", F.concat(F.lit("##"), "c"))).alias("piece"))
+    pieces = pieces.unionByName(w.filter(F.length("w") >= 3).filter(chosen(three)).select(three.alias("piece"))).unionByName(w.filter(F.length("w") >= 4).filter(chosen(two)).select(F.concat(F.lit("##"), two).alias("piece"))).distinct()
+    vocabulary = stored(rolling_shard(pieces, ["piece"], 1).select("piece", (F.col("shard") + 1).alias("id")))
+    cut = subwords.with_subwords(d, "tokens", vocabulary)
+    # pieces by their ids again, joined in the row's order
+    each = cut.select("doc_id", F.posexplode("piece_ids").alias("at", "id")).join(vocabulary, "id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    wins = subwords.windows(F.col("piece_ids"), 512, 32)
+    digest = lambda c: F.md5(F.array_join(c, " ").cast("binary"))
+    total = F.aggregate(F.transform("wins", lambda x: F.size(x)), F.lit(0), lambda a, x: a + x)
+    shown = cut.select("doc_id", F.size("piece_ids").alias("n"), digest(F.transform("word_ids", lambda x: x.cast("string"))).alias("words"), text.once(wins).alias("wins"))
+    return shown.join(each, "doc_id").select("doc_id", "n", digest(F.transform("p", lambda x: x["piece"])).alias("pieces"), "words", F.size("wins").alias("windows"), total.alias("in_windows"))
