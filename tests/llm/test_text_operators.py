@@ -213,6 +213,87 @@ def test_html_wrappers_with_such_names_keep_their_article(spark, small):
     assert html_text.extract(f"<body><p class=ad>buy<p>{P}<ul><li class=share>x<li>{P}</ul>") == f"{P}\n\n{P}"
 
 
+LONG_TEXT = " ".join(f"word{i} goes on and on" for i in range(30)) + "."
+
+
+def test_html_keeps_the_whole_article():
+    """A headline in a block of its own, columns, formulas; not what lies beyond a named block or a block of links."""
+    got = html_text.extract
+    assert got(f"<body><div><div><h1>T</h1><p>By me</p></div><div><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div></div></body>") == f"T\n\nBy me\n\n{LONG_TEXT}\n\n{LONG_TEXT}"
+    columns = f"<div class='col'><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div><div class=\"col\"><p>{'short words here ' * 5}</p><p>and these too.</p></div>"
+    assert got(f"<body><div>{columns}</div></body>") == f"{LONG_TEXT}\n\n{LONG_TEXT}\n\n{('short words here ' * 5).strip()}\n\nand these too."
+    assert got(f"<p>{LONG_TEXT} Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>x^2</annotation></math> ok</p>") == f"{LONG_TEXT} Energy E=m ok"
+    menu, two = "<div class='menu'><a href=x>a</a></div>", f"{LONG_TEXT}\n\n{LONG_TEXT}"
+    body = f"<p>{LONG_TEXT}</p><p>{LONG_TEXT}</p>"
+    assert got(f"<body><h1>Site</h1>{menu}<div>{body}</div></body>") == two
+    assert got(f"<body><div><h1>Site</h1></div><div><a href=x>one two</a></div><div>{body}</div></body>") == two
+    assert got(f"<body><div><h1>Site</h1></div><div><h1>T</h1>{body}</div></body>") == f"T\n\n{two}"
+    assert got(f"<body><div class=col>{body}</div><div class=col><a href=x>{'link ' * 9}</a> x</div></body>") == two
+
+
+def recursive_density(n, body):
+    """(density, sum) of a node by the published formula, each figure by a walk of its own."""
+    import math
+
+    def nodes(x):
+        for c in x.children:
+            if not isinstance(c, str) and not c.mark:
+                yield c
+                yield from nodes(c)
+
+    def chars(x):
+        return sum(len("".join(c.split())) if isinstance(c, str) else (0 if c.mark else chars(c)) for c in x.children)
+
+    def link_chars(x):
+        return chars(x) if x.tag == "a" else sum(link_chars(c) for c in x.children if not isinstance(c, str) and not c.mark)
+
+    def inner(x):
+        found = []
+        for c in x.children:
+            if not isinstance(c, str):
+                found += [c] if c.tag in html_text.BLOCK else inner(c)
+        return found
+
+    def weight(x):
+        return (1.0 if x is body or x.parent is None else weight(x.parent)) * (html_text.NAME_WEIGHT if x.mark else 1.0)
+
+    def density(x):
+        c, t, lc, lt = chars(x), len(list(nodes(x))), link_chars(x), sum(y.tag == "a" for y in nodes(x))
+        if not c:
+            return 0.0
+        ratio = (chars(body) and sum(link_chars(y) for y in body.children if not isinstance(y, str) and not y.mark)) / max(1, chars(body))
+        base = math.log(c / max(1, c - lc) * max(1, lc) + ratio * c + math.e)
+        return weight(x) * max(0.0, c / max(1, t) * math.log(c / max(1, lc) * max(1, t) / max(1, lt)) / math.log(base))
+
+    return density(n), sum(map(density, inner(n))) if inner(n) else density(n)
+
+
+def test_html_densities_by_recursion(spark, small):
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").select("html").limit(12).collect()]
+    for source in pages:
+        body = html_text.parse(source)
+        html_text.measure(body)
+        seen, todo = [], [body]
+        while todo:
+            n = todo.pop()
+            seen.append(n)
+            todo += [c for c in n.children if not isinstance(c, str)]
+        sums = {}
+        for n in seen:
+            density, total = recursive_density(n, body)
+            assert n.density == pytest.approx(density) and n.sum == pytest.approx(total)
+            sums[n] = total
+        blocks = [n for n in seen if n.tag in html_text.BLOCK]
+        assert sums[body.top] == pytest.approx(max(sums[n] for n in blocks))
+
+
+def test_html_without_article_elements(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [article_of(p) for p in pages]
+    plain = lambda p: re.sub(r"(</?)(article|main)\b", r"\1div", p)
+    assert share(pages, plain, want) >= 0.97
+
+
 def test_html_is_linear():
     import time
 

@@ -5,10 +5,12 @@ characters and link tags (Sun, Song and Liao, 2011); inline elements belong to t
 node's density sum adds its children's densities. The subtree with the largest sum is the core. The
 smallest density on the path from there to the body is the threshold: every other subtree reached
 through nodes at or above it contributes its own largest-sum part. A core inside an article or main
-element is widened to it, and headings right before a chosen subtree belong to it.
+element is widened to it. Headings right before a chosen subtree belong to it; so do the last headline before
+an article without one, with the blocks between, and columns beside it of the same element and class.
 
-What is never text (scripts, styles, the head, embedded media, form controls) and the nav and footer
-elements are cut by the parser. Names decide nothing by themselves: elements whose tag, role, class
+What is never shown as text (scripts, styles, the head, drawings, embedded media with their fallbacks, form
+controls, what the page hides) and the nav and footer elements are cut by the parser; formulas are text. Names
+seldom decide alone: elements whose tag, role, class
 or id speaks of a menu, header, sidebar, notice, advert, form or reader comments have their densities
 multiplied by NAME_WEIGHT and do not count for what holds them, so they lose to any unnamed text, and
 are left out of a chosen subtree around them if they stay below the threshold. A named element that
@@ -52,7 +54,7 @@ SCOPE = frozenset("html body article section main table td th caption button obj
 
 #: Elements cut by the parser: no text of the page, form controls, and the two that are never an article.
 CUT_TAGS = frozenset(
-    "script style noscript template head title svg math canvas iframe object embed audio video map noembed noframes xmp "
+    "script style noscript template head title svg annotation annotation-xml canvas iframe object embed audio video map noembed noframes xmp "
     "button select option textarea input label datalist nav footer".split()
 )
 #: Elements, roles, and words in class and id that speak of something other than an article.
@@ -69,6 +71,7 @@ COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies di
 #: Elements that hold an article; their names are not held against them.
 CONTAINERS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 hgroup".split())
+TITLES = frozenset("h1 hgroup".split())
 NAME_WEIGHT = 0.01
 WRAPPER_SHARE = 0.75
 #: A side block of a chosen core has at least this share of the median density of the core's own blocks.
@@ -79,14 +82,15 @@ MAX_DEPTH = 512
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)([^>]*)>?|<[!?/][^>]*>?", re.S)
 #: One attribute as a whole, name and value, so that names are not found inside other names or values.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "inner", "link_chars", "link_tags", "mark", "parent", "sum", "tag", "tags", "top", "weight")
+    __slots__ = ("chars", "children", "density", "group", "inner", "link_chars", "link_tags", "mark", "parent", "sum", "tag", "tags", "top", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, mark: str | None = None):
-        self.tag, self.parent, self.mark, self.children = tag, parent, mark, []
+    def __init__(self, tag: str, parent: Node | None, mark: str | None = None, group: str = ""):
+        self.tag, self.parent, self.mark, self.children, self.group = tag, parent, mark, [], group
 
 
 def _marked(tag: str, attributes: str) -> str | None:
@@ -195,7 +199,8 @@ def parse(source: str) -> Node:
         else:
             if len(stack) > MAX_DEPTH:
                 stack.pop()
-            node = Node(tag, stack[-1], mark)
+            group = CLASS.search(attributes) if attributes and tag in BLOCK else None
+            node = Node(tag, stack[-1], mark, group[1] or group[2] or group[3] or "" if group else "")
             stack[-1].children.append(node)
             stack.append(node)
     if at < len(source) and not skipping:
@@ -269,6 +274,33 @@ def measure(body: Node) -> None:
                 n.top = c.top
 
 
+def _headline(body: Node, chosen: set[Node]) -> list[Node]:
+    """The last headline before the chosen subtrees and the blocks between, if those have none themselves.
+
+    A named element, a page header or a block of mostly links in between parts them.
+    """
+    todo = [c for n in chosen for c in n.children if isinstance(c, Node)]
+    while todo:
+        n = todo.pop()
+        if n.tag in TITLES:
+            return []
+        todo += [c for c in n.children if isinstance(c, Node)]
+    run, todo = [], [body]
+    while todo:
+        n = todo.pop()
+        if n in chosen:
+            return [] if n.tag in TITLES else run
+        if n.mark or n.tag == "header" or (n is not body and not n.inner and 2 * _links(n) > n.chars):
+            run = []
+        elif n.tag in HEADINGS:
+            run = [*run, n] if run and n.tag not in TITLES else [n]
+        elif n.tag in BLOCK and not n.inner and n is not body:
+            run = [*run, n] if run and n.chars else run
+        else:
+            todo += [c for c in reversed(n.inner)]
+    return []
+
+
 def content_nodes(body: Node) -> tuple[list[Node], set[Node]]:
     """The subtrees that hold the article, in no order, none within another, and the named elements in them that do not."""
     measure(body)
@@ -296,6 +328,13 @@ def content_nodes(body: Node) -> tuple[list[Node], set[Node]]:
                 todo.append(c)
             elif not c.inner and n is not body and c.density and c.density >= leaf:
                 chosen.append(c)  # a paragraph beside the core, inside what holds both
+    # columns: unnamed blocks of the same element and class beside one that holds the core, few of whose characters are links
+    for n in path:
+        holder = n.parent
+        while holder is not None and holder.tag not in BLOCK:
+            holder = holder.parent
+        if n.group and holder is not None:
+            chosen += [c for c in holder.inner if c is not n and c.tag == n.tag and c.group == n.group and not c.mark and 3 * c.link_chars <= c.chars and c.chars]
     widened = set()
     for n in chosen:
         holder = n
@@ -313,6 +352,7 @@ def content_nodes(body: Node) -> tuple[list[Node], set[Node]]:
                     widened.add(c)
                 elif not isinstance(c, str) or c.strip():
                     break
+    widened |= set(_headline(body, widened))
     out = []
     for n in widened:
         p = n.parent
@@ -381,4 +421,4 @@ def _run(batches):
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    return pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")).mapInArrow(_run, SCHEMA)
+    return pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html")).mapInArrow(_run, SCHEMA)
