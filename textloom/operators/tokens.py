@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.labels import normalize, remap
 from textloom.functions.text import let, once
+from textloom.scratch import stored
 
 
 BLOCK = 64
@@ -38,13 +39,8 @@ def token_rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.select(*keys, "pos", F.col("p._tok").alias("token"), (F.col("p._end") - F.length("p._tok")).alias("start"), F.col("p._end").alias("end"))
 
 
-def span_labels(tokens: Column, ends: Column, spans: Column, table: dict[str, str] | None = None, bio: bool = False) -> Column:
-    """The label of each token: the type of the first span that overlaps it, mapped.
-
-    spans: array<struct<start, ord, end, label>>, in order of start and ord. A span mapped to O blocks later
-    ones. Labels are all B- unless bio, which continues a span with I-.
-    """
-
+def span_hits(tokens: Column, ends: Column, spans: Column) -> Column:
+    """The first span that overlaps each token, or null; spans: array<struct<start, ord, end, label>>, in order of start and ord."""
     # in blocks of about the square root of the number of tokens, each with the spans that overlap it
     n = F.size(tokens)
     size = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int")
@@ -60,12 +56,22 @@ def span_labels(tokens: Column, ends: Column, spans: Column, table: dict[str, st
         return F.transform(pairs, lambda p: F.get(F.filter(x["s"], lambda s: (p["e"] - F.length(p["t"]) < s["end"]) & (p["e"] > s["start"])), F.lit(0)))
 
     blocks = F.transform(F.sequence(F.lit(0), size - 1), block)
-    hits = F.flatten(F.transform(F.filter(blocks, lambda x: F.size(x["t"]) > 0), hits_of))
+    return F.flatten(F.transform(F.filter(blocks, lambda x: F.size(x["t"]) > 0), hits_of))
+
+
+def _hit_label(h: Column, before: Column | None, table: dict[str, str] | None) -> Column:
+    prefix = F.lit("B-") if before is None else F.when((before["start"] == h["start"]) & (before["ord"] == h["ord"]), "I-").otherwise("B-")
+    return F.when(h.isNull(), "O").otherwise(let(remap(normalize(h["label"]), table or {}), lambda kind: F.when(kind == "O", "O").otherwise(F.concat(prefix, kind))))
 
-    def label(h: Column, before: Column | None) -> Column:
-        prefix = F.lit("B-") if before is None else F.when((before["start"] == h["start"]) & (before["ord"] == h["ord"]), "I-").otherwise("B-")
-        return F.when(h.isNull(), "O").otherwise(let(remap(normalize(h["label"]), table or {}), lambda kind: F.when(kind == "O", "O").otherwise(F.concat(prefix, kind))))
 
+def span_labels(tokens: Column, ends: Column, spans: Column, table: dict[str, str] | None = None, bio: bool = False) -> Column:
+    """The label of each token: the type of the first span that overlaps it, mapped.
+
+    spans: array<struct<start, ord, end, label>>, in order of start and ord. A span mapped to O blocks later
+    ones. Labels are all B- unless bio, which continues a span with I-.
+    """
+    hits = span_hits(tokens, ends, spans)
+    label = lambda h, before: _hit_label(h, before, table)
     if not bio:
         return F.transform(hits, lambda h: label(h, None))
     paired = F.arrays_zip(hits.alias("h"), F.concat(F.array(F.lit(None)), hits).alias("b"))
@@ -90,6 +96,53 @@ def overlap_labels(docs: DataFrame, spans: DataFrame, keys: list[str], text: str
     return rows.select(*keys, "pos", F.col("p._tok").alias("token"), (F.col("p._end") - F.length("p._tok")).alias("start"), F.col("p._end").alias("end"), F.col("p._lab").alias("label"))
 
 
+BIN = 4096
+#: Texts with more spans than this are worked on bin by bin.
+ROW_SPANS = 20_000
+
+
+def binned_labels(docs: DataFrame, spans: DataFrame, keys: list[str], text: str, table: dict[str, str] | None = None, bio: bool = False, width: int = BIN) -> DataFrame:
+    """overlap_labels() for texts with any number of spans: no task sees more of a text's spans than a bin's.
+
+    Tokens and spans are cut at the borders of bins of `width` characters. Of the pieces of spans with one end in a
+    bin only the first can be some token's first, so a bin holds at most `width` of them, summed before the
+    shuffle. What a bin finds for its part of a token is united per token, together with what the token before
+    it has, which tells whether a span goes on.
+    """
+    tokens = token_rows(docs, keys, text)
+    first, last = (F.col("start") / width).cast("int"), ((F.col("end") - 1) / width).cast("int")
+    mine = tokens.withColumn("_bin", F.explode(F.sequence(first, last)))
+    mine = mine.groupBy(*keys, "_bin").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "end"))).alias("_t"))
+    lengths = docs.select(*keys, F.length(text).alias("_n"))
+    s = spans.filter("end > 0").join(lengths, keys)  # bins end with the text, whatever a span says
+    empty = F.col("end") <= F.col("start")  # overlaps only a token around it
+    low = F.greatest(F.lit(0), F.col("start"))
+    high = F.when(empty, low).otherwise(F.least(F.col("end"), F.greatest(F.col("_n"), F.lit(1))) - 1)
+    s = s.filter(low < F.col("_n")).withColumn("_bin", F.explode(F.sequence((low / width).cast("int"), F.greatest((low / width).cast("int"), (high / width).cast("int")))))
+    cut = F.least(F.col("end"), (F.col("_bin") + 1) * width)
+    s = s.groupBy(*keys, "_bin", F.when(empty, F.concat_ws(":", "start", "end")).alias("_e"), cut.alias("_cut")).agg(F.min(F.struct("start", "ord", "end", "label")).alias("_s"))
+    s = s.groupBy(*keys, "_bin").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    kind = "array<struct<start:int,ord:int,end:int,label:string>>"
+    both = mine.join(s, [*keys, "_bin"], "left").withColumn("_s", once(F.coalesce(F.col("_s").cast(kind), F.expr(f"cast(array() as {kind})"))))
+    both = both.withColumn("_h", once(span_hits(F.col("_t.token"), F.col("_t.end"), F.col("_s"))))
+    rows = both.select(*keys, F.explode(F.arrays_zip("_t", "_h")).alias("x")).select(*keys, "x._t.*", F.col("x._h").alias("h"))
+    own = F.struct(F.col("pos").alias("at"), F.struct("token", "end").alias("t"), F.col("h").alias("own"), F.lit(None).cast("struct<start:int,ord:int,end:int,label:string>").alias("before"))
+    after = F.struct((F.col("pos") + 1).alias("at"), F.lit(None).cast("struct<token:string,end:int>").alias("t"), F.lit(None).cast("struct<start:int,ord:int,end:int,label:string>").alias("own"), F.col("h").alias("before"))
+    rows = rows.select(*keys, F.explode(F.array(own, after) if bio else F.array(own)).alias("x")).groupBy(*keys, F.col("x.at").alias("pos"))
+    united = rows.agg(F.min("x.t").alias("t"), F.min("x.own").alias("h"), F.min("x.before").alias("b")).filter("t is not null")
+    label = _hit_label(F.col("h"), F.col("b") if bio else None, table)
+    return united.select(*keys, "pos", "t.token", (F.col("t.end") - F.length("t.token")).alias("start"), "t.end", label.alias("label"))
+
+
+def labels_of_any(docs: DataFrame, spans: DataFrame, keys: list[str], text: str, table: dict[str, str] | None = None, bio: bool = False, row_spans: int = ROW_SPANS) -> DataFrame:
+    """overlap_labels(), with the texts of more than row_spans spans taken bin by bin. keys are those of one text each."""
+    many = stored(spans.groupBy(*keys).count().filter(F.col("count") > row_spans).select(*keys))
+    few = overlap_labels(docs.join(many, keys, "left_anti"), spans.join(many, keys, "left_anti"), keys, text, table, bio)
+    if many.isEmpty():
+        return few
+    return few.unionByName(binned_labels(docs.join(many, keys, "left_semi"), spans.join(many, keys, "left_semi"), keys, text, table, bio))
+
+
 def gazetteer_labels(tokens: str, entities: str) -> Column:
     """BIO labels of array column `tokens` by greedy, leftmost, non-overlapping, case-blind matches.
 

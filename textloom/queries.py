@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import match, text
 from textloom.operators import classification, encoders, ranking, sequence, slices, splits, stats
-from textloom.operators.tokens import gazetteer_labels, overlap_labels, token_rows
+from textloom.operators.tokens import gazetteer_labels, labels_of_any, overlap_labels, token_rows
 from textloom.plans import datasets
 from textloom.registry import query, table
 from textloom.sinks.writers import rolling_shard
@@ -195,17 +195,31 @@ def token_offsets(spark, sf):
     return token_rows(table(spark, sf, "documents"), ["doc_id"], "text")
 
 
-@query(
+_SQL_OVERLAP = (
     "with short as (select doc_id, text from documents)," + _SQL_TOKENS + ", sp as (select doc_id, i as ord, i * 40 as s, i * 40 + 12 as e, case when i % 3 = 0 then 'PERS' when i % 3 = 1 then 'DATE' else 'LOC' end as l from (select doc_id, unnest(range(0, length(text) // 40 + 1)) as i from documents)), "
     "hit as (select o.doc_id, o.pos, arg_min(sp.l, sp.s) as l from off o left join sp on sp.doc_id = o.doc_id and o.end_ - length(o.token) < sp.e and o.end_ > sp.s group by o.doc_id, o.pos) "
     "select doc_id, pos, case when l = 'PERS' then 'B-PER' when l = 'LOC' then 'B-LOC' else 'O' end as label from hit"
 )
+
+
+def _spans(d: DataFrame) -> DataFrame:
+    """Every 40 characters one of 12."""
+    i = F.col("ord")
+    return d.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("length(text) div 40"))).alias("ord")).select("doc_id", "ord", (i * 40).alias("start"), (i * 40 + 12).alias("end"), F.when(i % 3 == 0, "PERS").when(i % 3 == 1, "DATE").otherwise("LOC").alias("label"))
+
+
+@query(_SQL_OVERLAP)
 def interval_overlap(spark, sf):
-    """Spans over the whole of every text: every 40 characters one of 12."""
+    """Spans over the whole of every text."""
     d = table(spark, sf, "documents")
-    i = F.col("ord")
-    spans = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("length(text) div 40"))).alias("ord")).select("doc_id", "ord", (i * 40).alias("start"), (i * 40 + 12).alias("end"), F.when(i % 3 == 0, "PERS").when(i % 3 == 1, "DATE").otherwise("LOC").alias("label"))
-    return overlap_labels(d, spans, ["doc_id"], "text", {"PERS": "PER", "DATE": "O"}).select("doc_id", "pos", "label")
+    return overlap_labels(d, _spans(d), ["doc_id"], "text", {"PERS": "PER", "DATE": "O"}).select("doc_id", "pos", "label")
+
+
+@query(_SQL_OVERLAP)
+def interval_overlap_binned(spark, sf):
+    """The same, with texts of more than 64 spans taken bin by bin."""
+    d = table(spark, sf, "documents")
+    return labels_of_any(d, _spans(d), ["doc_id"], "text", {"PERS": "PER", "DATE": "O"}, row_spans=64).select("doc_id", "pos", "label")
 
 
 @query(r"select doc_id, (i - 1)::int as ord, l[i] as sentence from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') as l from documents))")
