@@ -124,7 +124,8 @@ def binned_labels(docs: DataFrame, spans: DataFrame, keys: list[str], text: str,
     s = s.groupBy(*keys, "_bin").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
     kind = "array<struct<start:int,ord:int,end:int,label:string>>"
     both = mine.join(s, [*keys, "_bin"], "left").withColumn("_s", once(F.coalesce(F.col("_s").cast(kind), F.expr(f"cast(array() as {kind})"))))
-    both = both.withColumn("_h", once(span_hits(F.col("_t.token"), F.col("_t.end"), F.col("_s"))))
+    both = both.withColumn("_tok", once(F.col("_t.token"))).withColumn("_end", once(F.col("_t.end")))
+    both = both.withColumn("_h", once(span_hits(F.col("_tok"), F.col("_end"), F.col("_s"))))
     rows = both.select(*keys, F.explode(F.arrays_zip("_t", "_h")).alias("x")).select(*keys, "x._t.*", F.col("x._h").alias("h"))
     own = F.struct(F.col("pos").alias("at"), F.struct("token", "end").alias("t"), F.col("h").alias("own"), F.lit(None).cast("struct<start:int,ord:int,end:int,label:string>").alias("before"))
     after = F.struct((F.col("pos") + 1).alias("at"), F.lit(None).cast("struct<token:string,end:int>").alias("t"), F.lit(None).cast("struct<start:int,ord:int,end:int,label:string>").alias("own"), F.col("h").alias("before"))

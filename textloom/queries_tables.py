@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom import sql
 from textloom.functions import segment, subwords, text
-from textloom.operators import pattern_index
+from textloom.operators import pattern_index, stats
 from textloom.plans import corpus, datasets
+from textloom.queries import _SQL_TAGGED, _tagged
 from textloom.queries_plans import _END, _SQL_ARTICLES, _SQL_SENTENCES, _START, _articles
 from textloom.registry import query, table
 from textloom.scratch import folder, stored
+from textloom.sinks import observed, writers
 from textloom.sinks.writers import rolling_shard
-from textloom.sources import annotated, splits
+from textloom.sources import annotated, records, splits
 
 # ---- patterns as a table
 
@@ -161,3 +166,75 @@ def subword_pieces(spark, sf):
     total = F.aggregate(F.transform("wins", lambda x: F.size(x)), F.lit(0), lambda a, x: a + x)
     shown = cut.select("doc_id", F.size("piece_ids").alias("n"), digest(F.transform("word_ids", lambda x: x.cast("string"))).alias("words"), text.once(wins).alias("wins"))
     return shown.join(each, "doc_id").select("doc_id", "n", digest(F.transform("p", lambda x: x["piece"])).alias("pieces"), "words", F.size("wins").alias("windows"), total.alias("in_windows"))
+
+
+# ---- operators in SQL alone, counters, and small sources and sinks by files
+
+
+@query(f"with {_SQL_SENTENCES} select doc_id, ord, array_to_string(w, ' ') as sentence, array_to_string(list_transform(w, lambda x: case when length(x) % 5 = 0 then 'per' when length(x) % 5 = 1 then 'loc' else '' end), ' ') as types from s")
+def sql_functions(spark, sf):
+    """Column files read and their labels selected by a statement of SQL."""
+    sql.register(spark)
+    d = table(spark, sf, "documents")
+    label = lambda x: F.when(F.length(x) % 5 == 0, "B-per|x=1").when(F.length(x) % 5 == 1, " NER=I-loc ").otherwise(" o ")
+    row = lambda x, i: F.concat_ws("\t", (i + 1).cast("string"), x, label(x))
+    lines = F.filter(F.split("text", "\n"), lambda x: text.strip(x) != "")
+    block = lambda x: F.array_join(F.transform(text.split_space(x), row), "\n")
+    files = d.select("doc_id", F.concat(F.lit("# a comment\n"), F.array_join(F.transform(lines, block), "\n\n")).alias("value"))
+    return spark.sql(
+        "SELECT doc_id, ord, array_join(any_value(tokens), ' ') AS sentence, array_join(transform(array_sort(collect_list(struct(pos, loom_bio_type(loom_label(r)) AS y))), x -> x.y), ' ') AS types "
+        "FROM (SELECT f.doc_id, s.ord, s.tokens, s.raw FROM {files} f, LATERAL loom_conll(f.value, 1, 2) s) LATERAL VIEW posexplode(raw) e AS pos, r GROUP BY doc_id, ord",
+        files=files,
+    )
+
+
+@query(f"with {_SQL_SENTENCES}, c as (select doc_id, w, len(list_filter(w, lambda x: length(x) % 5 < 2)) as k, ord from s) select count(*) as rows, count(distinct doc_id) as files, sum(len(w))::bigint as tokens, sum(k)::bigint as labelled from c")
+def observed_counters(spark, sf):
+    """What a run reports, counted by the job that writes its sentences."""
+    lines = F.filter(F.split("text", "\n"), lambda x: text.strip(x) != "")
+    d = table(spark, sf, "documents").select("lang", F.posexplode(lines).alias("ord", "line")).select("lang", "ord", text.once(text.split_space(F.col("line"))).alias("tokens"))
+    d = d.withColumn("labels", text.once(F.transform("tokens", lambda x: F.when(F.length(x) % 5 < 2, "B-PER").otherwise("O"))))
+    path = folder(spark)
+    found = observed.observed(d, observed.sentence_counters(), lambda df: writers.write_sentences(df.drop("ord"), path))
+    return spark.createDataFrame([found], "rows long, files long, tokens long, labelled long")  # the one row of counters
+
+
+@query(f"with {_SQL_SENTENCES}, c as (select doc_id, ord, w, list_transform(w, lambda x: case when length(x) % 3 = 0 then 'B-LOC' else 'O' end) as l from s), k as (select doc_id from c group by doc_id having bool_or(len(list_filter(l, lambda x: x <> 'O')) > 0)) select doc_id, ord, array_to_string(w, ' ') as sentence, array_to_string(l, ' ') as labels from c join k using (doc_id)")
+def conll_last_column(spark, sf):
+    """Token in the first column and label in the last, of lines of two or of three columns."""
+    lines = F.filter(F.split("text", "\n"), lambda x: text.strip(x) != "")
+    row = lambda x: F.concat_ws("\t", x, F.when(F.length(x) % 2 == 0, "extra"), F.when(F.length(x) % 3 == 0, "B-LOC").otherwise("o"))
+    block = lambda x: F.array_join(F.transform(text.split_space(x), row), "\n")
+    files = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(lines, block), "\n\n").alias("value"))
+    found = annotated.conll(files, 0, annotated.last_column, {}, keys=("doc_id",))
+    return found.select("doc_id", "ord", F.array_join("tokens", " ").alias("sentence"), F.array_join("labels", " ").alias("labels"))
+
+
+_SPLITS = ("dev", "test", "train")
+
+
+@query("select case when doc_id % 10 = 0 then 'dev' when doc_id % 10 = 1 then 'test' else 'train' end as split, doc_id, lang, md5(text) as text from documents")
+def split_folders(spark, sf):
+    """Split folders of JSON files found, merged, written as JSON lines and read back."""
+    d, path = table(spark, sf, "documents"), folder(spark)
+    split = F.when(F.col("doc_id") % 10 == 0, "dev").when(F.col("doc_id") % 10 == 1, "test").otherwise("train")
+    made = d.groupBy(split.alias("split"), F.expr("doc_id div 500").alias("g")).agg(F.collect_list(F.struct("doc_id", "lang", "text")).alias("items"))  # 500 at most
+    for s in _SPLITS:
+        if records.missing_splits(spark, path, (s,)):
+            made.filter(F.col("split") == s).select("items").write.option("maxRecordsPerFile", 1).json(f"{path}/dataset/{s}")
+    merged = records.merged_splits(spark, path, _SPLITS).select("split", F.explode(F.variant_get("record", "$.items", "array<struct<doc_id:bigint,lang:string,text:string>>")).alias("x"))
+    writers.write_json_lines(merged.select("split", "x.*"), f"{path}/merged")
+    return spark.read.schema("split string, doc_id long, lang string, text string").json(f"{path}/merged").withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query(f"with {_SQL_TAGGED} select lang, split, count(*)::varchar as sentences, sum(len(w))::varchar as tokens from tagged where len(w) > 0 and lang in (select min(lang) from documents union select max(lang) from documents) group by lang, split")
+def split_reports(spark, sf):
+    """Prepared files written per split, the splits found in them, the rows of two languages for training, and their statistics as a CSV file read back."""
+    path = folder(spark)
+    writers.write_sentences(_tagged(spark, sf), path)
+    sentences = records.prepared_sentences(spark, path)
+    wanted = list(table(spark, sf, "documents").agg(F.min("lang"), F.max("lang")).first())
+    found = records.found_splits(sentences)
+    rows = reduce(DataFrame.unionByName, corpus.training_splits(sentences, wanted, tuple(found)).values())
+    writers.write_stats(stats.label_stats(rows, ["lang", "split"], []), f"{path}-stats")
+    return spark.read.option("header", True).csv(f"{path}-stats")
