@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 PAGE = 10_000
 TIMEOUT = 60.0
@@ -143,6 +143,46 @@ class PushingReader(SearchReader):
                 yield f
 
 
+class SearchStreamReader(DataSourceStreamReader):
+    """The index as a stream: an offset is the end of the slices read so far, so a batch can be asked for again as it was.
+
+    A batch takes the slices that have ended since the last one, up to `end` or to the present. Slices count from
+    `start`; the rest of a slice is left for later. Documents that come into a slice after it was read are seen
+    only with lookback=N, which reads the N slices before again; dedup by uuid removes what was there already.
+    """
+
+    def __init__(self, options: dict):
+        self.batch = SearchReader(options)
+        self.start, self.days = datetime.fromisoformat(options["start"]), int(options.get("days", 10))
+
+    def _offset(self, n: int) -> dict:
+        return {"until": (self.start + timedelta(days=self.days * n)).isoformat()}
+
+    def initialOffset(self) -> dict:
+        return self._offset(0)
+
+    def latestOffset(self) -> dict:
+        end = self.batch.options.get("end")
+        last = datetime.fromisoformat(end) if end else datetime.now()
+        return self._offset(max(0, (last - self.start) // timedelta(days=self.days)))
+
+    def partitions(self, start: dict, end: dict) -> list[Slice]:
+        step = timedelta(days=self.days)
+        at, last, out = datetime.fromisoformat(start["until"]), datetime.fromisoformat(end["until"]), []
+        if at < last:
+            at = max(self.start, at - step * int(self.batch.options.get("lookback", 0)))
+        while at < last:
+            out.append(Slice(at.isoformat(), (at + step).isoformat()))
+            at += step
+        return out
+
+    def read(self, partition):
+        return self.batch.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to release: an index keeps what was read."""
+
+
 class SearchSource(DataSource):
     """spark.dataSource.register(SearchSource); spark.read.format("search_index")"""
 
@@ -156,6 +196,15 @@ class SearchSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return (PushingReader if self.options.get("pushdown") == "true" else SearchReader)(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return SearchStreamReader(dict(self.options))
+
+
+def search_stream(spark: SparkSession, **options: str) -> DataFrame:
+    """The slices of the index as a stream."""
+    spark.dataSource.register(SearchSource)
+    return spark.readStream.format("search_index").options(**options).load()
+
 
 def search_index(spark: SparkSession, **options: str) -> DataFrame:
     """The index as a DataFrame, with filters pushed into its requests if the session allows it."""
