@@ -45,8 +45,8 @@ def entity_prf(sequences: DataFrame, gold: str = "gold", pred: str = "pred") ->
 
     Everything is counted inside the row; one aggregation follows.
     """
-    def keys(labels: str) -> Column:  # text, which sets are made of by hashing; structs would be compared pair by pair
-        return once(F.transform(chunk_array(labels), lambda x: F.concat_ws(":", x["first"].cast("string"), x["last"].cast("string"), x["type"])))
+    def keys(labels: str) -> Column:  # 64-bit digests, which sets are made of without boxing; structs would be compared pair by pair
+        return once(F.transform(chunk_array(labels), lambda x: F.xxhash64(x["first"], x["last"], x["type"])))
 
     both = sequences.select(keys(gold).alias("g"), keys(pred).alias("p"), F.size(F.filter(F.arrays_zip(F.col(gold).alias("a"), F.col(pred).alias("b")), lambda x: x["a"] == x["b"])).alias("same"), F.size(gold).alias("n"))
     counted = both.select(F.size(F.array_intersect("g", "p")).alias("tp"), F.size("g").alias("ng"), F.size("p").alias("np"), "same", "n")
