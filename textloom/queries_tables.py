@@ -17,7 +17,7 @@ from textloom.registry import query, table
 from textloom.scratch import folder, stored
 from textloom.sinks import observed, writers
 from textloom.sinks.writers import rolling_shard
-from textloom.sources import annotated, records, splits
+from textloom.sources import annotated, records, splits, store
 
 # ---- patterns as a table
 
@@ -238,3 +238,13 @@ def split_reports(spark, sf):
     rows = reduce(DataFrame.unionByName, corpus.training_splits(sentences, wanted, tuple(found)).values())
     writers.write_stats(stats.label_stats(rows, ["lang", "split"], []), f"{path}-stats")
     return spark.read.option("header", True).csv(f"{path}-stats")
+
+
+@query("select 'docs-' || (doc_id // 250) || '.zip' as archive, doc_id || '.txt' as member, md5(coalesce(text, '')) as text from documents")
+def fetched_archives(spark, sf):
+    """All documents packed in archives of 250 files, fetched by their URLs into the shared store and read from there."""
+    d, path = table(spark, sf, "documents"), folder(spark)
+    rows = d.select(F.concat(F.lit("docs-"), F.expr("doc_id div 250"), F.lit(".zip")).alias("archive"), F.concat("doc_id", F.lit(".txt")).alias("member"), F.col("text").alias("content"))
+    fetched = store.fetch(store.pack(rows, f"{path}/offered"), f"{path}/staged")
+    found = records.zip_members(spark, f"{path}/staged").withColumn("archive", F.substring_index("archive", "/", -1))
+    return found.join(fetched.select(F.col("file").alias("archive")), "archive").select("archive", "member", F.md5("content").alias("text"))
