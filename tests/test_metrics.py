@@ -80,3 +80,15 @@ def test_slices(spark):
     s = slice_table(spark, "2020-01-01", "2020-01-21").orderBy("slice_id").collect()
     assert len(s) == 3 and s[2].step_start == s[2].step_end
     assert slice_table(spark, "2010-01-01", "2025-01-01").count() == 548
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    from textloom.operators import encoders, stats
+
+    df = spark.range(6).selectExpr("cast(id as string) as label", "array(concat('B-', id)) as labels", "array('x') as tokens")
+    assert len(encoders.vocabulary(df, "label", 6)) == len(stats.tags(df)) == 6
+    with pytest.raises(ValueError, match="numbered"):
+        encoders.vocabulary(df, "label", 5)
+    monkeypatch.setattr(stats, "MAX_TAGS", 5)
+    with pytest.raises(ValueError, match="label_counts"):
+        stats.tags(df)

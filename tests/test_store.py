@@ -57,6 +57,14 @@ def test_a_failing_url_leaves_no_file(spark, server, tmp_path):
     assert store.fetch(spark.createDataFrame([], "url string"), f"file://{tmp_path}/staged").count() == 0
 
 
+def test_fetch_action(spark, server, tmp_path, monkeypatch):
+    from textloom import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    cli.main(["--root", str(tmp_path), "data", "fetch", "archives", "-s", f'urls=["{server[0]}/a/b.zip"]', "-s", f"out=file://{tmp_path}/staged"])
+    assert (tmp_path / "staged" / "b.zip").read_bytes().endswith(b"x/a/b.zip")
+
+
 def test_packed_archives(spark, tmp_path):
     rows = spark.createDataFrame([("a.zip", "2.txt", "zwei", 0), ("a.zip", "1.txt", None, 0), ("b.zip", "d/ü.txt", "ü" * 100_000, 0), (None, "x", "x", 0), ("a.zip", None, "x", 0)], "archive string, member string, content string, url int")
     packed = {r.url.rsplit("/", 1)[-1]: r.members for r in store.pack(rows, f"file://{tmp_path}/made").collect()}

@@ -143,6 +143,14 @@ def download_files(urls: list, out: str, password: str | None = None):
     return [*download_archives(zips, Path(out), password), *download([u for u in urls if u not in zips], Path(out))]
 
 
+@action("data", "fetch", "archives")
+def fetch_files(spark, urls: list, out: str, again: bool = False):
+    """Stage files by the executors in a folder of the shared store, which keeps zip archives as they are; `zip_members` reads them."""
+    from textloom.sources.store import fetch
+
+    return fetch(spark.createDataFrame([(u,) for u in urls], "url string"), out, again=again)  # as many as the configuration names
+
+
 @action("data", "prepare", "ner")
 def prepare_ner(spark, roots: dict, out: str):
     """Annotated corpora as sentence files per language."""

@@ -11,11 +11,18 @@ from textloom.sinks.writers import rolling_shard
 TYPE_CODES = ("binary", "multilabel", "multiclass")
 
 
-def vocabulary(df: DataFrame, column: str) -> list:
-    """Sorted distinct labels of a scalar or array column (a label set is small by nature)."""
+#: An encoder's labels become literals of its expressions; beyond so many, join `numbered` instead.
+MAX_CLASSES = 10_000
+
+
+def vocabulary(df: DataFrame, column: str, most: int = MAX_CLASSES) -> list:
+    """Sorted distinct labels of a scalar or array column; more than most are an error, not a cut."""
     array = dict(df.dtypes)[column].startswith("array")
     values = df.select(F.explode(column).alias("v") if array else F.col(column).alias("v"))
-    return [r["v"] for r in values.filter("v is not null").distinct().orderBy("v").collect()]
+    found = [r["v"] for r in values.filter("v is not null").distinct().orderBy("v").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} labels: join the table of numbered()")
+    return found
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:

@@ -9,9 +9,15 @@ from textloom.scratch import stored
 from textloom.sinks.writers import rolling_shard
 
 
+#: A label is a column of the pivoted statistics; beyond so many, read `label_counts` instead.
+MAX_TAGS = 2_000
+
+
 def tags(sentences: DataFrame) -> list[str]:
-    """Distinct labels but O, sorted: a small vocabulary, read to name the pivot's columns."""
-    rows = sentences.select(F.explode(F.array_distinct("labels")).alias("l")).filter("l <> 'O'").distinct().orderBy("l").collect()
+    """Distinct labels but O, sorted, to name the pivot's columns; more than MAX_TAGS are an error, not a cut."""
+    rows = sentences.select(F.explode(F.array_distinct("labels")).alias("l")).filter("l <> 'O'").distinct().orderBy("l").limit(MAX_TAGS + 1).collect()
+    if len(rows) > MAX_TAGS:
+        raise ValueError(f"there are more than {MAX_TAGS} labels: use label_counts()")
     return [r["l"] for r in rows]
 
 
