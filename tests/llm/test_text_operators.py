@@ -380,3 +380,12 @@ def test_tokens(spark, small, edge_docs, no_docs):
     rows = {r.doc_id: r for r in tokens.token_counts(edge_docs, path).collect()}
     assert (rows[2].n_tokens, rows[2].n_bytes, rows[3].n_tokens) == (0, 0, 0) and rows[5].n_tokens == len(sp.encode("word " * 30_000))
     assert tokens.token_counts(no_docs, path).count() == 0
+
+
+def test_ids_of_other_integer_types(spark, tmp_path):
+    import public_tokenizers
+
+    rows = spark.createDataFrame([(1, "a@b.co", "u"), (2, "x" * 200, "u"), (3, "x" * 200, None), (None, None, "u")], "id int, text string, url string")
+    assert {r.doc_id: r.n_email for r in pii.pii_spans(rows, "id").collect()} == {1: 1, 2: 0, 3: 0, None: 0}
+    assert {r.doc_id: r.n_bytes for r in tokens.token_counts(rows, public_tokenizers.path(queries.TOKENIZER), "id").collect()} == {1: 6, 2: 200, 3: 200, None: 0}
+    assert {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.roundtrip(rows, str(tmp_path / "w"), id_col="id", html_col="text").collect()} == {1: (6, None), 2: (200, None), 3: (200, 2), None: (0, None)}

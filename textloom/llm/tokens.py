@@ -185,6 +185,6 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     if len(model) > MAX_MODEL_BYTES:
         raise ValueError(f"{model_path} has more than {MAX_MODEL_BYTES} bytes")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_counter(shared, chunk, overlap, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -232,8 +232,8 @@ def _writer(folder: str, archive_bytes: int):
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload, digest, refers_to (null for responses) of every page."""
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    large = pages.select(F.col(f"`{id_col}`").alias("page_id"), payload.alias("payload")).filter(F.octet_length("payload") >= MIN_REVISIT_BYTES)
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    large = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), payload.alias("payload")).filter(F.octet_length("payload") >= MIN_REVISIT_BYTES)
     keys = large.select("page_id", F.sha2("payload", 256).alias("digest"), salt_of(F.col("page_id"), SALTS).alias("salt"))
     by_salt = keys.groupBy("digest", "salt").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     shared = by_salt.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).filter("n > 1").drop("n")
