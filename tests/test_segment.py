@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import queries_tables  # noqa: F401  registers all queries
+from textloom import registry as Q
 from textloom.functions import segment, subwords
 
 CASES = {
@@ -38,6 +40,19 @@ def test_subwords(spark, monkeypatch):
         subwords.with_subwords(df, "w", vocabulary)
 
 
+def test_subwords_rows_of_a_batch_in_parts(spark, monkeypatch):
+    """The pieces as written, and no worker that turns a whole batch into Python's strings."""
+    vocabulary = spark.createDataFrame([("a", 1), ("##b", 2), ("c", 3)], "piece string, id int")
+    words = [["ab", "c"], None, [], ["abb", "x"]] * 50
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>").coalesce(1)
+    assert subwords.ROWS < len(words) <= 10_000
+    cut = subwords.with_subwords(df, "w", vocabulary, pieces="p")
+    want = [([1, 2, 3], [0, 0, 1], ["a", "##b", "c"]), ([], [], []), ([], [], []), ([1, 2, 2, 0], [0, 0, 0, 1], ["a", "##b", "##b", None])] * 50
+    assert [(r.piece_ids, r.word_ids, r.p) for r in cut.orderBy("i").collect()] == want
+    plan = Q.QUERIES["subword_pieces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_windows(spark):
     df = spark.createDataFrame([(list(range(n)),) for n in (0, 3, 4, 5, 10)], "a array<int>")
     got = [r.w for r in df.select(subwords.windows(F.col("a"), 4, 1).alias("w")).collect()]

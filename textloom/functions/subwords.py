@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MAX_PIECES = 1_000_000
 #: Words that a worker remembers.
 CACHED_WORDS = 200_000
+#: Rows that a worker holds as Python objects at a time, whatever the size of a batch.
+ROWS = 64
 
 
 def longest_pieces(word: str, ids: dict[str, int], longest: int, inner: str, unknown: int) -> list[int]:
@@ -27,38 +29,45 @@ def longest_pieces(word: str, ids: dict[str, int], longest: int, inner: str, unk
     return out
 
 
-def with_subwords(df: DataFrame, tokens: str, vocabulary: DataFrame, inner: str = "##", unknown: int = 0) -> DataFrame:
+def with_subwords(df: DataFrame, tokens: str, vocabulary: DataFrame, inner: str = "##", unknown: int = 0, pieces: str | None = None) -> DataFrame:
     """df with piece_ids and word_ids: the pieces of an array of words, and the place of each one's word.
 
     vocabulary: piece, id; pieces inside a word begin with `inner`. Words are looked up once per worker and
-    remembered. Null or empty words have no pieces, a null array none.
+    remembered. Null or empty words have no pieces, a null array none. pieces names a third column, the pieces
+    as written (null for the unknown id). A worker holds the words of ROWS rows at a time.
     """
     spark = df.sparkSession
-    pieces = vocabulary.select("piece", "id").filter("piece is not null and id is not null")
-    if (n := pieces.count()) > MAX_PIECES:
+    known_pieces = vocabulary.select("piece", "id").filter("piece is not null and id is not null")
+    if (n := known_pieces.count()) > MAX_PIECES:
         raise ValueError(f"a vocabulary of {n} pieces; at most {MAX_PIECES} are held in memory")
-    shared = spark.sparkContext.broadcast({r[0]: r[1] for r in pieces.toLocalIterator()})
+    shared = spark.sparkContext.broadcast({r[0]: r[1] for r in known_pieces.toLocalIterator()})
+    wanted = ["piece_ids", "word_ids", *([pieces] if pieces else [])]
+    kinds = [pa.int32(), pa.int32(), pa.string()][: len(wanted)]
 
-    @F.pandas_udf("struct<piece_ids:array<int>,word_ids:array<int>>")
-    def split(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<piece_ids:array<int>,word_ids:array<int>" + (",pieces:array<string>>" if pieces else ">"))
+    def split(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids, known = shared.value, {}
         longest = max(map(len, ids), default=0)
-        for words_of in parts:
-            rows = []
-            for words in words_of:
-                found, places = [], []
-                for i, w in enumerate(() if words is None else words):
-                    if w and w not in known:
-                        if len(known) >= CACHED_WORDS:
-                            known.clear()
-                        known[w] = longest_pieces(w, ids, longest, inner, unknown)
-                    got = known[w] if w else []
-                    found += got
-                    places += [i] * len(got)
-                rows.append((found, places))
-            yield pd.DataFrame(rows, columns=["piece_ids", "word_ids"])
+        written = {i: p for p, i in ids.items()} if pieces else {}
+        for batch in parts:
+            for at in range(0, max(len(batch), 1), ROWS):  # the whole batch as Python's strings would not fit a worker
+                found, places, ends = [], [], [0]
+                for words in batch.slice(at, ROWS).to_pylist():
+                    for i, w in enumerate(words or ()):
+                        if w and w not in known:
+                            if len(known) >= CACHED_WORDS:
+                                known.clear()
+                            known[w] = longest_pieces(w, ids, longest, inner, unknown)
+                        got = known[w] if w else []
+                        found += got
+                        places += [i] * len(got)
+                    ends.append(len(found))
+                columns = [found, places, [written.get(i) for i in found] if pieces else None]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, k)) for c, k in zip(columns, kinds, strict=False)]
+                yield pa.StructArray.from_arrays(lists, ["piece_ids", "word_ids", "pieces"][: len(lists)])
 
-    return df.withColumn("_sub", split(F.col(tokens))).withColumns({c: F.col(f"_sub.{c}") for c in ("piece_ids", "word_ids")}).drop("_sub")
+    made = dict(zip(wanted, ("piece_ids", "word_ids", "pieces"), strict=False))
+    return df.withColumn("_sub", split(F.col(tokens))).withColumns({c: F.col(f"_sub.{f}") for c, f in made.items()}).drop("_sub")
 
 
 def windows(ids: Column, length: int, overlap: int = 0) -> Column:

@@ -158,14 +158,12 @@ def subword_pieces(spark, sf):
     pieces = letters.select(F.explode(F.array("c", F.concat(F.lit("##"), "c"))).alias("piece"))
     pieces = pieces.unionByName(w.filter(F.length("w") >= 3).filter(chosen(three)).select(three.alias("piece"))).unionByName(w.filter(F.length("w") >= 4).filter(chosen(two)).select(F.concat(F.lit("##"), two).alias("piece"))).distinct()
     vocabulary = stored(rolling_shard(pieces, ["piece"], 1).select("piece", (F.col("shard") + 1).alias("id")))
-    cut = subwords.with_subwords(d, "tokens", vocabulary)
-    # pieces by their ids again, joined in the row's order
-    each = cut.select("doc_id", F.posexplode("piece_ids").alias("at", "id")).join(vocabulary, "id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    cut = subwords.with_subwords(d, "tokens", vocabulary, pieces="pieces")
     wins = subwords.windows(F.col("piece_ids"), 512, 32)
     digest = lambda c: F.md5(F.array_join(c, " ").cast("binary"))
     total = F.aggregate(F.transform("wins", lambda x: F.size(x)), F.lit(0), lambda a, x: a + x)
-    shown = cut.select("doc_id", F.size("piece_ids").alias("n"), digest(F.transform("word_ids", lambda x: x.cast("string"))).alias("words"), text.once(wins).alias("wins"))
-    return shown.join(each, "doc_id").select("doc_id", "n", digest(F.transform("p", lambda x: x["piece"])).alias("pieces"), "words", F.size("wins").alias("windows"), total.alias("in_windows"))
+    shown = cut.select("doc_id", F.size("piece_ids").alias("n"), digest("pieces").alias("pieces"), digest(F.transform("word_ids", lambda x: x.cast("string"))).alias("words"), text.once(wins).alias("wins"))
+    return shown.filter("n > 0").select("doc_id", "n", "pieces", "words", F.size("wins").alias("windows"), total.alias("in_windows"))
 
 
 # ---- operators in SQL alone, counters, and small sources and sinks by files
