@@ -247,3 +247,42 @@ def test_stream(spark, small, tmp_path):
     s = sliced.each_batch(sliced.dedup(stream, "ts", ["user_id"]), lambda df, i: seen.append(df.count()), str(tmp_path / "cp"))
     s.awaitTermination()
     assert sum(seen) == spark.read.parquet(f"{small}/events.parquet").select("user_id").distinct().count()
+
+
+def test_labels_in_sql_stay_in_their_rows(spark, small):
+    """No token travels with its sentence: the statement has no shuffle."""
+    from textloom import queries_tables  # noqa: F401  registers all queries
+    from textloom import registry as Q
+    from textloom import sql
+
+    sql.register(spark)
+    got = spark.sql("SELECT loom_labels(array(' NER=B-per|x ', 'o', ' I-loc ', 'NER=O', '', null)) AS l").first().l
+    assert got == ["B-per", "O", "I-loc", "O", "", None]
+    assert spark.sql("SELECT loom_bio_types(array('B-per', 'O', 'I-x-y')) AS l").first().l == ["per", "", "x-y"]
+    assert "Exchange" not in Q.QUERIES["sql_functions"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strip_is_the_white_space_of_expressions(spark, small):
+    """Every character that (?U)\\s stands for, and none else; lines and labels are stripped without an expression."""
+    from textloom import queries_tables  # noqa: F401  registers all queries
+    from textloom import registry as Q
+    from textloom.functions import text
+
+    c = F.col("c")
+    df = spark.range(1, 0x3100).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    odd = df.filter((text.strip(F.concat(c, F.lit("a b"), c)) != F.regexp_replace(F.concat(c, F.lit("a b"), c), "(?U)^\\s+|\\s+$", "")) | (text.blank(c) != c.rlike("^(?U)\\s*$")))
+    assert [r.c for r in odd.collect()] == []
+    assert "regexp_replace" not in Q.QUERIES["conll_sentences"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_odd_lines_of_column_files(spark, small):
+    """Other line ends, lines of white space, gaps of any length and comments; none costs an expression for each line."""
+    from textloom import queries_tables  # noqa: F401  registers all queries
+    from textloom import registry as Q
+    from textloom.sources import annotated
+
+    values = ["a\tB-x\r\nb\to\r\n\r\nc\tO", "\n\n\na\tB-x\nb\tO\n \t\n \n\n\nc\tO\n", "#\na\tB-x\n# c\nb\to  #\n\n# d\n\nc\tO\n\n", " \na\tB-x\x0bb\tO\x0c\x0c\x85c\tO", "a\tB-x\nb\t NER=o \n\x1c\nc\tNER=O|y"]
+    got = annotated.conll(spark.createDataFrame(list(enumerate(values)), "file int, value string"), 0, annotated.column_or_outside(1)).orderBy("file", "ord").collect()
+    assert [(r.file, r.ord, r.tokens, r.labels) for r in got] == [x for i in range(len(values)) for x in ((i, 0, ["a", "b"], ["B-x", "O"]), (i, 1, ["c"], ["O"]))]
+    plan = Q.QUERIES["conll_sentences"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "{2,}" not in plan
