@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.sinks import runs
+from textloom.sinks import writers as runs_writers
 from textloom.streaming import sliced
 
 SCHEMA = "id long, xs array<string>"
@@ -76,3 +77,24 @@ def test_state_outlives_its_process(spark, tmp_path, monkeypatch, lost):
     assert json.loads((tmp_path / "cp/run-state/3.json").read_text())["rows"] == 8
     again = start()
     assert (again.rows_written, again.file_number) == (23, 7)
+
+
+def test_tasks_follow_rows_not_files(spark, tmp_path):
+    """Many small files are some task's one after another, in batches and in streams, and still hold consecutive rows."""
+    df = spark.range(405).selectExpr("id", "array('a') as xs")
+    done = runs.commit_articles(df, f"{tmp_path}/run", "a", 4, ["id"])
+    assert done == {"run": "a", "rows": 405, "first_shard": 0, "shards": 102}
+    df.select("id").coalesce(1).write.json(f"{tmp_path}/in")
+    sliced.rolling_batches(_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", sliced.RunState(rows_per_file=4, file_number=3), None, None, ["id"]).awaitTermination()
+    for root, first in ((f"{tmp_path}/run/run=a/jsonl", 0), (f"{tmp_path}/out/batch=0", 3)):
+        rows = spark.read.schema("id long").json(root).select("id", "shard", F.regexp_extract(F.col("_metadata.file_name"), "^part-([0-9]+)", 1).alias("task")).collect()
+        assert sorted((r.id, r.shard) for r in rows) == [(i, i // 4 + first) for i in range(405)]
+        assert len({r.task for r in rows}) == 1
+
+
+def test_large_files_are_a_task_each(spark, monkeypatch):
+    monkeypatch.setattr(runs_writers, "TASK_ROWS", 20)
+    numbered = spark.range(100).selectExpr("id", "cast(id div 10 + 7 as int) as shard")
+    for rows_per_file, files, tasks in ((10, 10, 5), (30, 10, 10)):
+        got = runs_writers.dealt_by_shard(numbered, ["id"], rows_per_file, files, 7).select("id", "shard", F.spark_partition_id().alias("p")).collect()
+        assert len({r.p for r in got}) == tasks and len({(r.p, r.shard) for r in got}) == 10 and len(got) == 100

@@ -71,7 +71,11 @@ def commit_articles(df: DataFrame, path: str, run: str, rows_per_file: int = 10_
     first = max([0, *(r["first_shard"] + r["shards"] for r in earlier)])
     folder = f"{path}/run={run}"
     log.remove_tree(folder)
-    write_articles(df, folder, rows_per_file, order)
+    done = write_articles(df, folder, rows_per_file, order)
+    if done is not None:  # as numbered
+        rows, shards = done
+        log.put(run, {"run": run, "rows": rows, "first_shard": first, "shards": shards})
+        return log.get(run)
     found = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(f"{folder}/jsonl") if log._fs.exists(log._path(f"{folder}/jsonl")) else None
     rows = df.sparkSession.read.text(f"{folder}/jsonl", recursiveFileLookup=True).count() if found is not None else 0
     log.put(run, {"run": run, "rows": rows, "first_shard": first, "shards": found.count() if found is not None else 0})

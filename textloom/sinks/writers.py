@@ -10,30 +10,46 @@ from pyspark.sql import functions as F
 
 from textloom.scratch import stored
 
+#: Files of an order are written by tasks of about so many rows, one after another; larger files by a task each.
+TASK_ROWS = 10_000
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Arrays, maps and structs as JSON text, for formats that cannot hold them."""
     return df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
 
 
-def write_articles(df: DataFrame, path: str, rows_per_file: int = 10_000, order: list[str] | None = None) -> None:
+def write_articles(df: DataFrame, path: str, rows_per_file: int = 10_000, order: list[str] | None = None) -> tuple[int, int] | None:
     """Append df as CSV and JSON lines, at most rows_per_file rows a file; nothing is written for no rows.
 
     With an order, files are full but for the last one and hold consecutive rows: each is one task's, named by
-    its folder shard=N.
+    its folder shard=N. The rows and the files are then given back.
     """
     if df.isEmpty():
-        return
+        return (0, 0) if order else None
+    done = None
     if order:
         numbered = rolling_shard(df, order, rows_per_file)
-        parts = numbered.agg(F.max("shard")).first()[0] + 1
-        out = numbered.repartitionByRange(parts, "shard").sortWithinPartitions("shard", *order)
+        rows, last = numbered.agg(F.count("*"), F.max("shard")).first()
+        done = rows, last + 1
+        out = dealt_by_shard(numbered, order, rows_per_file, last + 1)
         writer = lambda x: x.write.mode("append").partitionBy("shard")
     else:
         out = df
         writer = lambda x: x.write.mode("append").option("maxRecordsPerFile", rows_per_file)
     writer(out).json(f"{path}/jsonl")
     writer(flat(out)).option("header", True).option("escape", '"').csv(f"{path}/csv")
+    return done
+
+
+def dealt_by_shard(numbered: DataFrame, order: list[str], rows_per_file: int, files: int, first: int = 0) -> DataFrame:
+    """Rows of the shards from `first` on, in order, whole shards to tasks of about TASK_ROWS rows.
+
+    So the number of tasks, and what each reports to the driver, follows the rows and not the files; a task's
+    number is known from the shard, so none are sampled.
+    """
+    each = max(1, TASK_ROWS // rows_per_file)
+    return numbered.repartitionById(-(-files // each), F.floor((F.col("shard") - first) / each).cast("int")).sortWithinPartitions("shard", *order)
 
 
 def rolling_shard(df: DataFrame, order: list[str], rows_per_file: int) -> DataFrame:

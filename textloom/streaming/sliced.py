@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.sinks.runs import Log
-from textloom.sinks.writers import rolling_shard
+from textloom.sinks.writers import dealt_by_shard, rolling_shard
 
 
 def tumbling_counts(events: DataFrame, ts: str, by: list[str], width: str = "10 days", start: str = "0 seconds", watermark: str | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def rolling_batches(stream: DataFrame, path: str, checkpoint: str, state: RunSta
         if rows and order:
             numbered = rolling_shard(batch, order, state.rows_per_file).withColumn("shard", F.col("shard") + state.file_number)
             files = -(-rows // state.rows_per_file)
-            numbered.repartitionByRange(files, "shard").sortWithinPartitions("shard", *order).write.mode("overwrite").partitionBy("shard").json(out)
+            dealt_by_shard(numbered, order, state.rows_per_file, files, state.file_number).write.mode("overwrite").partitionBy("shard").json(out)
         elif rows:
             batch.write.mode("overwrite").option("maxRecordsPerFile", state.rows_per_file).json(out)
             files = -(-rows // state.rows_per_file)
