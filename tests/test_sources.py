@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textloom import config, schemas
 from textloom.operators.articles import monitored, sanitize
 from textloom.plans import datasets
-from textloom.sources import search
+from textloom.sources import records, search
 from textloom.streaming import sliced
 
 ART = {
@@ -286,3 +286,11 @@ def test_odd_lines_of_column_files(spark, small):
     assert [(r.file, r.ord, r.tokens, r.labels) for r in got] == [x for i in range(len(values)) for x in ((i, 0, ["a", "b"], ["B-x", "O"]), (i, 1, ["c"], ["O"]))]
     plan = Q.QUERIES["conll_sentences"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "{2,}" not in plan
+
+
+def test_passages_are_spread_by_their_size(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("cast(id as string) as docid", "'t' as title", "sha2(cast(id as string), 512) as text").coalesce(1).write.option("compression", "gzip").json(f"{tmp_path}/p")
+    assert records.passages(spark, f"{tmp_path}/p", 2).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(records, "PART_BYTES", 2000)
+    found = records.passages(spark, f"{tmp_path}/p", 2)
+    assert found.rdd.getNumPartitions() > 8 and found.select("docid").distinct().count() == 300

@@ -15,6 +15,8 @@ from textloom import schemas
 from textloom.sources.aes_zip import read_member
 
 JSON_GLOB = "*.[jJ][sS][oO][nN]"
+#: What a part of passages holds at most, of their compressed bytes on average.
+PART_BYTES = 32_000_000
 
 
 class MergeError(RuntimeError):
@@ -79,9 +81,12 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
-    """Gzipped JSON lines do not split; parts spreads them after the read."""
+    """Gzipped JSON lines do not split; parts spreads them after the read, to more parts where these would hold over PART_BYTES."""
     df = spark.read.json(path, schema=schemas.PASSAGES)
-    return df.repartition(parts) if parts else df
+    if not parts:
+        return df
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0  # lengths only, no contents
+    return df.repartition(max(parts, -(-size // PART_BYTES)))
 
 
 def safe_member(target: Path, name: str) -> Path:
