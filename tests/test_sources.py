@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from textloom import config, schemas
 from textloom.operators.articles import monitored, sanitize
-from textloom.plans import datasets
+from textloom.plans import corpus, datasets
+from textloom.sinks import writers
 from textloom.sources import records, search
 from textloom.streaming import sliced
 
@@ -294,3 +295,29 @@ def test_passages_are_spread_by_their_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "PART_BYTES", 2000)
     found = records.passages(spark, f"{tmp_path}/p", 2)
     assert found.rdd.getNumPartitions() > 8 and found.select("docid").distinct().count() == 300
+
+
+def test_prepared_lines_are_read_in_splits(spark, tmp_path):
+    rows = spark.range(400).selectExpr("'sl' as lang", "'train' as split", "array('\"a', cast(id as string), 'c,\"', '\\\\') as tokens", "array('O', 'B-PER', 'O', 'O') as labels")
+    writers.write_sentences(rows.coalesce(1), f"{tmp_path}/s")
+    whole = records.prepared_sentences(spark, f"{tmp_path}/s")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = records.prepared_sentences(spark, f"{tmp_path}/s", lines=True)
+        assert found.rdd.getNumPartitions() > 4 and records.prepared_sentences(spark, f"{tmp_path}/s").rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) == sorted(map(tuple, rows.select("lang", "split", "tokens", "labels").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_language_is_sorted_by_many_tasks(spark):
+    rows = spark.range(4000).selectExpr("if(id % 10 = 0, 'hr', if(id % 10 = 1, 'xx', 'sl')) as lang", "cast(id as string) as sentence", "map(1, 2) as m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = [(r.p, r.lang) for r in corpus.training_rows(rows, ["sl", "hr"]).withColumn("p", F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [x for _, x in found] == ["sl"] * 3200 + ["hr"] * 400
+    assert len({p for p, x in found if x == "sl"}) > 2

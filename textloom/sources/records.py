@@ -60,9 +60,13 @@ def merged_splits(spark: SparkSession, root: str, splits: tuple[str, ...] = ("de
     return reduce(DataFrame.unionByName, parts.values())
 
 
-def prepared_sentences(spark: SparkSession, path: str) -> DataFrame:
-    """tokens and labels (and partition columns) of prepared sentence files."""
-    df = spark.read.csv(path, schema=schemas.PREPARED, header=True, multiLine=True, escape='"')
+def prepared_sentences(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """tokens and labels (and partition columns) of prepared sentence files.
+
+    lines: each record is one line, as tokens without line ends are written; files are then read in splits, else
+    each whole by one task.
+    """
+    df = spark.read.csv(path, schema=schemas.PREPARED, header=True, multiLine=not lines, escape='"')
     df = df.withColumn("lang", F.regexp_extract(F.col("_metadata.file_path"), "(?:lang=|ner-)([^./]+)", 1)).withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), "(?:split=|ner-[^./]+\\.)([^./]+?)(?:/|\\.csv)", 1))
     return df.filter("sentence is not null and labels is not null").select("lang", "split", F.split("sentence", " ").alias("tokens"), F.split("labels", " ").alias("labels"))
 
