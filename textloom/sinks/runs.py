@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textloom.sinks.writers import write_articles
+from textloom.sinks.writers import few_listing_tasks, write_articles
 
 LOG = "runs"
 
@@ -89,7 +89,8 @@ def read_articles(spark: SparkSession, path: str, schema: str | StructType, form
     if not done:
         return spark.createDataFrame([], schema).select("*", F.lit("").alias("run"), F.lit(0).alias("shard"))
     reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("header", True).option("escape", '"')
-    rows = reader.format("json" if form == "jsonl" else "csv").load([f"{path}/run={r['run']}/{form}" for r in done])
+    with few_listing_tasks(spark):
+        rows = reader.format("json" if form == "jsonl" else "csv").load([f"{path}/run={r['run']}/{form}" for r in done])
     at = F.col("_metadata.file_path")
     rows = rows.select("*", F.regexp_extract(at, f"/run=([^/]+)/{form}/", 1).alias("run"), F.regexp_extract(at, "/shard=([0-9]+)/", 1).try_cast("int").alias("shard"))
     first = F.create_map(*[F.lit(x) for r in done for x in (r["run"], r["first_shard"])])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.scratch import stored
@@ -13,6 +15,9 @@ from textloom.scratch import stored
 #: Files of an order are written by tasks of about so many rows, one after another; larger files by a task each.
 TASK_ROWS = 10_000
 
+#: Folders of files are listed by at most so many tasks.
+LISTING_TASKS = 64
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Arrays, maps and structs as JSON text, for formats that cannot hold them."""
@@ -52,6 +57,21 @@ def dealt_by_shard(numbered: DataFrame, order: list[str], rows_per_file: int, fi
     return numbered.repartitionById(-(-files // each), F.floor((F.col("shard") - first) / each).cast("int")).sortWithinPartitions("shard", *order)
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """What is loaded in here has its folders listed by at most LISTING_TASKS tasks (else by a task each, up to 10,000).
+
+    Each task reports kilobytes of its own to the driver, a file some hundred bytes. The session's setting is put back.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), LISTING_TASKS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def rolling_shard(df: DataFrame, order: list[str], rows_per_file: int) -> DataFrame:
     """df with `shard`: consecutive runs of rows_per_file rows in order, without one global window.
 

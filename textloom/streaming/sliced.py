@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from textloom.sinks.runs import Log
-from textloom.sinks.writers import dealt_by_shard, rolling_shard
+from textloom.sinks.writers import dealt_by_shard, few_listing_tasks, rolling_shard
 
 
 def tumbling_counts(events: DataFrame, ts: str, by: list[str], width: str = "10 days", start: str = "0 seconds", watermark: str | None = None) -> DataFrame:
@@ -92,5 +93,11 @@ def rolling_batches(stream: DataFrame, path: str, checkpoint: str, state: RunSta
     return each_batch(stream, write, checkpoint)
 
 
+def read_batches(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows of all batches written to path; the schema may name batch and, where files have an order, shard."""
+    with few_listing_tasks(spark):
+        return spark.read.schema(schema).option("basePath", path).json(path)
+
+
 class Stopped(RuntimeError):
     """The control's flag was set; the batch is not committed and runs again next time."""
