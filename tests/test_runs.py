@@ -99,13 +99,14 @@ def test_listing_tasks_do_not_follow_files(spark, tmp_path):
     df.select("id").coalesce(1).write.json(f"{tmp_path}/in")
     sliced.rolling_batches(_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", sliced.RunState(rows_per_file=4), None, None, ["id"]).awaitTermination()
     sc, before = spark.sparkContext, spark.conf.get(setting)
-    for group, read in (("runs", lambda: runs.read_articles(spark, f"{tmp_path}/run", SCHEMA)), ("batches", lambda: sliced.read_batches(spark, f"{tmp_path}/out", "id long, shard int, batch int"))):
+    for group, read in (("runs", lambda: runs.read_articles(spark, f"{tmp_path}/run", SCHEMA)), ("batches", lambda: sliced.read_batches(spark, f"{tmp_path}/out", f"{tmp_path}/cp", "id long, shard int, batch int"))):
         sc.setJobGroup(group, "listing")
         rows = read()
         sc.setLocalProperty("spark.jobGroup.id", None)
         stages = [s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds]
         assert 0 < sum(sc.statusTracker().getStageInfo(s).numTasks for s in stages) <= runs_writers.LISTING_TASKS < 102
         assert sorted((r.id, r.shard) for r in rows.select("id", "shard").collect()) == [(i, i // 4) for i in range(405)]
+    assert rows.rdd.getNumPartitions() == 1 < spark.read.json(f"{tmp_path}/out").rdd.getNumPartitions()
     assert spark.conf.get(setting) == before
 
 

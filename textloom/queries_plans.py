@@ -426,5 +426,5 @@ def stream_restart(spark, sf):
         if "stopped before batch" not in str(stopped):
             raise
     start(None, None).awaitTermination()
-    found = sliced.read_batches(spark, f"{path}/out", "event_id long, shard int, batch int")
+    found = sliced.read_batches(spark, f"{path}/out", f"{path}/checkpoint", "event_id long, shard int, batch int")
     return found.agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"), F.count_distinct("shard").alias("files"), (F.count_distinct("shard") == F.max("shard") + 1).alias("gapless"))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from textloom.sinks.runs import Log
-from textloom.sinks.writers import dealt_by_shard, few_listing_tasks, rolling_shard
+from textloom.sinks.writers import TASK_ROWS, dealt_by_shard, few_listing_tasks, rolling_shard
 
 
 def tumbling_counts(events: DataFrame, ts: str, by: list[str], width: str = "10 days", start: str = "0 seconds", watermark: str | None = None) -> DataFrame:
@@ -93,10 +93,16 @@ def rolling_batches(stream: DataFrame, path: str, checkpoint: str, state: RunSta
     return each_batch(stream, write, checkpoint)
 
 
-def read_batches(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """The rows of all batches written to path; the schema may name batch and, where files have an order, shard."""
+def read_batches(spark: SparkSession, path: str, checkpoint: str, schema: str | StructType) -> DataFrame:
+    """The rows of all batches written to path; the schema may name batch and, where files have an order, shard.
+
+    Small files are read by tasks of about TASK_ROWS rows, as they were written; the rows are those of the run's log.
+    """
+    log = Log(spark, f"{checkpoint}/run-state")
+    rows = max((log.get(n)["rows_written"] for n in log.names()), default=0)
     with few_listing_tasks(spark):
-        return spark.read.schema(schema).option("basePath", path).json(path)
+        found = spark.read.schema(schema).option("basePath", path).json(path)
+    return found.coalesce(-(-rows // TASK_ROWS)) if rows else found
 
 
 class Stopped(RuntimeError):
